@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tidewater.llm import packing, shards, simhash, token_files, urls
+from tidewater.llm import decontaminate, html_text, neighbours, packing, pii, quality, shards, simhash, token_files, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_neighbours": neighbours.op2_neighbours,
+    "op3_quality": quality.op3_quality,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_url_rules": urls.op5_url_rules,
     "op6_shards": shards.op6_shards,
     "op7_packing": packing.op7_packing,
     "op8_token_files": token_files.op8_token_files,
+    "op9_main_text": html_text.op9_main_text,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES = {"op5_url_rules": urls.ORACLE}
