@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidewater.plans import graph_queries
+
+QUERIES: dict = dict(graph_queries.QUERIES)
+ORACLES: dict[str, str] = dict(graph_queries.ORACLES)
