@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Pieces that a worker remembers at most (about 200 bytes each), and the longest piece that is remembered.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: White space besides the space and the line end, as far as either regex library counts it.
 SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 RUNS = ("  ", "\n\n", " \n", "\n ", *SPACES)
