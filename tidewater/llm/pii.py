@@ -36,7 +36,7 @@ PATTERNS = [
     ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32}|(?:sk|pk|ghp|AKIA)[-_]?[0-9A-Za-z]{16,64})(?![0-9A-Za-z])")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")),
-    ("card", re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)")),
+    ("card", re.compile(r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?![\d-]|\.\d)")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}(?:[ .-]\d{2,4}){1,3}(?![\d-])|(?<![\w+])\+\d{1,3}[ .-]?\d{6,12}(?!\d)")),
     ("name", re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\.? ((?!(?:and|und|et|y|и)\b){_NAME}(?: {_NAME}){{0,2}})")),
@@ -52,10 +52,13 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     taken: list[tuple[int, int, str, str]] = []
     if not text:
         return taken
+    work = text
     for kind, pattern in PATTERNS:
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
+        for a, b, *_ in taken:  # places taken are blank for later kinds
+            work = work[:a] + "\0" * (b - a) + work[b:]
+        for m in pattern.finditer(work):
             a, b = m.span(1) if kind == "name" else m.span()
             found = m[1] if kind == "name" else m[0]
             if kind == "name":
@@ -66,8 +69,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                     continue
                 found, b = " ".join(words), a + len(" ".join(words))
                 found = f"{TITLES[m[0][: a - m.start()].rstrip('. ')]}:{found}"
-            if not any(a < y and x < b for x, y, _, _ in taken):
-                taken.append((a, b, kind, found))
+            taken.append((a, b, kind, found))
     return sorted(taken)
 
 

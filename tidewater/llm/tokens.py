@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
+from itertools import compress, count, repeat
+from operator import is_
 
 #: Pieces that a worker remembers at most (about 200 bytes each), and the longest piece that is remembered.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: White space besides the space and the line end, as far as either regex library counts it.
 SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 RUNS = ("  ", "\n\n", " \n", "\n ", *SPACES)
-#: Words of Latin letters, digits and ASCII signs without apostrophe: here the pre-tokenizers part only these classes.
-PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)+")
+#: In words of Latin letters, digits and ASCII signs without apostrophe: the pre-tokenizers part these classes only.
 CLASS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+")
 
 
@@ -39,7 +39,7 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.whole.model
-        self.dtype, self.seen, self.drops_space = dtype, {"": b""}, drops_space
+        self.code, self.seen, self.words, self.drops_space = {"<u2": "H", "<u4": "I"}[dtype], {"": b""}, {}, drops_space
         self.letters = str.maketrans(dict(enumerate(_byte_letters())))
 
     def _pieces(self, text: str) -> list[str]:
@@ -59,22 +59,37 @@ class WordTokenizer:
 
     def _ids(self, piece: str) -> bytes:
         if self.drops_space:
-            text = piece
-        else:  # zero marks a place without a space before it
-            text = piece[1:] if piece[:1] == "\x00" else "\n" + piece[2:] if piece[:2] == "\n\x00" else " " + piece
-        lead, word = ("", text) if self.drops_space else (text[:1], text[1:]) if text[:1] in " \n" else ("", text)
-        if not PLAIN.fullmatch(word):
-            ids = self.whole.encode(text, add_special_tokens=False).ids
+            lead, word = "", piece
+        elif piece[0] == "\x00":  # a place without a space before it
+            lead, word = "", piece[1:]
+        elif piece[:2] == "\n\x00":
+            lead, word = "\n", piece[2:]
         else:
-            parts = CLASS.findall(word.lower() if self.drops_space else word)
-            if self.drops_space:
-                parts = [x for p in parts for x in (p if p[0].isdigit() else (p,))]
-            elif lead == " ":
-                parts[0] = " " + parts[0]
-            elif lead:
-                parts.insert(0, lead)
-            ids = [t.id for p in parts for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]
-        return np.array(ids, dtype=self.dtype).tobytes()
+            lead, word = " ", piece
+        parts = CLASS.findall(word)
+        if not parts or sum(map(len, parts)) != len(word):  # other letters, an apostrophe, white space
+            ids = self.whole.encode(lead + word, add_special_tokens=False).ids
+            return array(self.code, ids).tobytes()
+        if self.drops_space:
+            parts = [x for p in parts for x in (p if p[0].isdigit() else (p.lower(),))]
+        elif lead == " ":
+            parts[0] = "Ġ" + parts[0]
+        elif lead:
+            parts.insert(0, "Ċ")
+        out = []
+        for p in parts:
+            ids = self.words.get(p)
+            if ids is None:
+                if not p.isascii() and p != "Ċ":  # bytes that are printable ASCII stand for themselves
+                    own = p.removeprefix("Ġ")
+                    ids = p[: len(p) - len(own)] + own.encode().decode("latin-1").translate(self.letters)
+                else:
+                    ids = p
+                ids = self.words[p] = array(self.code, [t.id for t in self.model.tokenize(ids)]).tobytes()
+            out.append(ids)
+        if len(self.words) > REMEMBERED // 2:
+            self.words = {}
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text (null: none), without special tokens."""
@@ -82,7 +97,7 @@ class WordTokenizer:
             return b""
         pieces = self._pieces(text)
         found = list(map(self.seen.get, pieces))
-        for i in [i for i, v in enumerate(found) if v is None]:
+        for i in list(compress(count(), map(is_, found, repeat(None)))):
             p = pieces[i]
             ids = self.seen.get(p)
             if ids is None:
