@@ -86,13 +86,14 @@ def _forest(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
             right.append(i + off)
     if left:
         a, b = np.concatenate(left), np.concatenate(right)
-        while len(a):  # smallest position of each component
-            low = np.minimum(root[a], root[b])
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
-            root = root[root]
-            open_ = root[a] != root[b]
-            a, b = a[open_], b[open_]
+        while True:  # smallest position of each component
+            low, new = np.minimum(root[a], root[b]), root.copy()
+            for at in (a, b, root[a], root[b]):
+                np.minimum.at(new, at, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
     for s, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
         rest = np.arange(s, s + size)
         while len(rest):
