@@ -8,8 +8,8 @@ from array import array
 from itertools import compress, count, repeat
 from operator import is_
 
-#: Pieces that a worker remembers at most (about 200 bytes each), and the longest piece that is remembered.
-REMEMBERED, LONGEST = 300_000, 64
+#: Pieces that a worker remembers at most (about 200 bytes each), in two generations, and the longest piece that is remembered.
+REMEMBERED, LONGEST = 400_000, 64
 #: White space besides the space and the line end, as far as either regex library counts it.
 SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 RUNS = ("  ", "\n\n", " \n", "\n ", *SPACES)
@@ -38,8 +38,9 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.whole.model
-        self.code, self.seen, self.words, self.drops_space = {"<u2": "H", "<u4": "I"}[dtype], {"": b""}, {}, drops_space
+        self.tokenize = self.whole.model.tokenize
+        self.code, self.drops_space = {"<u2": "H", "<u4": "I"}[dtype], drops_space
+        self.seen, self.old, self.words = {"": b""}, {}, {}
         self.letters = str.maketrans(dict(enumerate(_byte_letters())))
 
     def _pieces(self, text: str) -> list[str]:
@@ -57,7 +58,16 @@ class WordTokenizer:
                 whole.append(p)
         return whole
 
+    def _model(self, part: str) -> bytes:
+        """Ids of one part in byte letters, by the library's model alone."""
+        return array(self.code, [t.id for t in self.tokenize(part)]).tobytes()
+
     def _ids(self, piece: str) -> bytes:
+        if piece.isalpha() and piece.isascii():  # most pieces: nothing to part, each byte its own letter
+            return self._model(piece.lower() if self.drops_space else "Ġ" + piece)
+        last = piece[-1]
+        if last in ".,;:?!" and piece[-2:-1].isalpha() and CLASS.fullmatch(piece, 0, len(piece) - 1):
+            return self._known(piece[:-1]) + self._known_part(last)  # a word, then a sign: parted between them
         if self.drops_space:
             lead, word = "", piece
         elif piece[0] == "\x00":  # a place without a space before it
@@ -76,20 +86,31 @@ class WordTokenizer:
             parts[0] = "Ġ" + parts[0]
         elif lead:
             parts.insert(0, "Ċ")
-        out = []
-        for p in parts:
-            ids = self.words.get(p)
+        return b"".join(map(self._known_part, parts))
+
+    def _known_part(self, part: str) -> bytes:
+        ids = self.words.get(part)
+        if ids is None:
+            if part.isascii() or part == "Ċ":  # bytes that are printable ASCII stand for themselves
+                letters = part
+            else:
+                own = part.removeprefix("Ġ")
+                letters = part[: len(part) - len(own)] + own.encode().decode("latin-1").translate(self.letters)
+            if len(self.words) >= REMEMBERED // 6:
+                self.words = {}
+            ids = self.words[part] = self._model(letters)
+        return ids
+
+    def _known(self, piece: str) -> bytes:
+        """Ids of a piece, remembered: what was not asked for since the last two changes of generation is forgotten."""
+        ids = self.seen.get(piece)
+        if ids is None:
+            ids = self.old.get(piece)
             if ids is None:
-                if not p.isascii() and p != "Ċ":  # bytes that are printable ASCII stand for themselves
-                    own = p.removeprefix("Ġ")
-                    ids = p[: len(p) - len(own)] + own.encode().decode("latin-1").translate(self.letters)
-                else:
-                    ids = p
-                ids = self.words[p] = array(self.code, [t.id for t in self.model.tokenize(ids)]).tobytes()
-            out.append(ids)
-        if len(self.words) > REMEMBERED // 2:
-            self.words = {}
-        return b"".join(out)
+                ids = self._ids(piece)
+            if len(piece) <= LONGEST:
+                self.seen[piece] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text (null: none), without special tokens."""
@@ -98,13 +119,7 @@ class WordTokenizer:
         pieces = self._pieces(text)
         found = list(map(self.seen.get, pieces))
         for i in list(compress(count(), map(is_, found, repeat(None)))):
-            p = pieces[i]
-            ids = self.seen.get(p)
-            if ids is None:
-                ids = self._ids(p)
-                if len(p) <= LONGEST:
-                    self.seen[p] = ids
-            found[i] = ids
-        if len(self.seen) > REMEMBERED:
-            self.seen = {"": b""}
+            found[i] = self._known(pieces[i])
+        if len(self.seen) > REMEMBERED // 2:
+            self.old, self.seen = self.seen, {"": b""}
         return b"".join(found)
