@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,17 @@ from pyspark.sql.window import Window as W
 
 from tidewater.runtime import cut, shared_dir, staged
 
-__all__ = ["cut", "ranked", "row_key", "shared_dir", "staged"]
+__all__ = ["arrow_map", "cut", "ranked", "row_key", "shared_dir", "staged"]
+
+#: Bytes of an Arrow batch that goes to a worker (a row of more goes alone).
+BATCH_BYTES = 2 << 20
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow for rows with whole texts. The session's batches are bounded in bytes, as Spark's own bound of 64 MB is held
+    several times at once in the JVM and in each worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ranked, staged
+from tidewater.llm.common import arrow_map, ranked, staged
 from tidewater.llm.tokens import WordTokenizer
 
 
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, id_col: str
                 yield pa.RecordBatch.from_arrays([b.column("__id").take(pa.array(own)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names)
 
     id_type = docs.schema["__id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"`{id_col}` {id_type}, piece int, start long, length long, ids binary")
+    return arrow_map(docs, run, f"`{id_col}` {id_type}, piece int, start long, length long, ids binary")
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidewater.llm.common import cut, row_key, staged
+from tidewater.llm.common import arrow_map, cut, row_key, staged
 
 #: Titles and the gender they tell, and given and family names by gender and script.
 TITLES = {
@@ -177,7 +177,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     real = entities.select("kind", plain("entity").alias("surrogate")).distinct()
     open_, done = entities, None
     for attempt in range(TRIES):
-        new = open_.mapInArrow(run(attempt), "kind string, entity string, surrogate string").join(real, ["kind", "surrogate"], "left_anti")
+        new = arrow_map(open_, run(attempt), "kind string, entity string, surrogate string").join(real, ["kind", "surrogate"], "left_anti")
         new = new.withColumn("k", F.row_number().over(W.partitionBy("kind", "surrogate").orderBy(F.xxhash64("entity"), "entity"))).where("k = 1").select("kind", "entity", "surrogate")
         new = cut(new if done is None else new.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti"))
         done = new if done is None else cut(done.unionByName(new))
@@ -215,13 +215,13 @@ def pseudonymise(docs: DataFrame, key: str = "tidewater", text_col: str = "text"
     key_col = row_key(id_col, text_col)
     asked = docs.where(may).select(key_col.alias("__row"), F.col(text_col).alias("__text"))
     row_type = asked.schema["__row"].dataType.simpleString()
-    held = cut(asked.mapInArrow(_entities, f"__row {row_type}, kind string, entity string").distinct())
+    held = cut(arrow_map(asked, _entities, f"__row {row_type}, kind string, entity string").distinct())
     new = held.join(surrogates(held.select("kind", "entity"), key), ["kind", "entity"])
     new = staged(new.groupBy("__row").agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("__new")))
     names = docs.columns
     rest = docs.where(~may).withColumns({"__n": F.lit(0).cast("long"), "__kinds": F.lit("")})
     some = docs.where(may).withColumn("__row", key_col).join(new, "__row", "left").drop("__row")
-    some = some.mapInArrow(_replace(names, text_col), docs.schema.add("__n", "long").add("__kinds", "string"))
+    some = arrow_map(some, _replace(names, text_col), docs.schema.add("__n", "long").add("__kinds", "string"))
     return some.unionByName(rest)
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, staged
+from tidewater.llm.common import arrow_map, cut, staged
 
 #: The document model is fitted on this many labelled documents at most, of least id hash.
 MAX_TRAIN = 20_000
@@ -44,7 +44,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     classes are labelled. At most MAX_TRAIN labelled rows of this table are read, a bound that also makes them fit to broadcast."""
     some = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).dropna().distinct().orderBy(F.xxhash64("__id"), "__y").limit(MAX_TRAIN)
     docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows = docs.join(F.broadcast(some), "__id").select("__text", "__y").limit(2 * MAX_TRAIN).mapInArrow(_features, "f array<double>, y long").toArrow()
+    rows = arrow_map(docs.join(F.broadcast(some), "__id").select("__text", "__y").limit(2 * MAX_TRAIN), _features, "f array<double>, y long").toArrow()
     if not rows.num_rows:
         return None
     x = np.array(rows.column("f").to_pylist())
@@ -81,7 +81,7 @@ def with_evidence(docs: DataFrame, model: np.ndarray | None, text_col: str = "te
             p = 1 / (1 + np.exp(-np.clip(z @ w[:k] + (z * z) @ w[k : 2 * k] + w[-1], -20, 20)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p)], [*keep, "__p"])
 
-    return docs.mapInArrow(run, docs.select(*keep).schema.add("__p", "double"))
+    return arrow_map(docs, run, docs.select(*keep).schema.add("__p", "double"))
 
 
 def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, row_key, staged
+from tidewater.llm.common import arrow_map, cut, row_key, staged
 from tidewater.operators.graph import weak_components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -48,7 +48,7 @@ def fingerprints(rows: DataFrame, text_col: str = "text") -> DataFrame:
             fps = np.fromiter((fingerprint(t) for t in b.column(text_col).cast(pa.binary()).to_pylist()), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fps.view(np.int64))], [*keep, "fp"])
 
-    return rows.mapInArrow(run, rows.drop(text_col).schema.add("fp", "long"))
+    return arrow_map(rows, run, rows.drop(text_col).schema.add("fp", "long"))
 
 
 def counts(fp: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import shared_dir
+from tidewater.llm.common import arrow_map, shared_dir
 from tidewater.llm.tokens import WordTokenizer
 
 
@@ -62,7 +62,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "docs": [count], "ids": [at], "nulls": [nulls]})
 
     ordered = docs.repartitionByRange(F.col("__id").asc_nulls_first()).sortWithinPartitions(F.col("__id").asc_nulls_first())
-    parts = sorted(ordered.mapInArrow(run, "part long, docs long, ids long, nulls long").collect())  # a row a file
+    parts = sorted(arrow_map(ordered, run, "part long, docs long, ids long, nulls long").collect())  # a row a file
     bases = np.cumsum([0, *(r.ids for r in parts)]).tolist()
     manifest = {"dtype": dtype, "parts": [r.asDict() | {"base": b} for r, b in zip(parts, bases)]}
     with open(f"{target}/manifest.json.new", "w") as f:
@@ -91,7 +91,7 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id", w
                     yield pa.RecordBatch.from_pydict(cols | ({"ids": pa.array(wide, pa.binary())} if with_ids else {}))
 
     rows = rows.repartitionByRange(max(1, len(parts)), "part")
-    return rows.mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return arrow_map(rows, run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
