@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -161,10 +161,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(nodes, "fp").withColumnRenamed("__id", id_col)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one row of each near-duplicate group: the smallest id (rows without id last), of equal ids the
-    one with the smallest row key, of wholly repeated rows any one. All columns stay."""
-    found = near_duplicates(docs, id_col, text_col)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The documents with one row of each group that ``groups`` finds: the smallest id (rows without id last), of equal ids
+    the one with the smallest row key, of wholly repeated rows any one. All columns stay."""
+    found = groups(docs, id_col, text_col)
     first = F.struct(F.col(id_col).isNull(), F.col(id_col), "row")
     best = found.groupBy("root").agg(F.min(first).getField("row").alias("__row")).select("__row")
     kept = docs.withColumn("__row", row_key(id_col, text_col)).join(best, "__row", "left_semi")
