@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,9 +45,9 @@ PATTERNS = [
     ("name", re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\.? ((?!(?:and|und|et|y|и)\b){_NAME}(?: {_NAME}){{0,2}})")),
 ]
 #: A cheap test for the JVM that no text with personal data fails.
-MAY_HOLD = r"[0-9@]|\b(?:" + "|".join(map(re.escape, TITLES)) + r")\.? \p{L}|[0-9a-f]{32}|(?:sk|pk|ghp|AKIA)[-_]?[0-9A-Za-z]{16}"
-#: Tries before the search for a free surrogate is given up (each leaves few open).
-TRIES = 64
+MAY_HOLD = r"[\p{Nd}@]|\b(?:" + "|".join(map(re.escape, TITLES)) + r")\.? \p{L}|[0-9a-f]{32}|(?:sk|pk|ghp|AKIA)[-_]?[0-9A-Za-z]{16}"
+#: From these tries on the space of surrogates grows with every try (e-mails by a label, codes by a suffix).
+LABEL, SUFFIX = 2, 16
 
 
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -83,13 +86,30 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+@lru_cache(maxsize=65_536)
+def _own(c: str) -> str:
+    """Characters that may stand for c: those of its alphabet, for other letters and digits those of the same Unicode class
+    within its 256 code points; none for signs."""
+    if c in ALPHABET or not c.isalnum():
+        return ALPHABET.get(c, "")
+    start, kind = ord(c) & ~0xFF, unicodedata.category(c)
+    if kind == "Nd":
+        start = ord(c) - unicodedata.digit(c)
+        return "".join(map(chr, range(start, start + 10)))
+    return "".join(x for x in map(chr, range(start, start + 256)) if unicodedata.category(x) == kind)
+
+
+def _label(size: int, key: bytes, *parts: object) -> str:
+    return _same_format("x" * size, key, "label", *parts)
+
+
 def _same_format(text: str, key: bytes, *tweak: object) -> str:
-    """Each letter and digit replaced by one of its own alphabet (script and case; hexadecimal stays so); all else stays."""
+    """Each letter and digit replaced by one of its own alphabet (script and case, or _own(); hexadecimal stays so); all else stays."""
     n, out = _mix(key, text, *tweak), []
     letters = 6 if re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", text) else 99
     for c in text:
-        own = ALPHABET.get(c, "")
-        own = own if c.isdigit() else own[:letters]
+        own = _own(c)
+        own = own if c.isdecimal() else own[:letters]
         if own:
             if n < 1 << 32:
                 n = _mix(key, n, len(out), text, *tweak)
@@ -100,16 +120,27 @@ def _same_format(text: str, key: bytes, *tweak: object) -> str:
 
 
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
+    """format_surrogate(), with a keyed suffix that grows with later attempts where that alone finds no free one."""
+    new = format_surrogate(kind, entity, key, attempt)
+    if kind in ("email", "name") or attempt < SUFFIX:
+        return new
+    return f"{new}-{_label(attempt - SUFFIX + 2, key, kind, entity, attempt)}"
+
+
+def format_surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     """A replacement of the same kind and format, the same for the same key, entity and attempt.
 
     Digits stay digits, letters keep script and case. E-mails move to a reserved example domain of the same
-    depth unless they are there already; card numbers keep the first digit and whether their check digit holds; IP
+    depth unless they are there already, from attempt LABEL on below a keyed label that grows; card numbers keep the first digit and whether their check digit holds; IP
     addresses have no first number 0; telephone numbers keep country code and a 555; names follow the
     title's gender and the script, with as many words."""
     if kind == "email":
         local, _, domain = entity.partition("@")
         head = domain if re.search(r"(?:^|\.)example\.(?:com|net|org)$", domain) else "example.org"
         parts = head.split(".")
+        if attempt >= LABEL:
+            parts = [_label(attempt - LABEL + 4, key, entity, attempt), *parts[-2:]]
+            return _same_format(local, key, kind, domain, attempt) + "@" + ".".join(parts)
         return _same_format(local, key, kind, domain, attempt) + "@" + ".".join([_same_format(p, key, kind, "host", entity, attempt) for p in parts[:-2]] + parts[-2:])
     if kind == "ip":
         n = _mix(key, kind, entity, attempt)
@@ -122,7 +153,7 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
             d = re.sub(r"\D", "", new)
             check, held = _luhn(d[:-1]), _luhn(digits[:-1]) == int(digits[-1])
             last = check if held else (check + 1 + int(d[-1]) % 9) % 10
-            new = new[:-1] + str(last)
+            new = new[:-1] + chr(ord(entity[-1]) - unicodedata.digit(entity[-1]) + last)
         return new
     if kind == "phone":
         m = re.match(r"\+\d{1,3}(?=\D)", entity)
@@ -143,7 +174,7 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
             new = names[(m >> 8) % len(names)]
             out.append(new + "а" if gender == "f" and script == "cyrillic" and names is not given and new[-1] in "внй" and new.endswith(("ов", "ев", "ин")) else new)
         if attempt:  # the lists are short: further family names are joined
-            out[-1] += "-" + FAMILY[script][(n >> 90) % len(FAMILY[script])] + ("" if attempt < 4 else "-" + _same_format("Xxxxx", key, n))
+            out[-1] += "-" + FAMILY[script][(n >> 90) % len(FAMILY[script])] + ("" if attempt < 4 else "-" + _same_format("X" + "x" * attempt, key, n))
         return " ".join(w.upper() if o.isupper() and len(o) > 1 else w for w, o in zip(out, words, strict=True))
     return _same_format(entity, key, kind, attempt)
 
@@ -176,7 +207,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     plain = lambda c: F.when(F.col("kind") == "name", F.regexp_replace(c, "^[mfn]:", "")).otherwise(F.col(c))
     real = entities.select("kind", plain("entity").alias("surrogate")).distinct()
     open_, done = entities, None
-    for attempt in range(TRIES):
+    for attempt in count():  # the space grows with each try
         new = arrow_map(open_, run(attempt), "kind string, entity string, surrogate string").join(real, ["kind", "surrogate"], "left_anti")
         new = new.withColumn("k", F.row_number().over(W.partitionBy("kind", "surrogate").orderBy(F.xxhash64("entity"), "entity"))).where("k = 1").select("kind", "entity", "surrogate")
         new = cut(new if done is None else new.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti"))
@@ -184,7 +215,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         open_ = cut(open_.join(new, ["kind", "entity"], "left_anti"))
         if open_.isEmpty():
             return done
-    raise RuntimeError("no free surrogates left for some entities")
 
 
 def _replace(names: list[str], text_col: str):
