@@ -60,13 +60,18 @@ def supply_results(spark, d: str) -> DataFrame:
     return P.propagate_purity(*supply(spark, d)).where("kind = 'mfa'")
 
 
-def part_edges(spark, d: str) -> DataFrame:
-    """Cyclic: from a part of an order's large lines to the next."""
+def part_edges(spark, d: str, lines: str = "l_quantity >= 49") -> DataFrame:
+    """Cyclic: from a part of an order's large lines (those of ``lines``) to the next."""
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    e = _t(spark, d, "lineitem").where("l_quantity >= 49").select("l_partkey", F.lead("l_partkey").over(w).alias("next"))
+    e = _t(spark, d, "lineitem").where(lines).select("l_partkey", F.lead("l_partkey").over(w).alias("next"))
     return e.where("l_partkey <> next").select(F.col("l_partkey").alias("src"), F.col("next").alias("dst")).distinct()
 
 
+def all_edges(spark, d: str) -> DataFrame:
+    """The same over all lines. Queries of these edges have no SQL: a transitive closure of all lines is too slow."""
+    return part_edges(spark, d, "true")
+
+
 def call_facts(spark, d: str):
     """Suppliers take functions at positions 1 (and 2, if even); orders call them and pass parts, or hand on own arguments."""
     hof = _t(spark, d, "supplier").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("fn_id"), F.explode(F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("arg_pos"))
@@ -255,8 +260,8 @@ def d5(spark, d):
 
 @query("d6_mutual_level", "WITH RECURSIVE " + PARTCOMP + """, v AS (SELECT node, component, p_size % 4 AS level FROM comp JOIN part ON node = p_partkey)
 SELECT 'p:' || node AS fn_id, CAST(CASE WHEN count(*) OVER w > 1 THEN max(level) OVER w ELSE level END AS TINYINT) AS level FROM v WINDOW w AS (PARTITION BY component)""")
-def d6(spark, d):
-    comp = cut(C.components(part_edges(spark, d)))
+def d6(spark, d, edges=part_edges):
+    comp = cut(C.components(edges(spark, d)))
     large = comp.groupBy("component").count().where("count > 1").select("component")
     r = comp.join(_t(spark, d, "part"), comp.node == F.col("p_partkey")).select(F.concat(F.lit("p:"), F.col("node").cast("string")).alias("fn_id"), (F.col("p_size") % 4).cast("tinyint").alias("level"), F.array().cast(P.NODEPS).alias("deps"))
     named = comp.join(large, "component", "left_semi").select(F.concat(F.lit("p:"), F.col("node").cast("string")).alias("node"), "component")
@@ -273,9 +278,9 @@ def d7(spark, d):
 
 
 @query("d2_termination", "WITH RECURSIVE " + PART + "SELECT 'p:' || x AS fn_id, CAST(CASE WHEN x IN (SELECT c.a FROM c JOIN c z ON c.b = z.a AND z.a = z.b) THEN 3 ELSE 0 END AS TINYINT) AS level FROM n")
-def d2(spark, d):
+def d2(spark, d, edges=part_edges):
     key = lambda c: F.concat(F.lit("p:"), F.col(c).cast("string"))
-    e = part_edges(spark, d)
+    e = edges(spark, d)
     nodes = e.select("src").unionByName(e.select(F.col("dst").alias("src"))).distinct()
     deps = e.select(key("src").alias("fn_id"), F.lit(0).cast("bigint").alias("call_id"), F.lit("remote").alias("dep_kind"), key("dst").alias("target_id"), F.lit(None).cast("int").alias("arg_pos"), F.lit(None).cast("string").alias("var"))
     rules = supply(spark, d)[3].limit(0)
@@ -288,6 +293,14 @@ def d4w(spark, d):
     return weak_components(part_edges(spark, d))
 
 
+QUERIES["d2_termination_all"] = lambda spark, d: d2(spark, d, all_edges)
+QUERIES["d4_components_all"] = lambda spark, d: C.components(all_edges(spark, d))
+QUERIES["d4_weak_components_all"] = lambda spark, d: weak_components(all_edges(spark, d))
+QUERIES["d5_independent_all"] = lambda spark, d: C.independent_components(all_edges(spark, d))
+QUERIES["d6_mutual_level_all"] = lambda spark, d: d6(spark, d, all_edges)
+QUERIES["d7_cyclic_all"] = lambda spark, d: C.cyclic(all_edges(spark, d))
+
+
 CALLS = """h AS (SELECT 's:' || s_suppkey AS fn_id, unnest(CASE WHEN s_suppkey % 2 = 0 THEN [1, 2] ELSE [1] END) AS pos FROM supplier),
 x AS (SELECT DISTINCT 'o:' || l_orderkey AS fn_id, l_suppkey AS call_id, 's:' || l_suppkey AS target_id, (l_linenumber - 1) % 2 + 1 AS pos, CASE WHEN l_quantity < 40 THEN 'p:' || l_partkey END AS passed, CASE WHEN l_quantity >= 40 THEN l_linenumber % 3 + 1 END AS own FROM lineitem),
 need AS (SELECT fn_id AS target_id, count(*) AS need FROM h GROUP BY 1),
