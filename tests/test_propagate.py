@@ -52,7 +52,7 @@ def test_rules(tables):
     assert len(got) == 11 and got["match_fail:/1"] == ("primop", 1, False) and got["erlang:apply/3"] == ("mfa", 1, True)
 
 
-@pytest.mark.parametrize(("mode", "want"), [("purity", exp), ("termination", ext)])
+@pytest.mark.parametrize(("mode", "want"), [("effects", exp), ("termination", ext)])
 def test_results(tables, mode, want):
     got = dict(P.propagate(*tables, mode).select("fn_id", L.fmt_result()).collect())
     assert {k: got.get(k) for k in want} == want

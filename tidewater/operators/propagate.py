@@ -144,7 +144,7 @@ def _finish(functions: DataFrame, levels: DataFrame, deps: DataFrame, edges: Dat
 
 def _prepare(functions: DataFrame, deps: DataFrame, dep_args: DataFrame, rules: DataFrame, mode: str):
     spark = functions.sparkSession
-    rules = rules if mode == "purity" else T.rectify(rules)
+    rules = rules if mode == "effects" else T.rectify(rules)
     functions = T.initialise(functions)
     functions, deps = T.add_builtins(functions, deps, dep_args, rules)
     pre = T.predefined(spark, mode)
@@ -156,9 +156,9 @@ def _prepare(functions: DataFrame, deps: DataFrame, dep_args: DataFrame, rules:
     return cut(functions), deps, cut(unknown), aside, edges
 
 
-def propagate_purity(functions: DataFrame, deps: DataFrame, dep_args: DataFrame, rules: DataFrame) -> DataFrame:
+def propagate_effects(functions: DataFrame, deps: DataFrame, dep_args: DataFrame, rules: DataFrame) -> DataFrame:
     """``results``: every function's level, whether it is a lower bound, and the dependencies that remain."""
-    functions, deps, unknown, aside, edges = _prepare(functions, deps, dep_args, rules, "purity")
+    functions, deps, unknown, aside, edges = _prepare(functions, deps, dep_args, rules, "effects")
     return _finish(functions, resolve(functions, edges), deps, edges, unknown, aside)
 
 
@@ -173,8 +173,8 @@ def propagate_termination(functions: DataFrame, deps: DataFrame, dep_args: DataF
     return _finish(functions, resolve(functions, edges, start=start), deps, edges, unknown, aside)
 
 
-def propagate(functions: DataFrame, deps: DataFrame, dep_args: DataFrame, rules: DataFrame, mode: str = "purity") -> DataFrame:
-    """D3: purity, termination, or both united."""
+def propagate(functions: DataFrame, deps: DataFrame, dep_args: DataFrame, rules: DataFrame, mode: str = "effects") -> DataFrame:
+    """D3: effects, termination, or both united."""
     if mode == "both":
-        return T.unite(cut(propagate_purity(functions, deps, dep_args, rules)), cut(propagate_termination(functions, deps, dep_args, rules)))
-    return {"purity": propagate_purity, "termination": propagate_termination}[mode](functions, deps, dep_args, rules)
+        return T.unite(cut(propagate_effects(functions, deps, dep_args, rules)), cut(propagate_termination(functions, deps, dep_args, rules)))
+    return {"effects": propagate_effects, "termination": propagate_termination}[mode](functions, deps, dep_args, rules)

@@ -57,7 +57,7 @@ def is_pure(results: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(results.select("fn_id", ok.alias("pure")), "fn_id", "left").select("fn_id", F.coalesce("pure", F.lit(False)).alias("pure"))
 
 
-def purity_of(results: DataFrame) -> DataFrame:
+def bounded_level_of(results: DataFrame) -> DataFrame:
     """What keeps dependencies is read as a lower bound."""
     return results.withColumn("at_least", F.col("at_least") | (F.size("deps") > 0))
 
@@ -72,9 +72,9 @@ def rectify(rules: DataFrame) -> DataFrame:
     return rules.withColumn("level", F.lit(0).cast("tinyint"))
 
 
-def predefined(spark, mode: str = "purity") -> DataFrame:
+def predefined(spark, mode: str = "effects") -> DataFrame:
     """Levels of expressions."""
-    catch, finite, infinite = (2, 3, 3) if mode == "purity" else (0, 0, 3)
+    catch, finite, infinite = (2, 3, 3) if mode == "effects" else (0, 0, 3)
     rows = [("erl:catch", "catch", catch), ("erl:receive:finite", "receive:finite", finite), ("erl:receive:infinite", "receive:infinite", infinite)]
     return spark.createDataFrame([(k, "erl", "erl", n, 0, v, False) for k, n, v in rows], L.FUNCTIONS)
 
@@ -143,13 +143,13 @@ def restore_arg_deps(results: DataFrame, aside: DataFrame) -> DataFrame:
     return out.withColumn("deps", both).drop("__a")
 
 
-def unite(purity: DataFrame, termination: DataFrame) -> DataFrame:
+def unite(effects: DataFrame, termination: DataFrame) -> DataFrame:
     """Greater level, bound if either is one, dependencies of both; s has none."""
     t = termination.select("fn_id", F.col("level").alias("__l"), F.col("at_least").alias("__a"), F.col("deps").alias("__d"))
-    cols = [c for c in purity.columns if c not in ("fn_id", "level", "at_least", "deps")]
-    out = purity.join(t, "fn_id", "full").withColumn("level", F.greatest("level", "__l"))
+    cols = [c for c in effects.columns if c not in ("fn_id", "level", "at_least", "deps")]
+    out = effects.join(t, "fn_id", "full").withColumn("level", F.greatest("level", "__l"))
     s = F.col("level") == 3
-    none = F.array().cast(purity.schema["deps"].dataType)
+    none = F.array().cast(effects.schema["deps"].dataType)
     return out.select("fn_id", *cols, "level", (~s & (F.coalesce("at_least", F.lit(False)) | F.coalesce("__a", F.lit(False)))).alias("at_least"), F.when(s, none).otherwise(F.array_sort(F.array_union(F.coalesce("deps", none), F.coalesce("__d", none)))).alias("deps"))
 
 

@@ -57,7 +57,7 @@ def labels(column: str = "deps"):
 
 
 def supply_results(spark, d: str) -> DataFrame:
-    return P.propagate_purity(*supply(spark, d)).where("kind = 'mfa'")
+    return P.propagate_effects(*supply(spark, d)).where("kind = 'mfa'")
 
 
 def part_edges(spark, d: str, lines: str = "l_quantity >= 49") -> DataFrame:
@@ -119,7 +119,7 @@ WS = "WITH " + SUPPLY
 DOCS = "d AS (SELECT CAST(doc_id AS VARCHAR) AS path, source AS module, md5(text) AS md5 FROM documents)"
 
 
-@query("d1_purity", WR + "SELECT fn_id, level, at_least, deps FROM r")
+@query("d1_effects", WR + "SELECT fn_id, level, at_least, deps FROM r")
 def d1(spark, d):
     return supply_results(spark, d).select("fn_id", "level", "at_least", labels().alias("deps"))
 
@@ -144,7 +144,7 @@ def i2(spark, d):
 
 @query("b13_map_to_level", WR + "SELECT fn_id, level < 3 AS clean1, level < 2 AS clean2, level < 1 AS clean3, at_least OR deps <> '' AS bound FROM r")
 def b13(spark, d):
-    return T.purity_of(supply_results(spark, d)).select("fn_id", *[L.map_to_level("level", n).alias(f"clean{n}") for n in (1, 2, 3)], F.col("at_least").alias("bound"))
+    return T.bounded_level_of(supply_results(spark, d)).select("fn_id", *[L.map_to_level("level", n).alias(f"clean{n}") for n in (1, 2, 3)], F.col("at_least").alias("bound"))
 
 
 @query("b8_is_pure", WR + "SELECT 's:' || s_suppkey AS fn_id, coalesce(level = 0 AND NOT at_least AND deps = '', FALSE) AS pure FROM supplier LEFT JOIN r ON fn_id = 's:' || s_suppkey")
@@ -433,10 +433,10 @@ def c10(spark, d):
     return T.replace_modules(rows, rows.where("source = 'src1' AND doc_id % 3 = 0")).select("fn_id", "module")
 
 
-@query("c16_inconsistent", "SELECT CAST(doc_id AS VARCHAR) AS fn_id, o AS option_key FROM documents, (VALUES ('purity'), ('termination')) v(o) WHERE (o = 'termination' AND doc_id % 3 = 0)")
+@query("c16_inconsistent", "SELECT CAST(doc_id AS VARCHAR) AS fn_id, o AS option_key FROM documents, (VALUES ('effects'), ('termination')) v(o) WHERE (o = 'termination' AND doc_id % 3 = 0)")
 def c16(spark, d):
     f = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("fn_id"), "doc_id")
-    r = f.withColumn("option_key", F.explode(F.array(F.lit("purity"), F.lit("termination")))).where("option_key = 'purity' OR doc_id % 3 <> 0")
+    r = f.withColumn("option_key", F.explode(F.array(F.lit("effects"), F.lit("termination")))).where("option_key = 'effects' OR doc_id % 3 <> 0")
     return store.inconsistent(f, r)
 
 
