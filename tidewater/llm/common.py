@@ -10,10 +10,12 @@ from pyspark.sql.window import Window as W
 
 from tidewater.runtime import cut, shared_dir, staged
 
-__all__ = ["arrow_map", "cut", "ranked", "row_key", "shared_dir", "staged"]
+__all__ = ["arrow_map", "cut", "hot_keys", "ranked", "row_key", "salted_join", "shared_dir", "staged"]
 
 #: Bytes of an Arrow batch that goes to a worker (a row of more goes alone).
 BATCH_BYTES = 2 << 20
+#: A key that holds more than one in so many rows is hot: so there are fewer hot keys than this, which bounds their broadcast.
+HOT = 256
 
 
 def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
@@ -41,3 +43,20 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, c
     own = W.partitionBy(*keys, "__cell").orderBy(*order)
     df = df.withColumn("__own", F.row_number().over(own) - 1)
     return df.join(bases, [*keys, "__cell"]).withColumn(out, (F.col("__own") + F.col("__base")).cast("long")).drop("__cell", "__own", "__base")
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """``(key, __parts int)``: keys with more than 1 / HOT of the rows and in how many parts to deal them. Fewer than HOT rows."""
+    counts = df.groupBy(key).agg(F.count("*").alias("__n"))
+    total = df.agg(F.count("*").alias("__all"))
+    found = counts.join(F.broadcast(total)).where(F.col("__n") * HOT > F.col("__all"))  # one row on the right side
+    return staged(found.select(key, F.ceil(F.col("__n") * HOT / F.col("__all")).cast("int").alias("__parts")))
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, hot: DataFrame, salt: Column, how: str = "inner") -> DataFrame:
+    """``many`` with ``few`` by ``key``: rows of a hot key are dealt over its parts by a hash of ``salt`` (which has to differ among
+    them), and the other side's rows of that key are repeated once a part. ``how`` is inner, left or left_semi."""
+    hot = F.broadcast(hot)
+    many = many.withColumn("__salt", F.xxhash64(salt)).join(hot, key, "left").withColumn("__part", F.coalesce(F.pmod("__salt", "__parts"), F.lit(0)).cast("int"))
+    few = few.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+    return many.drop("__salt", "__parts").join(few.drop("__parts"), [key, "__part"], how).drop("__part")

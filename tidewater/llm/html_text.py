@@ -4,317 +4,410 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import arrow_map, cut, staged
+from tidewater.llm.common import arrow_map, hot_keys, salted_join, staged
 from tidewater.llm.urls import host_path
 
-#: HTML's elements that begin a block; those whose content is never text of the page; and the names that
-#: elements, classes, ids and roles give to parts besides the main text.
+#: HTML's elements that begin a block; those whose content is never text of the page; those set aside by
+#: themselves; and the whole names that classes, ids and roles give to parts besides the main text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td template tfoot th thead tr ul".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas audio video title textarea select button".split())
-ASIDE = frozenset("head nav header footer aside form menu dialog".split())
-NAMES = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget ad ads advert adverts advertisement adsense sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments respond disqus toolbar login search pagination pager skip contentinfo complementary".split()
+ASIDE = frozenset("head nav footer aside form menu dialog".split())
+NAMES = re.compile(
+    r"(?:(?:site|page|main|top|global|primary|secondary|left|right|sub|has)[-_]?)?(?:nav|navbar|navigation|menu|breadcrumbs?|masthead|footer|side-?bar)"
+    r"|(?:site|page|global|top)[-_]?header|header|banner|contentinfo|complementary"
+    r"|(?:ad|ads|adsense|advert|adverts|advertisement|sponsor|sponsored|promo)(?:[-_](?:box|banner|slot|unit|container|wrapper|block|top|bottom|\d+))*"
+    r"|(?:cookies?|consent|gdpr)(?:[-_]?(?:notice|banner|bar|consent|popup))?|notices?|alert|popup|modal|overlay"
+    r"|newsletter(?:[-_]\w+)?|subscribe|signup|login|search[-_]?(?:form|box|bar)|(?:social[-_]?)?shar(?:e|ing)(?:[-_]\w+)?|social(?:[-_](?:links|icons|media))?"
+    r"|related[-_](?:posts|articles|stories|links|content)|recommended(?:[-_]\w+)?|widgets?|toolbar|pagination|pager|skip[-_]link"
+    r"|(?:user|reader)?[-_]?comments?(?:[-_](?:list|section|area|thread|form|box))?|disqus(?:[-_]thread)?|respond|replies"
 )
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What an opening element closes, what lists it stays in, and elements that may hold the whole content.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol dl table menu".split())
-VOID = frozenset("hr".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+HOLDS = frozenset("html body article main div section center td table tbody tr details".split())
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
+#: Bits that describe a node of a tree.
+HIDDEN, ARTICLE, MAIN, TITLE, MANY, HOLDER = 1, 2, 4, 8, 16, 32
+#: A block is template if it stands at one node on this share of a host's different pages, of which there are so many at least.
+CONSTANT, LEAST_PAGES = 0.9, 3
+#: Blocks of fewer words (table labels, list items) repeat in contents, too: they say too little to be called template.
+LEAST_WORDS = 3
 
-class Node:
-    __slots__ = ("aside", "children", "label", "parent", "tag", "text")
+TREE = "paths array<long>, parents array<int>, kinds array<int>"
+LEAVES = "at array<int>, hashes array<long>, sizes array<int>"
 
-    def __init__(self, tag: str, label: str, aside: bool, parent: Node | None) -> None:
-        self.tag, self.label, self.aside, self.parent = tag, label, aside, parent
-        self.children: list[Node] = []  # a node's own text is a child with the label "#"
-        self.text = ""
 
+class Tree:
+    """A page's block tree; siblings with one label are one node, so a node is named by the labels on its way from the root
+    (``paths``, hashed). Nodes are numbered so that parents come before children. Texts are leaves: the node that each
+    belongs to, its hash, how many of its characters are outside of links, and the block itself."""
 
-def parse(page: str | None) -> Node:
-    """Tree of block elements; inline ones only part the text. Unclosed and stray tags are mended as browsers do."""
-    root = at = Node("html", "html", False, None)
-    page, pos, words = page or "", 0, []
+    __slots__ = ("at", "blocks", "hashes", "kinds", "parents", "paths", "sizes")
+
+    def __init__(self) -> None:
+        self.paths, self.parents, self.kinds = [1], [-1], [HOLDER]
+        self.at: list[int] = []
+        self.hashes: list[int] = []
+        self.sizes: list[int] = []
+        self.blocks: list[str] = []
+
+
+def parse(page: str | None) -> Tree:
+    """The page's tree; inline elements only part the text. Unclosed and stray tags are mended as browsers do."""
+    tree, page, pos = Tree(), page or "", 0
+    known: dict[int, int] = {1: 0}
+    open_ = [("html", 0, False)]  # (element, node, set aside by itself) from the root to here
+    counts: Counter[str] = Counter()
+    named: set[tuple[int, int]] = set()  # (parent element's number, node) met: a second time the node stands for many
+    words: list[str] = []
+    serials, serial = [0], 0
+    linked = links = 0
 
     def flush() -> None:
+        nonlocal links
         if words:
             text = " ".join(html.unescape("".join(words)).split())
             words.clear()
             if text:
-                leaf = Node("#", "#", False, at)
-                leaf.text = text
-                at.children.append(leaf)
+                node = open_[-1][1]
+                tree.at.append(node)
+                tree.hashes.append(xxhash.xxh64_intdigest(text) >> 1)
+                tree.sizes.append(0 if tree.kinds[node] & HIDDEN else max(0, len(text) - links))
+                tree.blocks.append(text)
+        links = 0
+
+    def pop() -> None:
+        counts[open_.pop()[0]] -= 1
+        serials.pop()
 
     for m in iter(lambda: TAG.search(page, pos), None):
         words.append(page[pos : m.start()])
+        if linked:
+            links += m.start() - pos
         pos = m.end()
-        name = (m[2] or "").lower()
+        close, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        name = (name or "").lower()
         if name in RAW:
-            if not m[1] and not m[3].endswith("/"):
+            if not close and not rest.endswith("/"):
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, pos)
                 pos = end.end() if end else len(page)
             words.append(" ")
         elif name == "br":
             words.append(" ")
+        elif name == "a":
+            linked = 0 if close else 1
         elif name in BLOCKS:
             flush()
-            if m[1]:
-                up = at
-                while up.parent and up.tag != name:
-                    up = up.parent
-                if up.parent and up.tag == name:
-                    at = up.parent
+            linked = 0
+            if close:
+                if counts[name]:
+                    while open_[-1][0] != name:
+                        pop()
+                    pop()
                 continue
             if name in ("html", "body"):
                 continue
-            up = at
-            while up.parent and up.tag not in LISTS:
-                if up.tag in CLOSES.get(name, ()) or up.tag == "p" or (name in ("article", "main") and up.aside):
-                    at = up.parent
-                up = up.parent
-            marks = " ".join(v for _, *vs in ATTRIBUTE.findall(m[3]) for v in vs if v).lower() if m[3] else ""
-            aside = name in ASIDE or (bool(marks) and name not in ("article", "main") and not NAMES.isdisjoint(re.split(r"[^a-z]+", marks)))
-            node = Node(name, f"{name}.{marks.split()[0]}" if marks.split() else name, aside, at)
-            at.children.append(node)
-            if name not in VOID:
-                at = node
+            if counts["p"] and open_[-1][0] == "p":
+                pop()
+            ends = CLOSES.get(name, ())
+            if any(counts[x] for x in ends):
+                for k in range(len(open_) - 1, 0, -1):
+                    if open_[k][0] in LISTS:
+                        break
+                    if open_[k][0] in ends:
+                        while len(open_) > k:
+                            pop()
+            if name in ("article", "main"):  # an unclosed menu doesn't hold the article
+                for k in range(1, len(open_)):
+                    if open_[k][2]:
+                        while len(open_) > k:
+                            pop()
+                        break
+            marks = " ".join(v for _, *vs in ATTRIBUTE.findall(rest) for v in vs if v).lower().split() if rest else []
+            inside = any(counts[x] for x in ("article", "main"))
+            aside = name in ASIDE or name == "header" and not inside or name not in ("article", "main") and any(map(NAMES.fullmatch, marks))
+            up = open_[-1][1]
+            label = f"{name} {re.sub('[0-9]+', '0', marks[0]) if marks else ''} {int(aside)}"
+            path = xxhash.xxh64_intdigest(label, tree.paths[up]) >> 1
+            node = known.get(path)
+            if node is None:
+                node = known[path] = len(tree.paths)
+                tree.paths.append(path)
+                tree.parents.append(up)
+                kind = (HIDDEN if aside or tree.kinds[up] & HIDDEN else 0) | (ARTICLE if name == "article" else MAIN if name == "main" else TITLE if name == "h1" else 0)
+                tree.kinds.append(kind | (HOLDER if name in HOLDS else 0))
+            if (serials[-1], node) in named:
+                tree.kinds[node] |= MANY
+            named.add((serials[-1], node))
+            if name != "hr":
+                serial += 1
+                open_.append((name, node, aside))
+                serials.append(serial)
+                counts[name] += 1
     words.append(page[pos:])
     flush()
-    return root
-
-
-def texts(node: Node) -> list[str]:
-    """Blocks of text below a node in page order, without its parts set aside."""
-    out, stack = [], [node]
-    while stack:
-        n = stack.pop()
-        if n.text:
-            out.append(n.text)
-        stack += [c for c in reversed(n.children) if not c.aside]
+    for k in range(1, len(tree.kinds)):  # many parents, many nodes
+        if tree.kinds[tree.parents[k]] & MANY:
+            tree.kinds[k] |= MANY
+    return tree
+
+
+def _heaviest_rise(js: list[int], ws: list[int]) -> list[int]:
+    """Positions of a subsequence with rising ``js`` and the largest sum of ``ws``."""
+    if all(a < b for a, b in pairwise(js)):
+        return list(range(len(js)))
+    rank = {j: r + 1 for r, j in enumerate(sorted(js))}
+    best: list[tuple[int, int]] = [(0, -1)] * (len(js) + 1)  # a Fenwick tree of (sum, last position)
+    before, top = [-1] * len(js), (0, -1)
+    for i, j in enumerate(js):
+        r, found = rank[j] - 1, (0, -1)
+        while r:
+            found = max(found, best[r], key=lambda x: x[0])
+            r -= r & -r
+        before[i], mine = found[1], (found[0] + ws[i], i)
+        top = max(top, mine, key=lambda x: x[0])
+        r = rank[j]
+        while r <= len(js):
+            if best[r][0] < mine[0]:
+                best[r] = mine
+            r += r & -r
+    out, i = [], top[1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def match(paths: list[int], parents: list[int], ref: dict[int, int]) -> dict[int, int]:
+    """Simple tree matching with a reference tree ``ref`` (path -> number): node numbers to those of the reference, a largest
+    pairing that keeps the order of siblings and in which paired nodes have equal labels and paired parents.
+
+    Labels of siblings differ, so a node has one possible partner, and the best pairing of two lists of children is
+    their heaviest rising subsequence: n log n steps for any width."""
+    to = [ref.get(p, -1) for p in paths]
+    children: list[list[int]] = [[] for _ in paths]
+    for k in range(1, len(paths)):
+        if to[k] >= 0:
+            children[parents[k]].append(k)
+    weight = [1] * len(paths)
+    for k in range(len(paths) - 1, -1, -1):
+        own = children[k]
+        if own and to[k] >= 0:
+            if len(own) > 1:
+                own = children[k] = [own[i] for i in _heaviest_rise([to[c] for c in own], [weight[c] for c in own])]
+            weight[k] += sum(weight[c] for c in own)
+    out, todo = {}, [0] if to[0] >= 0 else []
+    while todo:
+        k = todo.pop()
+        out[k] = to[k]
+        todo += children[k]
     return out
 
 
-Skeleton = tuple  # (label, (children, ..)); siblings that follow each other with one label are one
-
-
-def skeleton(node: Node) -> tuple[Skeleton, list[list[Node]]]:
-    """The tree's skeleton, and for each skeleton node, in preorder, the nodes it stands for."""
-    stands: list[list[Node]] = []
-
-    def build(nodes: list[Node]) -> Skeleton:
-        stands.append(nodes)
-        groups: list[list[Node]] = []
-        for n in nodes:
-            for c in n.children:
-                same = next((g for g in groups if g[0].label == c.label), None)
-                if same is not None:
-                    same.append(c)
-                else:
-                    groups.append([c])
-        return (nodes[0].label, tuple(build(g) for g in groups) if len(stands) < 400 else ())
-
-    return build([node]), stands
-
-
-def dump(s: Skeleton) -> str:
-    return s[0] + ("(" + "\x1f".join(map(dump, s[1])) + ")" if s[1] else "")
-
-
-def load(text: str) -> Skeleton:
-    pos = 0
-
-    def node() -> Skeleton:
-        nonlocal pos
-        end = pos
-        while end < len(text) and text[end] not in "()\x1f":
-            end += 1
-        label, children = text[pos:end], []
-        pos = end
-        if pos < len(text) and text[pos] == "(":
-            while text[pos] in "(\x1f":
-                pos += 1
-                children.append(node())
-            pos += 1
-        return (label, tuple(children))
-
-    return node()
-
-
-@lru_cache(maxsize=4096)
-def match(a: str, b: str) -> dict[int, int]:
-    """Simple tree matching: preorder numbers of skeleton a's nodes to those of b, a largest order-keeping pairing in which
-    paired nodes have paired parents and equal labels."""
-    def numbered(s: Skeleton, start: int) -> tuple[tuple, int]:
-        n, children = start + 1, []
-        for c in s[1]:
-            child, n = numbered(c, n)
-            children.append(child)
-        return (s[0], start, children), n
-
-    def go(x: tuple, y: tuple) -> tuple[int, list]:
-        if x[0] != y[0]:
-            return 0, []
-        xs, ys = x[2], y[2]
-        best = [[(0, None)] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i in range(1, len(xs) + 1):
-            for j in range(1, len(ys) + 1):
-                w, pairs = go(xs[i - 1], ys[j - 1])
-                best[i][j] = max((best[i - 1][j - 1][0] + w, (i - 1, j - 1, pairs)), (best[i - 1][j][0], (i - 1, j, None)), (best[i][j - 1][0], (i, j - 1, None)), key=lambda t: t[0])
-        out, i, j = [(x[1], y[1])], len(xs), len(ys)
-        while i and j and best[i][j][1]:
-            i, j, pairs = best[i][j][1]
-            out += pairs or []
-        return best[len(xs)][len(ys)][0] + 1, out
-
-    return dict(go(numbered(load(a), 0)[0], numbered(load(b), 0)[0])[1])
-
-
-def _own(nodes: list[Node]) -> str:
-    return "\n".join(t for n in nodes for t in ([n.text] if n.text else []))
-
-
-def content_root(varies: list[int], chars: list[int], sk: str) -> int:
-    """Preorder number of the skeleton node that holds the varying slots: their lowest common ancestor, lifted out of a
-    single block of text and to an enclosing article; or the article inside it that holds most of the varying text. -1: none."""
-    flat: list[tuple[str, int]] = []
-
-    def walk(s: Skeleton, parent: int) -> None:
-        flat.append((s[0], parent))
-        me = len(flat) - 1
-        for c in s[1]:
-            walk(c, me)
-
-    walk(load(sk), -1)
-    up = lambda k: [k, *up(flat[k][1])] if k >= 0 else []
-    slots = [k for k in range(len(flat)) if k < len(varies) and varies[k]]
-    if not slots:
-        return -1
-    common = set(up(slots[0])).intersection(*map(up, slots))
-    root = max(common)
-    tag = lambda k: flat[k][0].split(".")[0]
-    while root > 0 and tag(root) not in ("article", "main", "div", "section", "td", "body"):
-        root = flat[root][1]
-    lifted = [k for k in up(root) if tag(k) in ("article", "main")]
-    if lifted:
-        return lifted[-1]
-    total = sum(chars[k] for k in slots)
-    inside = [k for k in range(len(flat)) if tag(k) in ("article", "main") and root in up(k) and 2 * sum(chars[j] for j in slots if k in up(j)) >= total]
-    return min(inside, default=root)
-
-
-def _plain(root: Node) -> Node:
-    """Without a wrapper: the article or main element with the most text, else the whole page."""
-    best, stack = (0, root), [root]
-    while stack:
-        n = stack.pop()
-        if n.tag in ("article", "main"):
-            size = sum(map(len, texts(n)))
-            if size > best[0]:
-                best = (size, n)
-        else:
-            stack += reversed(n.children)
-    return best[1]
-
-
-def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page its skeleton, and of each skeleton node the text's hash (0: none or set aside) and length."""
+def content_nodes(parents: list[int], kinds: list[int], chars: list[int]) -> list[int]:
+    """The nodes whose blocks are the main text, by how much text that varies (outside of links and of parts set aside)
+    stands at each node: from the root on into the one container that holds over half of it, as long as there is one. An
+    article (else a main element) around it is taken whole, or the one in it with half of the text; else the page's titles
+    before it belong to it, too."""
+    total, titled = list(chars), [bool(k & TITLE and chars[i]) for i, k in enumerate(kinds)]
+    for k in range(len(parents) - 1, 0, -1):
+        if not kinds[k] & HIDDEN:
+            total[parents[k]] += total[k]
+            titled[parents[k]] |= titled[k]
+    children: list[list[int]] = [[] for _ in parents]
+    for k in range(1, len(parents)):
+        if not kinds[k] & HIDDEN:
+            children[parents[k]].append(k)
+    at, way = 0, [0]
+    while children[at]:
+        best = max(children[at], key=lambda c: total[c])
+        if 2 * total[best] <= total[at] or kinds[best] & MANY or not kinds[best] & HOLDER:
+            break
+        at = best
+        way.append(at)
+    for kind in (ARTICLE, MAIN):
+        held = [k for k in way if kinds[k] & kind]
+        if held:
+            return held[-1:]
+    inside, todo = [], [at]
+    while todo:
+        k = todo.pop()
+        todo += children[k]
+        if kinds[k] & (ARTICLE | MAIN) and 2 * total[k] >= total[at]:
+            inside.append(k)
+    if inside:
+        return [max(inside, key=lambda k: (bool(kinds[k] & ARTICLE), total[k], -k))]
+    if titled[at]:
+        return [at]
+    return [*(c for up, down in pairwise(way) for c in children[up] if c < down and titled[c]), at]
+
+
+def kept_blocks(tree, wanted: set[int], constants: set[int]) -> list[int]:
+    """Numbers of the leaves below the ``wanted`` nodes, without parts set aside in them and without constant ones; all of them,
+    if constants hold over half of the text: such a page is a copy of others, and nothing says which of it is template."""
+    inside = [False] * len(tree.paths)
+    for k, (up, kind) in enumerate(zip(tree.parents, tree.kinds)):
+        inside[k] = (k in wanted or up >= 0 and inside[up]) and not kind & HIDDEN
+    own = [i for i, k in enumerate(tree.at) if inside[k]]
+    if constants:
+        rest = [i for i in own if tree.hashes[i] ^ tree.paths[tree.at[i]] not in constants or tree.blocks[i].count(" ") < LEAST_WORDS - 1]
+        if 2 * sum(len(tree.blocks[i]) for i in rest) >= sum(len(tree.blocks[i]) for i in own):
+            return rest
+    return own
+
+
+def own_content(tree) -> set[int]:
+    """Content nodes by the page's own text alone."""
+    chars = [0] * len(tree.paths)
+    for k, n in zip(tree.at, tree.sizes):
+        chars[k] += n
+    articles = [k for k, kind in enumerate(tree.kinds) if kind & (ARTICLE | MAIN) and not kind & HIDDEN]
+    if articles:  # the one with the most text, the first of equal ones
+        total = list(chars)
+        for k in range(len(total) - 1, 0, -1):
+            if not tree.kinds[k] & HIDDEN:
+                total[tree.parents[k]] += total[k]
+        best = max(articles, key=lambda k: (total[k], -k))
+        if total[best]:
+            return {best}
+    return set(content_nodes(tree.parents, tree.kinds, chars))
+
+
+def extract(tree, ref: list[int] | None = None, nodes: list[int] | None = None, constants: set[int] = frozenset()) -> str:
+    """The main text of a page, with its host's wrapper if there is one and the page has its content nodes."""
+    kept: list[int] = []
+    if ref and nodes:
+        goal = set(nodes)
+        wanted = {own for own, other in match(tree.paths, tree.parents, {p: i for i, p in enumerate(ref)}).items() if other in goal}
+        kept = kept_blocks(tree, wanted, constants)
+    if not kept:
+        kept = kept_blocks(tree, own_content(tree), frozenset())
+    return "\n\n".join(tree.blocks[i] for i in kept)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    long, whole, text = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())
+    names = ["__id", "__url", "__host", "digest", "shape", "paths", "parents", "kinds", "at", "hashes", "sizes", "blocks"]
     for b in batches:
-        shapes, hashes, sizes = [], [], []
-        for page in b.column("__html").to_pylist():
-            sk, stands = skeleton(parse(page))
-            own = ["" if any(p.aside for p in _line(ns[0])) else _own(ns) for ns in stands]
-            shapes.append(dump(sk))
-            hashes.append([xxhash.xxh64_intdigest(t) >> 1 if t else 0 for t in own])
-            sizes.append([len(t) for t in own])
-        yield pa.RecordBatch.from_arrays([b.column("__host"), pa.array(shapes, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))], ["__host", "shape", "hashes", "sizes"])
-
-
-def _line(node: Node) -> Iterator[Node]:
-    at: Node | None = node
-    while at:
-        yield at
-        at = at.parent
+        trees = [parse(p.as_py()) for p in b.column("__html")]
+        digests, shapes = [], []
+        for t in trees:
+            digests.append(xxhash.xxh64_intdigest(np.array([*t.paths, *t.at, *t.hashes], "<i8").tobytes()) >> 1)
+            held = sorted({t.paths[p] for p in t.parents[1:] if not t.kinds[p] & HIDDEN})
+            shapes.append(xxhash.xxh64_intdigest(np.array(held, "<i8").tobytes()) >> 1)
+        cols = [pa.array(digests, pa.int64()), pa.array(shapes, pa.int64())]
+        cols += [pa.array([getattr(t, n) for t in trees], kind) for n, kind in (("paths", long), ("parents", whole), ("kinds", whole), ("at", whole), ("hashes", long), ("sizes", whole), ("blocks", text))]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:3]), *cols], names)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums for each host and node of its reference page: pages in which the node differs, and their text's length."""
+    """For each host, node of its reference tree and block there: on how many pages it stands, and how long it is in all. Node -1
+    counts the pages."""
     for b in batches:
-        sums: dict[tuple[str, int], list[int]] = {}
-        for host, shape, hashes, sizes, ref, known in zip(*(b.column(c).to_pylist() for c in ("__host", "shape", "hashes", "sizes", "ref", "known")), strict=True):
-            for own, other in match(shape, ref).items():
-                if own < len(hashes) and hashes[own]:
-                    s = sums.setdefault((host, other), [0, 0])
-                    s[0] += hashes[own] != known[other]
-                    s[1] += sizes[own]
+        sums: dict[tuple[str, int, int], list[int]] = {}
+        for r in b.to_pylist():
+            to = match(r["paths"], r["parents"], {p: i for i, p in enumerate(r["ref"])})
+            pages = {(r["__host"], -1, 0): 0}
+            for k, h, n in zip(r["at"], r["hashes"], r["sizes"]):
+                if k in to:
+                    key = (r["__host"], to[k], h)
+                    pages[key] = pages.get(key, 0) + n
+            for key, n in pages.items():
+                s = sums.setdefault(key, [0, 0])
+                s[0] += 1
+                s[1] += n
         if sums:
-            yield pa.RecordBatch.from_pydict({"__host": [k[0] for k in sums], "node": [k[1] for k in sums], "varies": [v[0] for v in sums.values()], "chars": [v[1] for v in sums.values()]})
-
+            host, node, block = zip(*sums)
+            pages, chars = zip(*sums.values())
+            yield pa.RecordBatch.from_pydict({"__host": host, "node": pa.array(node, pa.int32()), "block": pa.array(block, pa.int64()), "pages": pa.array(pages, pa.int64()), "chars": pa.array(chars, pa.int64())})
 
-def induce(pages: DataFrame) -> DataFrame:
-    """Wrappers ``(__host, ref, root)`` from ``(__host, __html)``: the reference page's skeleton and the preorder number of its
-    content node, -1 where the host's pages don't differ."""
-    shapes = cut(arrow_map(pages, _shapes, "__host string, shape string, hashes array<long>, sizes array<long>").dropDuplicates(["__host", "shape", "hashes"]))
-    refs = staged(shapes.groupBy("__host").agg(F.min_by(F.struct(F.col("shape").alias("ref"), F.col("hashes").alias("known")), F.struct(F.xxhash64("shape", "hashes"), "shape")).alias("r")).select("__host", "r.ref", "r.known"))
-    sums = shapes.join(refs, "__host").mapInArrow(_aligned, "__host string, node long, varies long, chars long")
-    sums = sums.groupBy("__host", "node").agg(F.sum("varies").alias("varies"), F.sum("chars").alias("chars"))
-    wrappers = refs.select("__host", "ref").join(sums.groupBy("__host").agg(F.collect_list(F.struct("node", "varies", "chars")).alias("nodes")), "__host", "left")
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            chars = [0] * len(r["ref"])
+            for n in r["nodes"] or ():
+                chars[n["node"]] = n["chars"]
+            out.append(content_nodes(r["parents"], r["kinds"], chars) if any(chars) else [])
+        yield pa.RecordBatch.from_arrays([b.column("__host"), b.column("ref"), pa.array(out, pa.list_(pa.int32())), b.column("constants")], ["__host", "ref", "nodes", "constants"])
+
+
+def induce(trees: DataFrame, hot: DataFrame) -> DataFrame:
+    """Wrappers ``(__host, ref, nodes, constants)`` from pages' trees: the paths of the reference page, the numbers of its content
+    nodes (none where the host's pages don't differ) and the constant blocks (hash XOR path of their node).
+
+    The reference is a page of the host's most frequent shape, that of least digest. No page or block of a host is
+    gathered: blocks are counted per batch before the shuffle. What is collected for a host is bounded by the
+    reference page: its nodes, and the constant blocks, each of which most pages hold."""
+    distinct = trees.select("__host", "digest", "shape", *(c.split()[0] for c in (TREE + ", " + LEAVES).split(", "))).dropDuplicates(["__host", "digest"])
+    shapes = distinct.groupBy("__host", "shape").agg(F.count("*").alias("n"), F.min("digest").alias("digest"))
+    best = shapes.groupBy("__host").agg(F.max_by("digest", F.struct("n", "shape")).alias("digest"))
+    refs = distinct.join(best, ["__host", "digest"], "left_semi").select("__host", F.col("paths").alias("ref"), "parents", "kinds")
+    refs = staged(refs)
+    pairs = salted_join(distinct.drop("shape", "kinds"), refs.select("__host", "ref"), "__host", hot, F.col("digest"))
+    sums = arrow_map(pairs, _aligned, "__host string, node int, block long, pages long, chars long")
+    sums = staged(sums.groupBy("__host", "node", "block").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars")))
+    n = sums.where("node = -1").select("__host", F.col("pages").alias("n"))
+    same = (F.col("n") >= LEAST_PAGES) & (F.col("pages") >= CONSTANT * F.col("n"))
+    marked = salted_join(sums.where("node >= 0"), n, "__host", hot, F.struct("node", "block")).withColumn("same", same)
+    nodes = marked.groupBy("__host", "node").agg(F.sum(F.when(F.col("same"), 0).otherwise(F.col("chars"))).alias("chars"))
+    nodes = nodes.groupBy("__host").agg(F.collect_list(F.struct("node", "chars")).alias("nodes"))
+    constant = marked.where("same").join(refs.select("__host", F.posexplode("ref").alias("node", "path")), ["__host", "node"])
+    constant = constant.groupBy("__host").agg(F.collect_list(F.col("block").bitwiseXOR(F.col("path"))).alias("constants"))
+    out = refs.join(nodes, "__host", "left").join(constant, "__host", "left")
+    return staged(arrow_map(out, _chosen, "__host string, ref array<long>, nodes array<int>, constants array<long>"))
+
+
+class _Row:
+    """One page's tree as it was staged."""
+
+    def __init__(self, r: dict) -> None:
+        self.__dict__.update(r)
+
+
+def _extracted(id_col: str, url_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            roots = []
-            for ref, nodes in zip(b.column("ref").to_pylist(), b.column("nodes").to_pylist(), strict=True):
-                size = 1 + max((n["node"] for n in nodes or ()), default=0)
-                varies, chars = [0] * size, [0] * size
-                for n in nodes or ():
-                    varies[n["node"]], chars[n["node"]] = n["varies"], n["chars"]
-                roots.append(content_root(varies, chars, ref))
-            yield pa.RecordBatch.from_arrays([b.column("__host"), b.column("ref"), pa.array(roots, pa.int64())], ["__host", "ref", "root"])
-
-    return staged(wrappers.mapInArrow(choose, "__host string, ref string, root long"))
-
-
-def extract(page: str | None, ref: str | None, root: int | None) -> str:
-    tree = parse(page)
-    at = None
-    if ref and root is not None and root >= 0:
-        sk, stands = skeleton(tree)
-        back = {other: own for own, other in match(dump(sk), ref).items()}
-        if root in back and len(stands[back[root]]) == 1:
-            at = stands[back[root]][0]
-    blocks = texts(at if at is not None else _plain(tree)) or texts(_plain(tree))
-    return "\n\n".join(blocks)
+            out = [extract(_Row(r), r["ref"], r["nodes"], set(r["constants"] or ())) for r in b.drop_columns(["__id", "__url"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [id_col, url_col, "text", "n_chars"])
+
+    return run
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id, url, text, n_chars)`` of every page.
 
-    Per host the different pages' block trees are aligned with a reference page (that of least hash) by simple tree matching.
-    Nodes whose text is the same on all are template, those that vary are slots; the content node is the varying slots' lowest
-    common ancestor. Its blocks are the text, without parts whose element, class, id or role names them a menu, header, footer,
-    sidebar, notice, advert, form or comments. A host with one page, or whose pages are equal, shows no slots: there, and where
-    a page's tree doesn't match, the article or main element with the most text is taken, else the page. Pages of one host
-    are never gathered: alignments are summed per batch and node before the shuffle. Null or empty html gives an empty
-    text; a URL without host counts as the host ''; repeated pages give repeated rows."""
-    url = F.col(url_col)
-    base = pages.select(F.col(id_col).alias("__id"), url.alias("__url"), F.col(html_col).alias("__html")).withColumn("__host", host_path(F.col("__url"))[0])
-    wrappers = induce(base.select("__host", "__html"))
-    joined = base.join(wrappers, "__host", "left").select("__id", "__url", "__html", "ref", "root")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [extract(*x) for x in zip(*(b.column(c).to_pylist() for c in ("__html", "ref", "root")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [id_col, url_col, "text", "n_chars"])
-
+    Per host the block trees of the different pages are aligned with that of a reference page by simple tree matching. Blocks
+    of LEAST_WORDS words that are the same at their node on CONSTANT of at least LEAST_PAGES pages are template and go, wherever they stand;
+    nodes whose text varies are slots. The content is the container into which most of the varying text leads (see
+    content_nodes()); links and parts that their element, or the whole name of a class, id or role, sets aside (menu, header,
+    footer, sidebar, notice, advert, form, comments) count for nothing there and are left out within it.
+    A host of one page, or of equal ones, shows no slots: there, and where a page has no such node, its largest article
+    or main element is taken (the first of equal ones), else the same search over its own text. Several articles that
+    are siblings with one label are all text. A tree may be of any width and depth; nothing is cut.
+    Null or empty html gives an empty text; a URL without host counts as the host ''; repeated pages give
+    repeated rows; other columns of the input are ignored. Hosts with many pages are joined in salted parts."""
+    base = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).alias("__html"))
+    base = base.withColumn("__host", host_path(F.col("__url"))[0]).select("__id", "__url", "__host", "__html")
     kind = base.schema["__id"].dataType.simpleString()
-    return arrow_map(joined, run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
+    trees = staged(arrow_map(base, _parsed, f"__id {kind}, __url string, __host string, digest long, shape long, {TREE}, {LEAVES}, blocks array<string>"))
+    hot = hot_keys(trees, "__host")
+    joined = salted_join(trees, induce(trees, hot), "__host", hot, F.struct("__id", "__url", "digest"), "left")
+    joined = joined.select("__id", "__url", "paths", "parents", "kinds", "at", "hashes", "sizes", "blocks", "ref", "nodes", "constants")
+    return arrow_map(joined, _extracted(id_col, url_col), f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
 
 
 def op9_main_text(spark, sf_dir: str) -> DataFrame:
