@@ -16,6 +16,8 @@ __all__ = ["arrow_map", "cut", "hot_keys", "ranked", "row_key", "salted_join", "
 BATCH_BYTES = 2 << 20
 #: A key that holds more than one in so many rows is hot: so there are fewer hot keys than this, which bounds their broadcast.
 HOT = 256
+#: A side of at most so many bytes, as measured, is broadcast.
+BROADCAST = 4 << 20
 
 
 def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
@@ -53,10 +55,16 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     return staged(found.select(key, F.ceil(F.col("__n") * HOT / F.col("__all")).cast("int").alias("__parts")))
 
 
-def salted_join(many: DataFrame, few: DataFrame, key: str, hot: DataFrame, salt: Column, how: str = "inner") -> DataFrame:
-    """``many`` with ``few`` by ``key``: rows of a hot key are dealt over its parts by a hash of ``salt`` (which has to differ among
-    them), and the other side's rows of that key are repeated once a part. ``how`` is inner, left or left_semi."""
-    hot = F.broadcast(hot)
+def salted_join(many: DataFrame, few: DataFrame, key: str, salt: Column, how: str = "inner", weight: Column | None = None) -> DataFrame:
+    """``many`` with ``few`` (a staged table) by ``key``. ``how`` is inner, left or left_semi.
+
+    ``few`` is broadcast if its rows, of ``weight`` bytes each, are measured to be BROADCAST bytes at most. Otherwise both are shuffled:
+    rows of a hot key are dealt over its parts by a hash of ``salt`` (which has to differ among them), and the other
+    side's rows of that key are repeated once a part."""
+    size = few.agg(F.sum((F.lit(0) if weight is None else weight) + F.lit(100))).first()[0] or 0
+    if size <= BROADCAST:
+        return many.join(F.broadcast(few), key, how)
+    hot = F.broadcast(hot_keys(many.select(key), key))
     many = many.withColumn("__salt", F.xxhash64(salt)).join(hot, key, "left").withColumn("__part", F.coalesce(F.pmod("__salt", "__parts"), F.lit(0)).cast("int"))
     few = few.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
     return many.drop("__salt", "__parts").join(few.drop("__parts"), [key, "__part"], how).drop("__part")

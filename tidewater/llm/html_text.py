@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import arrow_map, hot_keys, salted_join, staged
+from tidewater.llm.common import arrow_map, salted_join, staged
 from tidewater.llm.urls import host_path
 
 #: HTML's elements that begin a block; those whose content is never text of the page; those set aside by
@@ -345,7 +345,7 @@ def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("__host"), b.column("ref"), pa.array(out, pa.list_(pa.int32())), b.column("constants")], ["__host", "ref", "nodes", "constants"])
 
 
-def induce(trees: DataFrame, hot: DataFrame) -> DataFrame:
+def induce(trees: DataFrame) -> DataFrame:
     """Wrappers ``(__host, ref, nodes, constants)`` from pages' trees: the paths of the reference page, the numbers of its content
     nodes (none where the host's pages don't differ) and the constant blocks (hash XOR path of their node).
 
@@ -357,12 +357,12 @@ def induce(trees: DataFrame, hot: DataFrame) -> DataFrame:
     best = shapes.groupBy("__host").agg(F.max_by("digest", F.struct("n", "shape")).alias("digest"))
     refs = distinct.join(best, ["__host", "digest"], "left_semi").select("__host", F.col("paths").alias("ref"), "parents", "kinds")
     refs = staged(refs)
-    pairs = salted_join(distinct.drop("shape", "kinds"), refs.select("__host", "ref"), "__host", hot, F.col("digest"))
+    pairs = salted_join(distinct.drop("shape", "kinds"), refs.select("__host", "ref"), "__host", F.col("digest"), "inner", 8 * F.size("ref"))
     sums = arrow_map(pairs, _aligned, "__host string, node int, block long, pages long, chars long")
     sums = staged(sums.groupBy("__host", "node", "block").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars")))
-    n = sums.where("node = -1").select("__host", F.col("pages").alias("n"))
+    n = staged(sums.where("node = -1").select("__host", F.col("pages").alias("n")))
     same = (F.col("n") >= LEAST_PAGES) & (F.col("pages") >= CONSTANT * F.col("n"))
-    marked = salted_join(sums.where("node >= 0"), n, "__host", hot, F.struct("node", "block")).withColumn("same", same)
+    marked = salted_join(sums.where("node >= 0"), n, "__host", F.struct("node", "block")).withColumn("same", same)
     nodes = marked.groupBy("__host", "node").agg(F.sum(F.when(F.col("same"), 0).otherwise(F.col("chars"))).alias("chars"))
     nodes = nodes.groupBy("__host").agg(F.collect_list(F.struct("node", "chars")).alias("nodes"))
     constant = marked.where("same").join(refs.select("__host", F.posexplode("ref").alias("node", "path")), ["__host", "node"])
@@ -404,8 +404,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     base = base.withColumn("__host", host_path(F.col("__url"))[0]).select("__id", "__url", "__host", "__html")
     kind = base.schema["__id"].dataType.simpleString()
     trees = staged(arrow_map(base, _parsed, f"__id {kind}, __url string, __host string, digest long, shape long, {TREE}, {LEAVES}, blocks array<string>"))
-    hot = hot_keys(trees, "__host")
-    joined = salted_join(trees, induce(trees, hot), "__host", hot, F.struct("__id", "__url", "digest"), "left")
+    weight = 8 * (F.size("ref") + F.coalesce(F.size("nodes"), F.lit(0)) + F.coalesce(F.size("constants"), F.lit(0)))
+    joined = salted_join(trees, induce(trees), "__host", F.struct("__id", "__url", "digest"), "left", weight)
     joined = joined.select("__id", "__url", "paths", "parents", "kinds", "at", "hashes", "sizes", "blocks", "ref", "nodes", "constants")
     return arrow_map(joined, _extracted(id_col, url_col), f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
 
