@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql.types import StructType
 
-from tidewater.llm.common import arrow_map, cut, row_key, staged
+from tidewater.llm.common import arrow_map, cut, salted_join, staged
 
 #: Titles and the gender they tell, and given and family names by gender and script.
 TITLES = {
@@ -32,50 +34,132 @@ FAMILY = {
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýœß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŒ", "".join(map(chr, range(0x3B1, 0x3CA))), "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x410, 0x430))))
 ALPHABET = {c: a for a in _ALPHABETS for c in a}
 
-_NAME = r"[^\W\d_][^\W\d_'’-]*[^\W\d_]"
-#: Kinds in the order in which they take a place in the text.
+#: Lengths and first digits by which card issuers are told.
+CARDS = re.compile(
+    r"4\d{12}(?:\d{3}){0,2}|(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11}"
+    r"|35(?:2[89]|[3-8]\d)\d{12}(?:\d{3})?|(?:50|5[6-8]|6\d)\d{10,17}"
+)
+#: Words that begin sentences and are no given names.
+OPENERS = frozenset("a an and after all also as at because before but by did do does for from had has he her here his how i if in is it its my no not now of on once or our she since so that the their then there they this though to under until was we were what when where while who why with yes yet you your aber als auch da das dann der die ein eine er es für ihr im in mit nach sie so und von wenn wir zu car ce ces de des elle en et il je la le les mais ou par pour que qui si son sur un une el la los las pero por que su un una y а в и как когда на но он она они по с то у что это".split())
+
+_NAME = r"[^\W\d_](?:['’-]?[^\W\d_])*"
+_AND = r"(?!(?:and|und|et|y|и)\b)"
+TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\.? ({_AND}{_NAME}(?: {_NAME}){{0,2}})")
+SECRET = re.compile(r"(?<![0-9A-Za-z])(?:(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})|(?:sk|pk|ghp|AKIA)[-_]?[0-9A-Za-z]{16,64})(?![0-9A-Za-z])")
+#: Kinds in the order in which they take a place in the text; names come after them.
 PATTERNS = [
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-])")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32}|(?:sk|pk|ghp|AKIA)[-_]?[0-9A-Za-z]{16,64})(?![0-9A-Za-z])")),
+    ("secret", SECRET),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")),
-    ("card", re.compile(r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?![\d-]|\.\d)")),
+    ("card", re.compile(r"(?<![\d-])(?:\d{12,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?![\d-]|\.\d)")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}(?:[ .-]\d{2,4}){1,3}(?![\d-])|(?<![\w+])\+\d{1,3}[ .-]?\d{6,12}(?!\d)")),
-    ("name", re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\.? ((?!(?:and|und|et|y|и)\b){_NAME}(?: {_NAME}){{0,2}})")),
 ]
-#: A cheap test for the JVM that no text with personal data fails.
-MAY_HOLD = r"[\p{Nd}@]|\b(?:" + "|".join(map(re.escape, TITLES)) + r")\.? \p{L}|[0-9a-f]{32}|(?:sk|pk|ghp|AKIA)[-_]?[0-9A-Za-z]{16}"
-#: From these tries on the space of surrogates grows with every try (e-mails by a label, codes by a suffix).
-LABEL, SUFFIX = 2, 16
+_DIGIT, _CODE = re.compile(r"\d"), re.compile(r"(?:sk|pk|ghp|AKIA)[-_]?[0-9A-Za-z]{16}")
+#: From these tries on the space of surrogates grows with every try (e-mails by a label, codes by a suffix, names by a part).
+LABEL, SUFFIX, LONGER = 2, 16, 4
+
+
+def _is_card(found: str) -> bool:
+    digits = "".join(str(unicodedata.digit(c)) for c in found if c.isdecimal())
+    return bool(CARDS.fullmatch(digits)) and _luhn(digits[:-1]) == int(digits[-1])
+
+
+def _blank(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with the places taken blank for later kinds; ``spans`` don't overlap and are in order."""
+    out, at = [], 0
+    for a, b in spans:
+        out += [text[at:a], "\0" * (b - a)]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def _names(text: str) -> list[tuple[int, int, str]]:
+    """``(start, end, gender:name)``: names after a title, and everywhere in the same text mentions of their family names,
+    with a given name before them or alone. A title without gender, or none, takes that of a titled mention with
+    the same given and family name, else with the same family name."""
+    titled, taken, pos = [], [], 0
+    while m := TITLED.search(text, pos):
+        words: list[str] = []
+        for w in m[2].split(" "):
+            if not w[0].isupper() and _script(w) != "other" or w in TITLES or words and w.lower() in OPENERS:
+                break
+            words.append(w)
+        a = m.start(2)
+        pos = a + max(0, len(" ".join(words)))
+        if not words:
+            continue
+        if words[-1][-2:] in ("'s", "’s"):
+            words[-1] = words[-1][:-2]
+        titled.append((a, a + len(" ".join(words)), TITLES[m[1]], words))
+    if not titled:
+        return []
+    genders: dict[tuple[str, ...], set[str]] = {}
+    for _, _, g, words in titled:
+        if g != "n":
+            for k in ((words[0], words[-1]), (words[-1],)):
+                genders.setdefault(k, set()).add(g)
+
+    def told(g: str, words: list[str]) -> str:
+        for k in ((words[0], words[-1]), (words[-1],)) if g == "n" else ():
+            if len(genders.get(k, ())) == 1:
+                return next(iter(genders[k]))
+        return g
+
+    givens = {w for *_, words in titled for w in words[:-1]}
+    rest = _blank(text, [x[:2] for x in titled])
+    alone = re.compile(rf"(?<![\w-])(?:({_NAME}) )?({'|'.join(sorted({re.escape(f) for x in titled for f in (x[3][-1], x[3][-1].upper())}, key=len, reverse=True))})(?![\w-])")
+    small = None
+    for m in alone.finditer(rest):
+        first, last = m[1], m[2]
+        if first and first not in givens:
+            if small is None:
+                small = set(re.findall(r"(?<![\w-])[^\W\d_]+", rest))
+            if not first[0].isupper() or first.lower() in OPENERS or first.lower() in small or first.title() in TITLES:
+                first = None
+        words = [first, last] if first else [last]
+        taken.append((m.start(1) if first else m.start(2), m.end(), f"{told('n', words)}:{' '.join(words)}"))
+    return taken + [(a, b, f"{told(g, words)}:{' '.join(words)}") for a, b, g, words in titled]
 
 
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
-    """``(start, end, kind, entity)`` of a whole text without overlaps, in order; the earlier kind wins a place."""
-    taken: list[tuple[int, int, str, str]] = []
+    """``(start, end, kind, entity)`` of a whole text without overlaps, in order; the earlier kind wins a place. Numbers are
+    cards only if an issuer's length, first digits and check digit hold."""
     if not text:
-        return taken
-    work = text
+        return []
+    taken: list[tuple[int, int, str, str]] = []
+    digits, work = _DIGIT.search(text), text
     for kind, pattern in PATTERNS:
-        if kind == "email" and "@" not in text:
+        if not ("@" in text if kind == "email" else digits or kind == "secret" and _CODE.search(text)):
             continue
-        for a, b, *_ in taken:  # places taken are blank for later kinds
-            work = work[:a] + "\0" * (b - a) + work[b:]
-        for m in pattern.finditer(work):
-            a, b = m.span(1) if kind == "name" else m.span()
-            found = m[1] if kind == "name" else m[0]
-            if kind == "name":
-                words = found.split(" ")
-                while words and not words[-1][0].isupper():
-                    words.pop()
-                if not words or not all(w[0].isupper() for w in words):
-                    continue
-                found, b = " ".join(words), a + len(" ".join(words))
-                found = f"{TITLES[m[0][: a - m.start()].rstrip('. ')]}:{found}"
-            taken.append((a, b, kind, found))
+        new = [(*m.span(), kind, m[0]) for m in pattern.finditer(work) if kind != "card" or _is_card(m[0])]
+        if new:
+            taken += new
+            work = _blank(work, [x[:2] for x in new])
+    if any(t in text for t in TITLES):
+        taken += [(a, b, "name", e) for a, b, e in _names(work)]
     return sorted(taken)
 
 
+def _script(word: str) -> str:
+    name = unicodedata.name(word[0], "")
+    return "latin" if name.startswith("LATIN") else "cyrillic" if name.startswith("CYRILLIC") else "other"
+
+
+def _feminine(word: str) -> bool:
+    return word.lower().endswith(("ова", "ева", "ёва", "ина"))
+
+
+def name_words(entity: str) -> list[tuple[str, str, str]]:
+    """A name's words as ``(kind, key, word)``: given names with the gender, the family name by itself, so that it is the same after
+    any title and alone; Russian feminine family names go with the masculine ones."""
+    gender, _, name = entity.partition(":")
+    words = name.split(" ")
+    last = words[-1].lower()
+    return [*(("given", f"{gender}:{w.lower()}", w) for w in words[:-1]), ("family", last[:-1] if _feminine(last) else last, words[-1])]
+
+
 def _mix(key: bytes, *parts: object) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode(), key=key, digest_size=16).digest(), "big")
 
@@ -119,8 +203,39 @@ def _same_format(text: str, key: bytes, *tweak: object) -> str:
     return "".join(out)
 
 
+def _valid_iban(code: str) -> int:
+    """The remainder by 97, 1 for a valid code."""
+    c = code.replace(" ", "")
+    return int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97
+
+
+def word_surrogate(kind: str, word: str, key: bytes, attempt: int = 0) -> str:
+    """A given or family name of the same script (and gender) for a lower-case one. The lists are short: later tries join two names,
+    and from try LONGER on a made-up part that grows with each try."""
+    gender, _, bare = word.rpartition(":")
+    script, pick = _script(bare), lambda *tweak: _mix(key, kind, word, *tweak)
+    if script == "other":
+        return _same_format(bare + bare[-1] * attempt, key, kind, gender, attempt)
+    own = FAMILY[script] if kind == "family" else GIVEN[script]["mf"[pick("gender") & 1] if gender == "n" else gender]
+    new = own[pick() % len(own)]
+    if attempt:
+        new += "-" + own[pick("second", attempt) % len(own)]
+    if attempt >= LONGER:
+        new += "-" + _same_format(("X" if script == "latin" else "Ж") + ("x" if script == "latin" else "ж") * attempt, key, kind, word, attempt)
+    return new
+
+
+def _worn(new: str, word: str) -> str:
+    """A name's surrogate in the form of the word whose place it takes."""
+    if _script(word) == "cyrillic" and _feminine(word):
+        new = "-".join(x + "а" if x.endswith(("ов", "ев", "ин")) else x for x in new.split("-"))
+    return new.upper() if len(word) > 1 and word.isupper() and _script(word) != "other" else new
+
+
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     """format_surrogate(), with a keyed suffix that grows with later attempts where that alone finds no free one."""
+    if kind in ("given", "family"):
+        return word_surrogate(kind, entity, key, attempt)
     new = format_surrogate(kind, entity, key, attempt)
     if kind in ("email", "name") or attempt < SUFFIX:
         return new
@@ -131,9 +246,10 @@ def format_surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> st
     """A replacement of the same kind and format, the same for the same key, entity and attempt.
 
     Digits stay digits, letters keep script and case. E-mails move to a reserved example domain of the same
-    depth unless they are there already, from attempt LABEL on below a keyed label that grows; card numbers keep the first digit and whether their check digit holds; IP
-    addresses have no first number 0; telephone numbers keep country code and a 555; names follow the
-    title's gender and the script, with as many words."""
+    depth unless they are there already, from attempt LABEL on below a keyed label that grows; card numbers keep their first
+    four digits and a valid check digit, IBANs their country and, if they were valid, validity; IP addresses have no first
+    number 0; telephone numbers keep country code and a 555; keys keep their prefix; names go word by word, with given names
+    of the title's gender."""
     if kind == "email":
         local, _, domain = entity.partition("@")
         head = domain if re.search(r"(?:^|\.)example\.(?:com|net|org)$", domain) else "example.org"
@@ -145,16 +261,16 @@ def format_surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> st
     if kind == "ip":
         n = _mix(key, kind, entity, attempt)
         return ".".join(str(x) for x in (1 + n % 223, n >> 16 & 255, n >> 32 & 255, n >> 48 & 255))
-    if kind in ("card", "iban", "ssn"):
-        head = 4 if kind == "iban" else 1 if kind == "card" else 0
-        digits = re.sub(r"\D", "", entity)
+    if kind == "card":
+        head = [i for i, c in enumerate(entity) if c.isdecimal()][3] + 1
         new = entity[:head] + _same_format(entity[head:], key, kind, entity[:head], attempt)
-        if kind == "card":
-            d = re.sub(r"\D", "", new)
-            check, held = _luhn(d[:-1]), _luhn(digits[:-1]) == int(digits[-1])
-            last = check if held else (check + 1 + int(d[-1]) % 9) % 10
-            new = new[:-1] + chr(ord(entity[-1]) - unicodedata.digit(entity[-1]) + last)
-        return new
+        digits = [str(unicodedata.digit(c)) for c in new if c.isdecimal()]
+        return new[:-1] + chr(ord(entity[-1]) - unicodedata.digit(entity[-1]) + _luhn("".join(digits[:-1])))
+    if kind == "iban":
+        new = entity[:4] + _same_format(entity[4:], key, kind, entity[:4], attempt)
+        if _valid_iban(entity) != 1:
+            return entity[:2] + _same_format(entity[2:4], key, kind, entity, attempt) + new[4:]
+        return f"{new[:2]}{98 - _valid_iban(new[:2] + '00' + new[4:]):02d}{new[4:]}"
     if kind == "phone":
         m = re.match(r"\+\d{1,3}(?=\D)", entity)
         head = m[0] if m else ""
@@ -163,39 +279,19 @@ def format_surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> st
         at = rest.find("555")
         return head + (new[:at] + "555" + new[at + 3 :] if at >= 0 else new)
     if kind == "name":
-        gender, _, name = entity.partition(":")
-        script = "cyrillic" if re.search(r"[Ѐ-ӿ]", name) else "latin"
-        n, words = _mix(key, kind, entity, attempt), name.split(" ")
-        out = []
-        for k, w in enumerate(words):  # word by word, so that a family name alone stays that of the full name
-            m = _mix(key, kind, gender, w.lower())
-            given = GIVEN[script]["mf"[m & 1] if gender == "n" else gender]
-            names = FAMILY[script] if k == len(words) - 1 else given
-            new = names[(m >> 8) % len(names)]
-            out.append(new + "а" if gender == "f" and script == "cyrillic" and names is not given and new[-1] in "внй" and new.endswith(("ов", "ев", "ин")) else new)
-        if attempt:  # the lists are short: further family names are joined
-            out[-1] += "-" + FAMILY[script][(n >> 90) % len(FAMILY[script])] + ("" if attempt < 4 else "-" + _same_format("X" + "x" * attempt, key, n))
-        return " ".join(w.upper() if o.isupper() and len(o) > 1 else w for w, o in zip(out, words, strict=True))
+        return " ".join(_worn(word_surrogate(k, w, key, attempt), word) for k, w, word in name_words(entity))
+    if kind == "secret":
+        m = re.match(r"(?:sk|pk|ghp|AKIA)[-_]?(?=[0-9A-Za-z]{16})", entity)
+        head = m[0] if m else ""
+        return head + _same_format(entity[len(head) :], key, kind, head, attempt)
     return _same_format(entity, key, kind, attempt)
 
 
-def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows, kinds, entities = [], [], []
-        for i, t in enumerate(b.column("__text")):
-            for kind, entity in sorted({(k, e) for _, _, k, e in find(t.as_py())}):
-                rows.append(i)
-                kinds.append(kind)
-                entities.append(entity)
-        if rows:
-            yield pa.RecordBatch.from_arrays([b.column("__row").take(pa.array(rows)), pa.array(kinds), pa.array(entities)], ["__row", "kind", "entity"])
-
-
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``(kind, entity, surrogate)`` for distinct ``(kind, entity)``. No two entities of a kind share a surrogate and none is an
-    entity that stands in the corpus; where a try fails that, the entity of least hash keeps it and the others try again.
-    For names and codes letter case tells entities apart."""
-    secret, entities = key.encode()[:64], cut(entities.distinct())
+    entity that stands in the corpus; where a try fails that, the entity of least hash keeps it and the others try again, in a
+    space that grows with each try. For codes letter case tells entities apart, for given and family names it doesn't."""
+    secret, entities = hashlib.blake2b(key.encode()).digest(), cut(entities.distinct())
 
     def run(attempt: int):
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,55 +300,97 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("entity"), pa.array(new, pa.string())], ["kind", "entity", "surrogate"])
         return one
 
-    plain = lambda c: F.when(F.col("kind") == "name", F.regexp_replace(c, "^[mfn]:", "")).otherwise(F.col(c))
-    real = entities.select("kind", plain("entity").alias("surrogate")).distinct()
+    word = F.col("kind").isin("given", "family")
+    own = F.when(word, F.regexp_replace("entity", "^[mfn]:", "")).when(F.col("kind") == "name", F.regexp_replace("entity", "^[mfn]:", "")).otherwise(F.col("entity"))
+    real = entities.select("kind", own.alias("form")).distinct()
     open_, done = entities, None
-    for attempt in count():  # the space grows with each try
-        new = arrow_map(open_, run(attempt), "kind string, entity string, surrogate string").join(real, ["kind", "surrogate"], "left_anti")
-        new = new.withColumn("k", F.row_number().over(W.partitionBy("kind", "surrogate").orderBy(F.xxhash64("entity"), "entity"))).where("k = 1").select("kind", "entity", "surrogate")
-        new = cut(new if done is None else new.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti"))
+    for attempt in count():
+        new = arrow_map(open_, run(attempt), "kind string, entity string, surrogate string").withColumn("form", F.when(word, F.lower("surrogate")).otherwise(F.col("surrogate")))
+        new = new.join(real, ["kind", "form"], "left_anti")
+        new = new.groupBy("kind", "form").agg(F.min(F.struct(F.xxhash64("entity").alias("h"), "entity", "surrogate")).alias("s")).select("kind", "s.entity", "s.surrogate", "form")
+        new = cut(new if done is None else new.join(done.select("kind", "form"), ["kind", "form"], "left_anti"))
         done = new if done is None else cut(done.unionByName(new))
         open_ = cut(open_.join(new, ["kind", "entity"], "left_anti"))
         if open_.isEmpty():
-            return done
+            return done.drop("form")
+
+
+SPANS = "__spans array<struct<start:int,stop:int,kind:string,entity:string>>, __uid long"
+
+
+def spans(text: str | None) -> list[tuple[int, int, str, str]]:
+    """Places to replace: those of find(), names word by word."""
+    out = []
+    for a, b, kind, entity in find(text):
+        if kind != "name":
+            out.append((a, b, kind, entity))
+            continue
+        for k, w, word in name_words(entity):
+            out.append((a, a + len(word), k, w))
+            a += len(word) + 1
+    return out
+
+
+def _found(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, serial = TaskContext.get().partitionId() << 33, 0
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("entity", pa.string())]))
+        for b in batches:
+            rows = [[dict(zip(("start", "stop", "kind", "entity"), s)) for s in spans(t.as_py())] or None for t in b.column(text_col)]
+            cols = [*b.columns, pa.array(rows, kind), pa.array(range(task + serial, task + serial + b.num_rows), pa.int64())]
+            serial += b.num_rows
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "__spans", "__uid"])
+
+    return run
 
 
 def _replace(names: list[str], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts, kinds = [], [], []
-            for t, new in zip(b.column(text_col).to_pylist(), b.column("__new").to_pylist()):
-                by = {(n["kind"], n["entity"]): n["surrogate"] for n in new or ()}
-                spans, out, at = find(t) if by else [], [], 0
-                for a, z, kind, entity in spans:
-                    out += [t[at:a], by[kind, entity]]
-                    at = z
-                texts.append("".join([*out, t[at:]]) if spans else t)
-                counts.append(len(spans))
-                kinds.append(",".join(sorted({s[2] for s in spans})))
+            for t, where, new in zip(b.column(text_col).to_pylist(), b.column("__spans").to_pylist(), b.column("__new").to_pylist()):
+                by, out, at = {(n["kind"], n["entity"]): n["surrogate"] for n in new}, [], 0
+                for s in where:
+                    word, other = t[s["start"] : s["stop"]], by[s["kind"], s["entity"]]
+                    out += [t[at : s["start"]], _worn(other, word) if s["kind"] in ("given", "family") else other]
+                    at = s["stop"]
+                texts.append("".join([*out, t[at:]]))
+                counts.append(sum(s["kind"] != "given" for s in where))
+                kinds.append(",".join(sorted({"name" if s["kind"] in ("given", "family") else s["kind"] for s in where})))
             cols = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], [*names, "__n", "__kinds"])
+
     return run
 
 
-def pseudonymise(docs: DataFrame, key: str = "tidewater", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key of surrogates: the session's ``spark.tidewater.pii.key``. Where none is set, a random one is made for the session:
+    then nobody can compute the surrogates again, but other sessions give other ones."""
+    key = spark.conf.get("spark.tidewater.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("spark.tidewater.pii.key", key)
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents, all columns, with surrogates in the text, and ``__n`` (places replaced) and ``__kinds`` (sorted, with commas).
 
-    Whole texts are read. The same entity has the same surrogate throughout the table, different ones have different ones
-    (see surrogates()). Only texts that pass a test for digits, at signs, titles and codes are searched and shuffled, once, to
-    meet their own surrogates; the others pass as they are. Null and empty texts stay; repeated rows are treated alike."""
-    may = F.coalesce(F.col(text_col).rlike(MAY_HOLD), F.lit(False))
-    key_col = row_key(id_col, text_col)
-    asked = docs.where(may).select(key_col.alias("__row"), F.col(text_col).alias("__text"))
-    row_type = asked.schema["__row"].dataType.simpleString()
-    held = cut(arrow_map(asked, _entities, f"__row {row_type}, kind string, entity string").distinct())
-    new = held.join(surrogates(held.select("kind", "entity"), key), ["kind", "entity"])
-    new = staged(new.groupBy("__row").agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("__new")))
+    Whole texts are searched, once: a written copy holds each row with its places, and only rows that have some are shuffled,
+    to meet their surrogates. The same entity has the same surrogate throughout the table, different ones have different
+    ones (see surrogates()); an entity that stands in very many texts is joined in salted parts. Without ``key`` that of the
+    session is used. Null and empty texts stay; repeated rows are treated alike; an empty table gives an empty one. Columns
+    may have any names but those that begin with two underscores."""
+    key = key or session_key(docs.sparkSession)
     names = docs.columns
-    rest = docs.where(~may).withColumns({"__n": F.lit(0).cast("long"), "__kinds": F.lit("")})
-    some = docs.where(may).withColumn("__row", key_col).join(new, "__row", "left").drop("__row")
-    some = arrow_map(some, _replace(names, text_col), docs.schema.add("__n", "long").add("__kinds", "string"))
-    return some.unionByName(rest)
+    found = staged(arrow_map(docs, _found(text_col), StructType([*docs.schema, *StructType.fromDDL(SPANS)])))
+    some = found.where(F.col("__spans").isNotNull())
+    held = some.select("__uid", F.explode("__spans").alias("s")).select("__uid", F.struct("s.kind", "s.entity").alias("__e")).distinct()
+    new = staged(surrogates(held.select("__e.kind", "__e.entity"), key).select(F.struct("kind", "entity").alias("__e"), "surrogate"))
+    new = salted_join(held, new, "__e", F.col("__uid"), "inner", F.length("__e.entity") + F.length("surrogate"))
+    new = new.groupBy("__uid").agg(F.collect_list(F.struct("__e.kind", "__e.entity", "surrogate")).alias("__new"))
+    some = arrow_map(some.join(new, "__uid").drop("__uid"), _replace(names, text_col), StructType([*docs.schema, *StructType.fromDDL("__n long, __kinds string")]))
+    return some.unionByName(found.where(F.col("__spans").isNull()).select(*names, F.lit(0).cast("long").alias("__n"), F.lit("").alias("__kinds")))
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
