@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from tidewater.llm.common import salted_join, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One filter block is a 64-bit word; this many rows of (block, word) at most, 32 MB, are ever broadcast.
@@ -38,36 +40,37 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     ``rules(host, path, verdict)``: a rule fits its host and all subdomains if the URL's path starts with the rule's
     path; the longest rule wins, on a tie the one with the longer host, then ``allow``. URLs that no rule fits get
-    ``default``: what is not listed is not blocked. Canonical keys are ``host + path``. Each page has one key for each
+    ``default``: what is not listed is not blocked. Canonical keys are ``host + path``. Each different (host, path) has one key for each
     pair of a host suffix and a listed path length that its path reaches; the keys go through the Bloom filter, a
     broadcast of at most MAX_BLOCKS rows, and those that pass are joined with the rules by hash, so that false
-    positives go. Null URLs, or such without ``://``, have empty host and path and no rule. Repeated pages give
-    repeated rows. Empty rules give ``default`` throughout. Other columns of the input are ignored."""
-    spark = pages.sparkSession
+    positives go. Rules that fit very many URLs and URLs that very many pages share are joined in salted parts. Null URLs, or
+    such without ``://``, have empty host and path and no rule. Repeated pages give repeated rows; URLs may be of any length.
+    Empty rules give ``default`` throughout. Other columns of the input are ignored."""
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("__rh"), F.coalesce("path", F.lit("")).alias("__rp"), F.col("verdict").alias("__rv")).where("__rh <> ''")
-    rules = rules.groupBy("__rh", "__rp").agg(F.min("__rv").alias("__rv")).select("*", F.concat("__rh", "__rp").alias("__key"))
-    n = rules.count()
-    blocks = min(MAX_BLOCKS, max(16, n // 4))  # 16 bits a key
-    lengths = [r[0] for r in rules.select(F.length("__rp")).distinct().limit(4096).collect()]  # path lengths, not paths
+    rules = staged(rules.groupBy("__rh", "__rp").agg(F.min("__rv").alias("__rv")).select(F.concat("__rh", "__rp").alias("__key"), "__rh", "__rp", "__rv"))
+    blocks = min(MAX_BLOCKS, max(16, rules.count() // 4))  # 16 bits a key
+    # k different lengths take k * k / 2 characters of rules: a table of 1 TB has 1.5 million at most
+    lengths = sorted(r[0] for r in rules.select(F.length("__rp")).distinct().collect())
     base = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"))
     host, path = host_path(F.col("__url"))
-    base = base.select("__id", "__url", host.alias("__host"), path.alias("__path"))
-    base = base.groupBy("__id", "__url", "__host", "__path").agg(F.count("*").alias("__copies"))
+    base = base.select("__id", host.alias("__host"), path.alias("__path"))
     labels = F.split("__host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.lit(x) for x in sorted(lengths)] or [F.lit(-1)]), lambda k: (k >= 0) & (k <= F.length("__path")))
-    keys = base.where("__host <> ''").select("__host", "__path").distinct().select("__host", "__path", F.explode(suffixes).alias("__rh"))
-    keys = keys.select("__host", "__path", "__rh", F.explode(prefixes).alias("__k")).select("__host", "__path", "__rh", F.expr("substring(__path, 1, __k)").alias("__rp"))
-    keys = keys.withColumn("__key", F.concat("__rh", "__rp"))
+    prefixes = F.filter(F.lit(np.array(lengths, dtype=np.int32)), lambda k: k <= F.length("__path"))
+    keys = base.where("__host <> ''").select("__host", "__path").distinct().select("__host", "__path", F.explode(suffixes).alias("__h"))
+    keys = keys.select("__host", "__path", "__h", F.explode(prefixes).alias("__k")).select("__host", "__path", "__h", F.expr("substring(__path, 1, __k)").alias("__p"))
+    keys = keys.withColumn("__key", F.concat("__h", "__p"))
     block, g, word = _spots(F.col("__key"), blocks)
     keys = keys.select("*", block, g).join(F.broadcast(bloom(rules, "__key", blocks)), "__block")
     possible = keys.where(F.col("__bits").bitwiseAND(word) == word).drop("__block", "__g", "__bits")
-    hits = possible.join(rules.drop("__key"), ["__rh", "__rp"])
-    size = F.struct(F.length(F.concat("__rh", "__rp")), F.length("__rh"))
-    best = hits.groupBy("__host", "__path").agg(F.max_by(F.struct(F.concat("__rh", "__rp").alias("r"), F.col("__rv").alias("v")), size).alias("__best"))
-    out = base.join(best, ["__host", "__path"], "left")
-    out = out.select(F.col("__id").alias(id_col), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.r").alias("rule"), F.coalesce("__best.v", F.lit(default)).alias("verdict"), "__copies")
-    return out.withColumn("__copies", F.explode(F.expr("sequence(1L, __copies)"))).drop("__copies")
+    size = 2 * F.octet_length("__key") + F.octet_length("__rv")
+    hits = salted_join(possible, rules, "__key", F.struct("__host", "__path"), "inner", size).where("__h = __rh AND __p = __rp")
+    longest = F.struct(F.length("__key"), F.length("__rh"))
+    best = hits.groupBy("__host", "__path").agg(F.max_by(F.struct(F.col("__key").alias("r"), F.col("__rv").alias("v")), longest).alias("__best"))
+    best = staged(best.select(F.struct("__host", "__path").alias("__url"), "__best"))
+    size = F.octet_length("__url.__host") + F.octet_length("__url.__path") + F.octet_length("__best.r")
+    out = salted_join(base.withColumn("__url", F.struct("__host", "__path")), best, "__url", F.col("__id"), "left", size)
+    return out.select(F.col("__id").alias(id_col), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.r").alias("rule"), F.coalesce("__best.v", F.lit(default)).alias("verdict"))
 
 
 #: The rules of the query.
@@ -85,5 +88,6 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM q LEFT JO
 
 
 def op5_url_rules(spark, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    listed = ", ".join(map(str, RULES))
+    rules = spark.sql(f"SELECT * FROM VALUES {listed} AS rules(host, path, verdict)")
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
