@@ -9,51 +9,45 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window as W
 
 from tidewater.llm.common import staged
 
-#: The tree is fitted on this many vectors at most, of least id hash; it has BRANCH ** DEPTH leaves at most.
-SAMPLE, BRANCH, DEPTH = 20_000, 8, 2
+#: The tree is fitted on a sample of at most so many vectors and bytes, of least id hash. Nodes are split in BRANCH until a leaf
+#: stands for LEAF_ROWS rows of the table, or holds LEAF_SAMPLE vectors of the sample: so there are 4,096 leaves at most.
+SAMPLE, SAMPLE_BYTES, BRANCH, LEAF_ROWS, LEAF_SAMPLE = 65_536, 64 << 20, 8, 128, 16
 #: Queries on which the number of leaf visits is calibrated, and the recall they must reach there.
-CALIBRATION, TARGET = 200, 0.96
-#: A cell is searched by one task: so many vectors against so many queries.
-CELL_ROWS, CELL_QUERIES = 16_384, 2_048
+CALIBRATION, TARGET = 256, 0.97
+#: A cell is searched by one task: so many vectors of one leaf against so many of the queries that visit it.
+CELL_ROWS, CELL_QUERIES = 16_384, 4_096
 
 
 class Tree:
     """Centres by node; node 0 is the root, children of a node are listed, leaves have none."""
 
-    def __init__(self, x: np.ndarray, rng: np.random.Generator) -> None:
-        self.centre: list[np.ndarray] = [x.mean(axis=0)]
-        self.child: list[list[int]] = [[]]
-        self._split(0, x, DEPTH, rng)
+    def __init__(self, x: np.ndarray, small: int, rng: np.random.Generator) -> None:
+        centre, self.child, todo = [x.mean(axis=0)], [[]], [(0, x)]
+        while todo:
+            node, own = todo.pop()
+            if len(own) <= max(small, BRANCH):
+                continue
+            c = own[rng.choice(len(own), BRANCH, replace=False)]
+            for _ in range(10):
+                near = self._nearest(own, c)
+                c = np.array([own[near == k].mean(axis=0) if (near == k).any() else own[rng.integers(len(own))] for k in range(BRANCH)])
+            near = self._nearest(own, c)
+            if (near == near[0]).all():  # vectors that can't be told apart
+                continue
+            for k in range(BRANCH):
+                if (near == k).any():
+                    centre.append(c[k])
+                    self.child.append([])
+                    self.child[node].append(len(centre) - 1)
+                    todo.append((len(centre) - 1, own[near == k]))
+        self.centre = np.array(centre)
         self.leaves = [k for k, c in enumerate(self.child) if not c]
         self.leaf_of = {k: i for i, k in enumerate(self.leaves)}
-        self.top = np.zeros(len(self.leaves), dtype=np.int64)  # the branch below the root that holds a leaf
-        for b, k in enumerate(self.child[0]):
-            stack = [k]
-            while stack:
-                n = stack.pop()
-                if self.child[n]:
-                    stack += self.child[n]
-                else:
-                    self.top[self.leaf_of[n]] = b
-
-    def _split(self, node: int, x: np.ndarray, depth: int, rng: np.random.Generator) -> None:
-        if not depth or len(x) < 4 * BRANCH:
-            return
-        c = x[rng.choice(len(x), BRANCH, replace=False)]
-        for _ in range(12):
-            own = self._nearest(x, c)
-            c = np.array([x[own == k].mean(axis=0) if (own == k).any() else x[rng.integers(len(x))] for k in range(BRANCH)])
-        own = self._nearest(x, c)
-        for k in range(BRANCH):
-            if (own == k).any():
-                self.centre.append(c[k])
-                self.child.append([])
-                self.child[node].append(len(self.centre) - 1)
-                self._split(len(self.centre) - 1, x[own == k], depth - 1, rng)
 
     @staticmethod
     def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -67,160 +61,169 @@ class Tree:
             if not self.child[node]:
                 out[at] = self.leaf_of[node]
                 continue
-            own = self._nearest(x[at], np.array([self.centre[k] for k in self.child[node]]))
+            own = self._nearest(x[at], self.centre[self.child[node]])
             todo += [(k, at[own == j]) for j, k in enumerate(self.child[node]) if (own == j).any()]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first: a queue of nodes by their centre's inner product with the query."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
-            _, node = heapq.heappop(queue)
-            if not self.child[node]:
-                out.append(self.leaf_of[node])
-            for k in self.child[node]:
-                heapq.heappush(queue, (-float(q @ self.centre[k]), k))
-        return out
+    def visits(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> Iterator[list[int]]:
+        """For each query the first ``most`` leaves, and further ones until they hold ``least`` rows by ``sizes``, best bin first: a
+        priority queue of nodes by their centre's inner product with the query."""
+        for scores in q @ self.centre.T:
+            queue, out, held = [(0.0, 0)], [], 0
+            while queue and (len(out) < most or held < least):
+                _, node = heapq.heappop(queue)
+                if not self.child[node]:
+                    out.append(self.leaf_of[node])
+                    held += 0 if sizes is None else sizes[out[-1]]
+                for k in self.child[node]:
+                    heapq.heappush(queue, (-scores[k], k))
+            yield out
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest in each row, and all that equal the least of them up to rounding are in reach."""
-    return np.argpartition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, :k] if scores.shape[1] > k else np.tile(np.arange(scores.shape[1]), (len(scores), 1))
+def _stored(column: pa.Array, dtype: str, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, dim).astype(np.float64)
+
+
+def _best(scores: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k largest scores, of equal ones those of the smallest ids ``low``."""
+    at = np.arange(len(scores))
+    if len(scores) > k:
+        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return at[np.lexsort((low[at], -scores[at]))][:k]
+
+
+def _near(q: np.ndarray, x: np.ndarray, low: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query ``_best`` of all x and their scores: a matrix product finds what may be among them up to its rounding, which
+    are then scored one by one, so that equal vectors have equal scores wherever they stand."""
+    for i in range(0, len(q), 256):
+        rough = q[i : i + 256] @ x.T
+        for own, r in zip(q[i : i + 256], rough, strict=True):
+            at = np.arange(len(x))
+            if len(x) > k:
+                kth = np.partition(r, len(r) - k)[len(r) - k]
+                at = np.flatnonzero(r >= kth - 1e-9 * (1 + abs(kth)) - 1e-12 * np.abs(r).max())
+            score = (x[at] * own).sum(axis=1)
+            some = _best(score, low[at], k)
+            yield at[some], score[some]
 
 
 def nearest(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", target: float = TARGET) -> DataFrame:
     """The k nearest found for each query: ``(query_id, rank, vec_id, score)``. Queries are rows whose id is divisible by
-    ``every``, candidates all rows with another id; nearness is the inner product in double precision, ties go to
-    the smaller id.
+    ``every``, candidates all rows with another id; nearness is the inner product of the vectors as they are stored (32 or 64 bits) in
+    double precision, ties go to the smaller id.
 
     Rows without id, and vectors that are null, zero, of another length than most, or hold null or non-finite components take
-    no part. Equal vectors are one entry of the index with their k + 1 smallest ids (no list can show more), so a vector
-    that very many rows share is one entry. The tree is fitted on a bounded sample, then every row is indexed. Leaf visits are
-    widened, 1, 2, 3, 5, .., until up to CALIBRATION queries, compared with a search of all rows, find ``target`` of their
-    true neighbours. Then blocks of queries meet blocks of the rows of the leaves they visit."""
+    no part. Rows that share an id count as one, by the best of their scores. Equal vectors are one entry of the index with
+    their k + 1 smallest ids (no list can show more), so a vector that very many rows share is one entry. The tree is fitted on
+    a bounded sample and has more leaves for more rows, then every row is indexed. Leaf visits are widened, 1, 2, 3, .., until
+    up to CALIBRATION queries, compared with a search of all rows, find ``target`` of their true neighbours; a query goes
+    on while its leaves hold fewer than k + 1 rows. Queries are sent to the leaves that they visit; leaves with many rows or
+    queries are dealt over cells. Other columns are ignored; an empty table gives an empty result."""
     spark = rows.sparkSession
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
+    kind = rows.schema[vec_col].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    dtype, width = ("<f4", "float") if single else ("<f8", "double")
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{width}>").alias("v"))
     good = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     out_schema = "query_id long, rank int, vec_id long, score double"
     sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], out_schema)
-    dim = sizes[0].d
+    dim, n = sizes[0].d, sizes[0]["count"]
     good = good.where(F.size("v") == dim)
-    sample = good.select("v", F.xxhash64("id").alias("h")).orderBy("h", "v").limit(SAMPLE).select("v").toArrow()
-    tree = Tree(_matrix(sample.column("v").combine_chunks(), dim), np.random.default_rng(7))
+    most = max(LEAF_SAMPLE, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    sample = good.select("v", F.xxhash64("id").alias("h")).orderBy("h", "v").limit(most).select("v").toArrow()
+    x = _matrix(sample.column("v").combine_chunks(), dim)
+    tree = spark.sparkContext.broadcast(Tree(x, max(LEAF_SAMPLE, len(x) * LEAF_ROWS // n), np.random.default_rng(7)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                raw = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype("<f4") + np.float32(0)
+                raw = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(dtype) + np.dtype(dtype).type(0)  # -0 is 0
                 ids = b.column("id").to_numpy()
                 order = np.argsort(ids, kind="stable")
                 raw, ids = np.ascontiguousarray(raw[order]), ids[order]
-                keys, inverse = np.unique(raw.view(np.dtype((np.void, 4 * dim))).ravel(), return_inverse=True)
+                keys, inverse = np.unique(raw.view(np.dtype((np.void, raw.itemsize * dim))).ravel(), return_inverse=True)
                 by = np.argsort(inverse, kind="stable")
                 groups = np.split(ids[by], np.flatnonzero(np.diff(inverse[by])) + 1)
-                leaf = tree.assign(keys.view("<f4").reshape(-1, dim).astype(np.float64))
+                leaf = tree.value.assign(keys.view(dtype).reshape(-1, dim).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([g[: k + 1] for g in groups], pa.list_(pa.int64()))], ["leaf", "vec", "ids"])
 
     entries = good.mapInArrow(index, "leaf long, vec binary, ids array<long>")
-    entries = staged(entries.groupBy("leaf", "vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")))
+    entries = entries.groupBy("leaf", "vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    entries = staged(entries)
     queries = staged(good.where(F.col("id") % every == 0).distinct())
-    visits = _calibrate(entries, queries, tree, dim, k, target)
-
-    # blocks: rows of a branch by hash, queries by hash; their numbers follow the counts
-    tops = spark.createDataFrame([(i, int(b)) for i, b in enumerate(tree.top)], "leaf long, top long")  # a row a leaf
-    entries = entries.join(F.broadcast(tops), "leaf")
-    parts = {r.top: -(-r.n // CELL_ROWS) for r in entries.groupBy("top").agg(F.count("*").alias("n")).collect()}  # a row a branch
-    blocks = max(1, -(-queries.count() // CELL_QUERIES))
-    n_parts = F.create_map(*[F.lit(x) for kv in (parts or {0: 1}).items() for x in kv])
+    visits = _calibrate(entries, queries, tree.value, dim, dtype, k, target)
+    counts = {r.leaf: (r.n, r.ids) for r in entries.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()}  # a row a leaf
+    held = np.array([counts.get(i, (0, 0))[1] for i in range(len(tree.value.leaves))])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = _matrix(b.column("v"), dim) if b.num_rows else np.zeros((0, dim))
-            at, top, leaves = [], [], []
-            for i, x in enumerate(q):
-                own = np.array(tree.visits(x, visits))
-                for t in np.unique(tree.top[own]):
-                    at.append(i)
-                    top.append(int(t))
-                    leaves.append(own[tree.top[own] == t])
-            if at:
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(top), pa.array([q[i].astype("<f4").tobytes() for i in at], pa.binary()), pa.array(leaves, pa.list_(pa.int64()))], ["id", "top", "q", "leaves"])
-
-    asked = queries.mapInArrow(walk, "id long, top long, q binary, leaves array<long>")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(n_parts[F.col("top").cast("long")], F.lit(1)).cast("int") - 1)))
-    held = entries.withColumn("part", F.pmod(F.xxhash64("vec"), n_parts[F.col("top")]).cast("int"))
-    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ["top", "part", "block"]
+            if b.num_rows:
+                leaves = list(tree.value.visits(_matrix(b.column("v"), dim), visits, held, k + 1))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "leaves"])
+
+    asked = queries.mapInArrow(walk, f"id long, v array<{width}>, leaves array<long>")
+    asked = staged(asked).select("id", "v", F.explode("leaves").alias("leaf"))
+    many = {r.leaf: r.n for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
+    cells = [(i, -(-counts[i][0] // CELL_ROWS), max(1, -(-many.get(i, 0) // CELL_QUERIES))) for i in sorted(counts)]
+    cells = F.broadcast(spark.createDataFrame(cells, "leaf long, parts int, blocks int"))  # a row a leaf
+    asked = asked.join(cells, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows_ = entries.join(cells, "leaf").withColumn("part", F.pmod(F.xxhash64("vec"), "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["leaf", "part", "block"]
 
     def search(q: pa.Table, x: pa.Table) -> pa.Table:
-        names = ["query_id", "score", "ids"]
         kinds = pa.schema([("query_id", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
         if not q.num_rows or not x.num_rows:
             return kinds.empty_table()
-        qv = np.frombuffer(b"".join(q.column("q").to_pylist()), "<f4").reshape(-1, dim).astype(np.float64)
-        xv = np.frombuffer(b"".join(x.column("vec").to_pylist()), "<f4").reshape(-1, dim).astype(np.float64)
-        leaf = x.column("leaf").to_numpy()
-        found: list[list[np.ndarray]] = [[] for _ in range(len(qv))]
-        wanted: dict[int, list[int]] = {}
-        for i, own in enumerate(q.column("leaves").to_pylist()):
-            for n in own:
-                wanted.setdefault(n, []).append(i)
-        for n, who in wanted.items():
-            at = np.flatnonzero(leaf == n)
-            for i in range(0, len(who) if len(at) else 0, 512):
-                some = who[i : i + 512]
-                for j, best in zip(some, _best(qv[some] @ xv[at].T, k + 1), strict=True):
-                    found[j].append(at[best])
-        ids, score, rows_at = [], [], []
-        own_ids = q.column("id").to_numpy()
-        for i, hits in enumerate(found):
-            if hits:
-                at = np.concatenate(hits)
-                s = (xv[at] * qv[i]).sum(axis=1)
-                best = np.argsort(-s, kind="stable")[: k + 1]
-                ids += [own_ids[i]] * len(best)
-                score.append(s[best])
-                rows_at.append(at[best])
-        if not ids:
-            return kinds.empty_table()
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(score)), x.column("ids").combine_chunks().take(pa.array(np.concatenate(rows_at)))], names)
-
-    hits = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(search, "query_id long, score double, ids array<long>")
+        qv, xv = _matrix(q.column("v").combine_chunks(), dim), _stored(x.column("vec"), dtype, dim)
+        ids = x.column("ids").combine_chunks()
+        low = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]  # the smallest id of each
+        at, score = zip(*_near(qv, xv, low, k + 1))
+        own = np.repeat(q.column("id").to_numpy(), [len(a) for a in at])
+        return pa.Table.from_arrays([pa.array(own), pa.array(np.concatenate(score)), ids.take(pa.array(np.concatenate(at)))], schema=kinds)
+
+    hits = asked.select("id", "v", *key).groupBy(*key).cogroup(rows_.select("vec", "ids", *key).groupBy(*key)).applyInArrow(search, "query_id long, score double, ids array<long>")
     hits = hits.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _calibrate(entries: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: int, target: float) -> int:
-    """Leaf visits with which the calibration queries find ``target`` of their true neighbours."""
+def _calibrate(entries: DataFrame, queries: DataFrame, tree: Tree, dim: int, dtype: str, k: int, target: float) -> int:
+    """Leaf visits with which the calibration queries find ``target`` of their true neighbours: the k best rows of other ids."""
     some = queries.orderBy(F.xxhash64("id"), "v").limit(CALIBRATION).toArrow()
     if not some.num_rows:
         return len(tree.leaves)
-    q = _matrix(some.column("v").combine_chunks(), dim)
+    q, own = _matrix(some.column("v").combine_chunks(), dim), some.column("id").to_pylist()
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a whole task k + 1 entries a query."""
+        best: list[list[tuple]] = [[] for _ in own]
         for b in batches:
             if b.num_rows:
-                x = np.frombuffer(b"".join(b.column("vec").to_pylist()), "<f4").reshape(-1, dim).astype(np.float64)
-                s = q @ x.T
-                best = _best(s, k + 1)
-                which = np.repeat(np.arange(len(q)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.take_along_axis(s, best, 1).ravel()), pa.array(b.column("leaf").to_numpy()[best.ravel()])], ["q", "s", "leaf"])
-
-    true = entries.select("leaf", "vec").mapInArrow(top, "q long, s double, leaf long")
-    true = true.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s")))).where(F.col("r").between(2, k + 1)).select("q", "leaf").collect()
-    places = [{n: i for i, n in enumerate(tree.visits(x, len(tree.leaves)))} for x in q]
+                ids, leaf = b.column("ids").to_pylist(), b.column("leaf").to_numpy()
+                low = np.array([i[0] for i in ids])
+                for i, (at, score) in enumerate(_near(q, _stored(b.column("vec"), dtype, dim), low, k + 1)):
+                    new = [(-s, ids[j][0], int(leaf[j]), ids[j]) for j, s in zip(at.tolist(), score.tolist(), strict=True)]
+                    best[i] = sorted(best[i] + new)[: k + 1]
+        out = [(i, -s, leaf, ids) for i, hits in enumerate(best) for s, _, leaf, ids in hits]
+        if out:
+            which, score, leaf, ids = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(score, pa.float64()), pa.array(leaf, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["q", "s", "leaf", "ids"])
+
+    true = entries.mapInArrow(top, "q long, s double, leaf long, ids array<long>").select("q", "s", "leaf", F.explode("ids").alias("id"))
+    mine = F.get(F.lit(np.array(own, dtype=np.int64)), F.col("q").cast("int"))
+    order = W.partitionBy("q").orderBy(F.desc("s"), "id")
+    true = true.where(F.col("id") != mine).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "leaf").collect()
+    places = [{n: i for i, n in enumerate(own)} for own in tree.visits(q, len(tree.leaves))]
     needed = np.array([places[r.q][r.leaf] for r in true])
     visits = 1
     while visits < len(tree.leaves) and len(needed) and (needed < visits).mean() < target:
-        visits += max(1, visits // 4)
+        visits += max(1, visits // 8)
     return min(visits, len(tree.leaves))
 
 
