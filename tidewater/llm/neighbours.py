@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,8 @@ from tidewater.llm.common import staged
 SAMPLE, SAMPLE_BYTES, BRANCH, LEAF_ROWS, LEAF_SAMPLE = 65_536, 64 << 20, 8, 128, 16
 #: Queries on which the number of leaf visits is calibrated, and the recall they must reach there.
 CALIBRATION, TARGET = 256, 0.97
-#: A cell is searched by one task: so many vectors of one leaf against so many of the queries that visit it.
+#: A cell is searched by one task: neighbouring leaves of so many vectors together (or a part of one leaf that has more) against so
+#: many of the queries that visit one of them.
 CELL_ROWS, CELL_QUERIES = 16_384, 4_096
 
 
@@ -96,17 +97,18 @@ def _best(scores: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((low[at], -scores[at]))][:k]
 
 
-def _near(q: np.ndarray, x: np.ndarray, low: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query ``_best`` of all x and their scores: a matrix product finds what may be among them up to its rounding, which
-    are then scored one by one, so that equal vectors have equal scores wherever they stand."""
+def _near(q: np.ndarray, x: np.ndarray, low: np.ndarray, k: int, rough: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query ``_best`` of all x and their scores: a matrix product (``rough(from, to)``: -inf where x isn't to be looked at)
+    finds what may be among them up to its rounding, which is then scored one by one, so that equal vectors have equal scores
+    wherever they stand."""
     for i in range(0, len(q), 256):
-        rough = q[i : i + 256] @ x.T
-        for own, r in zip(q[i : i + 256], rough, strict=True):
-            at = np.arange(len(x))
-            if len(x) > k:
-                kth = np.partition(r, len(r) - k)[len(r) - k]
-                at = np.flatnonzero(r >= kth - 1e-9 * (1 + abs(kth)) - 1e-12 * np.abs(r).max())
-            score = (x[at] * own).sum(axis=1)
+        own = q[i : i + 256]
+        r = own @ x.T if rough is None else rough(i, i + len(own))
+        kth = np.partition(r, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(own), -np.inf)
+        top = np.where(np.isfinite(r), np.abs(r), 0).max(axis=1) if len(x) else kth
+        for one, row, least, size in zip(own, r, kth, top, strict=True):
+            at = np.flatnonzero((row >= least - 1e-9 * size) & (row > -np.inf))
+            score = (x[at] * one).sum(axis=1)
             some = _best(score, low[at], k)
             yield at[some], score[some]
 
@@ -121,8 +123,8 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
     their k + 1 smallest ids (no list can show more), so a vector that very many rows share is one entry. The tree is fitted on
     a bounded sample and has more leaves for more rows, then every row is indexed. Leaf visits are widened, 1, 2, 3, .., until
     up to CALIBRATION queries, compared with a search of all rows, find ``target`` of their true neighbours; a query goes
-    on while its leaves hold fewer than k + 1 rows. Queries are sent to the leaves that they visit; leaves with many rows or
-    queries are dealt over cells. Other columns are ignored; an empty table gives an empty result."""
+    on while its leaves hold fewer than k + 1 rows. Queries are sent to the cells (neighbouring leaves) that hold leaves that they
+    visit, and compared with these leaves only; leaves with many rows and cells with many queries are dealt over further cells. Other columns are ignored; an empty table gives an empty result."""
     spark = rows.sparkSession
     kind = rows.schema[vec_col].dataType
     single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
@@ -161,33 +163,63 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
     counts = {r.leaf: (r.n, r.ids) for r in entries.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()}  # a row a leaf
     held = np.array([counts.get(i, (0, 0))[1] for i in range(len(tree.value.leaves))])
 
+    # cells of neighbouring leaves; a leaf of many vectors has cells of its own
+    cell_of, parts, size = np.zeros(len(tree.value.leaves), dtype=np.int64), [1], 0
+    for i in range(len(cell_of)):
+        n = counts.get(i, (0, 0))[0]
+        if size and size + n > CELL_ROWS:
+            parts.append(1)
+            size = 0
+        size += n
+        cell_of[i], parts[-1] = len(parts) - 1, max(1, -(-size // CELL_ROWS))
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                leaves = list(tree.value.visits(_matrix(b.column("v"), dim), visits, held, k + 1))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "leaves"])
-
-    asked = queries.mapInArrow(walk, f"id long, v array<{width}>, leaves array<long>")
-    asked = staged(asked).select("id", "v", F.explode("leaves").alias("leaf"))
-    many = {r.leaf: r.n for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
-    cells = [(i, -(-counts[i][0] // CELL_ROWS), max(1, -(-many.get(i, 0) // CELL_QUERIES))) for i in sorted(counts)]
-    cells = F.broadcast(spark.createDataFrame(cells, "leaf long, parts int, blocks int"))  # a row a leaf
-    asked = asked.join(cells, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows_ = entries.join(cells, "leaf").withColumn("part", F.pmod(F.xxhash64("vec"), "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = ["leaf", "part", "block"]
+            at, cell, leaves = [], [], []
+            for i, own in enumerate(tree.value.visits(_matrix(b.column("v"), dim), visits, held, k + 1) if b.num_rows else ()):
+                own = np.sort(np.array(own))
+                which, first = np.unique(cell_of[own], return_index=True)
+                at += [i] * len(which)
+                cell += which.tolist()
+                leaves += np.split(own, first[1:])
+            if at:
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in ("id", "v")), pa.array(cell, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "cell", "leaves"])
+
+    asked = staged(queries.mapInArrow(walk, f"id long, v array<{width}>, cell long, leaves array<long>"))
+    many = {r.cell: r.n for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
+    cells = [(i, p, max(1, -(-many.get(i, 0) // CELL_QUERIES))) for i, p in enumerate(parts)]
+    cells = F.broadcast(spark.createDataFrame(cells, "cell long, parts int, blocks int"))  # fewer rows than leaves
+    asked = asked.join(cells, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows_ = entries.withColumn("cell", F.get(F.lit(cell_of), F.col("leaf").cast("int"))).join(cells, "cell").withColumn("part", F.pmod(F.xxhash64("vec"), "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["cell", "part", "block"]
 
     def search(q: pa.Table, x: pa.Table) -> pa.Table:
         kinds = pa.schema([("query_id", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
         if not q.num_rows or not x.num_rows:
             return kinds.empty_table()
+        x = x.sort_by("leaf")
+        leaf, ids = x.column("leaf").to_numpy(), x.column("ids").combine_chunks()
         qv, xv = _matrix(q.column("v").combine_chunks(), dim), _stored(x.column("vec"), dtype, dim)
-        ids = x.column("ids").combine_chunks()
         low = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]  # the smallest id of each
-        at, score = zip(*_near(qv, xv, low, k + 1))
+        wanted: dict[int, list[int]] = {}
+        for i, own in enumerate(q.column("leaves").to_pylist()):
+            for n in own:
+                wanted.setdefault(n, []).append(i)
+        where = {n: (np.searchsorted(leaf, n), np.searchsorted(leaf, n, "right"), np.array(who)) for n, who in wanted.items()}
+
+        def rough(lo: int, hi: int) -> np.ndarray:
+            out = np.full((hi - lo, len(xv)), -np.inf)
+            for s, e, who in where.values():
+                own = who[np.searchsorted(who, lo) : np.searchsorted(who, hi)]
+                if s < e and len(own):
+                    out[own - lo, s:e] = qv[own] @ xv[s:e].T
+            return out
+
+        at, score = zip(*_near(qv, xv, low, k + 1, rough))
         own = np.repeat(q.column("id").to_numpy(), [len(a) for a in at])
         return pa.Table.from_arrays([pa.array(own), pa.array(np.concatenate(score)), ids.take(pa.array(np.concatenate(at)))], schema=kinds)
 
-    hits = asked.select("id", "v", *key).groupBy(*key).cogroup(rows_.select("vec", "ids", *key).groupBy(*key)).applyInArrow(search, "query_id long, score double, ids array<long>")
+    hits = asked.select("id", "v", "leaves", *key).groupBy(*key).cogroup(rows_.select("leaf", "vec", "ids", *key).groupBy(*key)).applyInArrow(search, "query_id long, score double, ids array<long>")
     hits = hits.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
