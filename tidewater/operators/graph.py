@@ -1,51 +1,59 @@
-"""Frontier-based iteration over edge tables. Edges are never collected; only counts reach the driver."""
+"""Frontier-based iteration over edge tables. Edges are never collected; only counts reach the driver. The loops end when nothing
+changes and have no other bound."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.runtime import cut
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1_000_000) -> DataFrame:
-    """Nodes that reach a seed. ``edges(src, dst)`` means src depends on dst, ``seeds(node)``; the result ``(node)``
-    holds the seeds too. Each node enters the frontier once; a round shuffles the frontier, the edges stay where the
-    first round put them. Null nodes are ignored, duplicates collapse, empty inputs give the seeds."""
-    by_target = cut(edges.select("src", "dst").dropna().distinct().repartition("dst"))
-    seen = frontier = cut(seeds.select("node").dropna().distinct())
-    for _ in range(max_rounds):
-        new = by_target.join(frontier, by_target.dst == frontier.node, "left_semi").select(F.col("src").alias("node")).distinct()
-        frontier = cut(new.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+def highest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(node, label)``: the greatest label that a node reaches. ``edges(src, dst)`` means src depends on dst, ``seeds(node,
+    label)``; nodes that reach no seed are left out.
+
+    All labels travel in one loop: a round sends the labels that rose in the round before over the edges and keeps those that
+    beat what their nodes had. Frontiers are written once and only read afterwards; a node stands in as many as its label
+    rises. Null nodes are ignored, duplicates collapse, empty inputs give the seeds."""
+    by_target = cut(edges.select("src", "dst").dropna().where("src <> dst").distinct())
+    frontiers = [cut(seeds.select("node", "label").dropna().groupBy("node").agg(F.max("label").alias("label")))]
+    while True:
+        came = by_target.join(frontiers[-1], by_target.dst == frontiers[-1].node).groupBy("src").agg(F.max("label").alias("label"))
+        came = came.withColumnRenamed("src", "node")
+        seen = reduce(DataFrame.unionByName, frontiers).groupBy("node").agg(F.max("label").alias("had"))
+        risen = cut(came.join(seen, "node", "left").where(F.col("had").isNull() | (F.col("label") > F.col("had"))).select("node", "label"))
+        if risen.isEmpty():
+            return reduce(DataFrame.unionByName, frontiers).groupBy("node").agg(F.max("label").alias("label"))
+        frontiers.append(risen)
+
 
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Nodes ``(node)`` that reach a seed ``(node)``, the seeds among them. Each node enters one frontier."""
+    return highest(edges, seeds.select("node", F.lit(1).alias("label"))).select("node")
 
-def weak_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+
+def weak_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node on an edge, root = the smallest node of its weakly connected component.
 
     Alternates large-star and small-star contraction, so rounds grow with the logarithm of the size, not with the
     diameter. A hub's neighbours are never gathered: its minimum is an aggregate with partial sums on the map side, and
     the join back is one that adaptive execution may split. Self edges and null ends are ignored."""
     pair = lambda a, b: (F.greatest(a, b).alias("src"), F.least(a, b).alias("dst"))
-    now = cut(edges.select("src", "dst").dropna().where("src <> dst").select(*pair("src", "dst")).distinct())
-    mark = _digest(now)
-    for _ in range(max_rounds):
+    now, n = cut(edges.select("src", "dst").dropna().where("src <> dst").select(*pair("src", "dst")).distinct()), -1
+    while True:
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
         large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
         large = large.where("src <> dst").distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("low"))
         small = large.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        now = cut(small.unionByName(low.withColumnRenamed("low", "dst")).where("src <> dst").select(*pair("src", "dst")).distinct())
-        mark, before = _digest(now), mark
-        if mark == before:
+        new = cut(small.unionByName(low.withColumnRenamed("low", "dst")).where("src <> dst").select(*pair("src", "dst")).distinct())
+        n, before = new.count(), n
+        if n == before and new.join(now, ["src", "dst"], "left_anti").isEmpty():  # equal sets
             break
+        now = new
     roots = now.groupBy("src").agg(F.min("dst").alias("root")).withColumnRenamed("src", "node")
     return roots.unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct().join(roots, "node", "left_anti"))
-
-
-def _digest(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())

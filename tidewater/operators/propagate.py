@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators import tables as T
-from tidewater.operators.graph import reach
+from tidewater.operators.graph import highest, reach
 from tidewater.runtime import cut
 
 NODEPS = "array<struct<dep_kind:string,target_id:string,arg_pos:int>>"
@@ -77,10 +77,6 @@ def fold_leaves(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return out, edges.join(leaf.select("dst"), "dst", "left_anti")
 
 
-def _seed(df: DataFrame) -> DataFrame:
-    return df.select(F.col("fn_id").alias("node"))
-
-
 def resolve(nodes: DataFrame, edges: DataFrame, spread: bool = True, start: DataFrame | None = None) -> DataFrame:
     """Final levels ``(fn_id, level, left array<string>)`` of ``nodes(fn_id, level)`` over ``edges(src, dst)``:
 
@@ -91,23 +87,22 @@ def resolve(nodes: DataFrame, edges: DataFrame, spread: bool = True, start: Data
     nodes = nodes.select("fn_id", F.col("level").cast("tinyint").alias("level"))
     folded, inner = fold_leaves(nodes, edges)
     folded, inner = cut(folded), cut(inner)
-    seeds = _seed(folded.where("level = 3"))
-    s = reach(inner, seeds if start is None else seeds.unionByName(start.select(F.col("fn_id").alias("node"))))
-    rest = edges.join(s, edges.src == s.node, "left_anti")
-    keys = nodes.select(F.col("fn_id").alias("dst"))
-    open_ = reach(rest, rest.join(keys, "dst", "left_anti").select(F.col("src").alias("node")).distinct())
-    live = folded.join(s.withColumnRenamed("node", "fn_id"), "fn_id", "left_anti").join(open_.withColumnRenamed("node", "fn_id"), "fn_id", "left_anti")
-    inside = cut(inner.join(live.select(F.col("fn_id").alias("src")), "src", "left_semi"))
-    level = live.select("fn_id", "level")
-    for k in (2, 1):
-        up = reach(inside, _seed(live.where(F.col("level") == k))).select(F.col("node").alias("fn_id"), F.lit(k).cast("tinyint").alias("__k"))
-        level = level.join(up, "fn_id", "left").select("fn_id", F.greatest("level", F.coalesce("__k", F.lit(0)).cast("tinyint")).alias("level"))
+    # one label for each node, the greatest that it reaches: 4 is s, 3 is open (reaches a missing target), then d and e
+    own = folded.select(F.col("fn_id").alias("node"), F.when(F.col("level") == 3, 4).otherwise(F.col("level")).alias("label")).where("label > 0")
+    if start is not None:
+        own = own.unionByName(start.select(F.col("fn_id").alias("node"), F.lit(4).alias("label")))
+    missing = edges.join(nodes.select(F.col("fn_id").alias("dst")), "dst", "left_anti").select(F.col("src").alias("node"), F.lit(3).alias("label"))
+    label = cut(highest(inner, own.unionByName(missing.distinct())))
+    level = nodes.select("fn_id").join(label.withColumnRenamed("node", "fn_id"), "fn_id", "left").select("fn_id", F.coalesce("label", F.lit(0)).alias("label"))
     none = F.array().cast("array<string>")
-    level = cut(level)
-    done = level.select("fn_id", "level", none.alias("left")).unionByName(s.select(F.col("node").alias("fn_id"), F.lit(3).cast("tinyint").alias("level"), none.alias("left")))
-    targets = rest.join(open_, rest.src == open_.node, "left_semi").join(level.select(F.col("fn_id").alias("dst"), F.col("level").alias("__l")), "dst", "left")
+    done = level.where("label <> 3").select("fn_id", F.least("label", F.lit(3)).cast("tinyint").alias("level"), none.alias("left"))
+    if start is not None:  # starts without a row of their own
+        done = done.unionByName(label.where("label = 4").join(nodes.select(F.col("fn_id").alias("node")), "node", "left_anti").select(F.col("node").alias("fn_id"), F.lit(3).cast("tinyint").alias("level"), none.alias("left")))
+    open_ = nodes.join(level.where("label = 3").select("fn_id"), "fn_id", "left_semi")
+    known = level.select(F.col("fn_id").alias("dst"), F.when(F.col("label") != 3, F.least("label", F.lit(3))).cast("tinyint").alias("__l"))
+    targets = edges.join(open_.select(F.col("fn_id").alias("src")), "src", "left_semi").join(known, "dst", "left")
     direct = targets.groupBy(F.col("src").alias("fn_id")).agg(F.max("__l").alias("__l"), F.array_sort(F.collect_set(F.when(F.col("__l").isNull(), F.col("dst")))).alias("left"))
-    unresolved = nodes.join(direct, "fn_id").select("fn_id", F.greatest("level", F.coalesce("__l", F.lit(0)).cast("tinyint")).alias("level"), "left")
+    unresolved = open_.join(direct, "fn_id").select("fn_id", F.greatest("level", F.coalesce("__l", F.lit(0)).cast("tinyint")).alias("level"), "left")
     return done.unionByName(unresolved)
 
 

@@ -9,26 +9,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder. Only where the session names none (tests on one machine) a local one is made and set."""
+    """The shared folder. Where the session names none, a local one is made and set if all runs on one machine; on a cluster that
+    is an error, as executors don't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor and the plan starts anew."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one. It is deleted when the application ends: results that are still to be
+    read have to be written elsewhere by then."""
+    path = f"{shared_dir(spark)}/tidewater-{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return path
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """A written Parquet table in the shared folder, read again: lineage is cut and the planner knows its size, so a
-    join broadcasts it only below spark.sql.autoBroadcastJoinThreshold and shuffles it otherwise."""
+    """A written Parquet table in the shared folder, read again: the rows survive the loss of any executor, lineage is cut and
+    the planner knows the table's size, so a join broadcasts it only below spark.sql.autoBroadcastJoinThreshold and
+    shuffles it otherwise."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Cutting lineage between the rounds of a loop is the same: a written table.
+cut = staged
