@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import arrow_map, shared_dir
+from tidewater.llm.common import arrow_map, scratch_dir
 from tidewater.llm.tokens import WordTokenizer
 
 
@@ -97,6 +97,6 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id", w
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    folder = f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return read_token_files(spark, folder, with_ids=False)
