@@ -32,7 +32,12 @@ def fingerprint(text: bytes | None) -> int:
         shingles, n = [b" ".join(words)], 1
     else:
         shingles, n = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))), len(words) - SHINGLE + 1
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=n)
+    return folded(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=n))
+
+
+def folded(h: np.ndarray) -> int:
+    """The SimHash of hashes: a bit is set if it is in over half of them."""
+    n = len(h)
     bits, total = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little"), np.zeros(64, dtype=np.int64)
     for i in range(0, n, 255):  # sums of up to 255 bits fit a byte
         total += np.add.reduce(bits[i : i + 255], axis=0, dtype=np.uint8)
