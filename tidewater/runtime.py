@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a row group in staged tables: what each writing task holds in memory.
+ROW_GROUP = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder. Where the session names none, a local one is made and set if all runs on one machine; on a cluster that
     is an error, as executors don't see each other's folders."""
@@ -40,7 +44,7 @@ def staged(df: DataFrame) -> DataFrame:
     shuffles it otherwise."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
