@@ -39,19 +39,21 @@ def indirect_args(positions: DataFrame, deps: DataFrame, dep_args: DataFrame) ->
     return flows.select("fn_id", F.col("from_pos").alias("arg_pos")).distinct(), unknown.select("fn_id").distinct()
 
 
-def unfold_hofs(deps: DataFrame, dep_args: DataFrame, max_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+def unfold_hofs(deps: DataFrame, dep_args: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(deps, unknown)``: higher-order calls unfolded to the fixpoint. Functions passed at a higher-order position become
     dependencies of the caller; arguments handed on make the caller higher-order itself. Both tests are read at the
     fixpoint, so the order of calls doesn't matter; positions only grow, so the loop ends."""
-    own = deps.where("dep_kind = 'arg'").select("fn_id", "arg_pos").distinct()
-    positions, n = cut(own), -1
-    while (now := positions.count()) != n and max_rounds:
-        n, max_rounds = now, max_rounds - 1
-        if not now:
-            break
-        flows, _ = indirect_args(positions, deps, dep_args)
+    own = cut(deps.where("dep_kind = 'arg'").select("fn_id", "arg_pos").distinct())
+    if own.isEmpty():  # nothing is higher-order
+        return deps, deps.select("fn_id").limit(0)
+    calls = cut(deps.where("dep_kind IN ('remote', 'local')").select("fn_id", "call_id", "target_id", "dep_kind").distinct())
+    flows_ = cut(dep_args.where("kind IN ('fn', 'arg')"))
+    positions, n = own, -1
+    while (now := positions.count()) != n:
+        n = now
+        flows, _ = indirect_args(positions, calls, flows_)
         positions = cut(positions.unionByName(flows).distinct())
-    _, unknown = indirect_args(positions, deps, dep_args)
+    _, unknown = indirect_args(positions, calls, flows_)
     at = positions.select(F.col("fn_id").alias("target_id"), F.col("arg_pos").alias("pos"))
     passed = dep_args.where("kind = 'fn'").join(at, ["target_id", "pos"], "left_semi").select("fn_id", F.col("passed_id").alias("target_id")).distinct()
     none = lambda kind: F.lit(None).cast(kind)

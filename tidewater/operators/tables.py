@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -153,6 +155,33 @@ def unite(effects: DataFrame, termination: DataFrame) -> DataFrame:
     return out.select("fn_id", *cols, "level", (~s & (F.coalesce("at_least", F.lit(False)) | F.coalesce("__a", F.lit(False)))).alias("at_least"), F.when(s, none).otherwise(F.array_sort(F.array_union(F.coalesce("deps", none), F.coalesce("__d", none)))).alias("deps"))
 
 
+def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """H1: distinct rows of both."""
+    return a.unionByName(b).distinct()
+
+
+def subtract(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """H2, H5: the rows of a, repeats and all columns kept, whose keys don't stand in b; a null key stands for itself."""
+    return _by_keys(a, b, keys, "left_anti")
+
+
+def intersect(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """H3: the rows of a whose keys stand in b as well."""
+    return _by_keys(a, b, keys, "left_semi")
+
+
+def _by_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    other = b.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    return a.join(other, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), how)
+
+
+def in_all(sets: DataFrame, group: list[str], each: str, member: str) -> DataFrame:
+    """H3 over many sets: ``(*group, member)``: members that stand in all sets ``each`` of their group."""
+    n = sets.groupBy(*group).agg(F.countDistinct(each).alias("__n"))
+    held = sets.groupBy(*group, member).agg(F.countDistinct(each).alias("__k"))
+    return held.join(n, group).where("__k = __n").select(*group, member)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "fn_id") -> DataFrame:
     """H4: the new row wins."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
@@ -238,12 +267,22 @@ def to_wide(deps: DataFrame) -> DataFrame:
     return deps.groupBy("fn_id").agg(F.array_sort(F.collect_set(F.struct("dep_kind", "target_id", "arg_pos"))).alias("deps"))
 
 
+def listing(results: DataFrame) -> DataFrame:
+    """One line ``key result.`` a row, by module, name and arity."""
+    return results.orderBy("module", "name", "arity", "fn_id").select(F.concat("fn_id", F.lit(" "), L.fmt_result(), F.lit(".")).alias("value"))
+
+
 def write_listing(results: DataFrame, path: str) -> None:
-    """One line ``key result.`` a row, by key."""
-    results.orderBy("module", "name", "arity", "fn_id").select(F.concat("fn_id", F.lit(" "), L.fmt_result(), F.lit(".")).alias("value")).write.text(path)
+    listing(results).write.text(path)
+
+
+def stats_report(table: DataFrame) -> DataFrame:
+    """The rows of modules, worst first, and last a row of totals."""
+    total = stats_total(table).select(F.format_string("%d modules", "modules").alias("module"), *[F.col(c) for c in table.columns if c not in ("module", "pct_pure")], F.col("pct_p").alias("pct_pure"))
+    both = table.withColumn("__last", F.lit(0)).unionByName(total.withColumn("__last", F.lit(1)))
+    return both.orderBy("__last", "pct_pure", "module").drop("__last")
 
 
 def write_stats(table: DataFrame, path: str) -> None:
-    """Header, a row for each module, and the totals under ``path/modules`` and ``path/total``."""
-    table.orderBy("pct_pure", "module").write.csv(f"{path}/modules", header=True)
-    stats_total(table).write.csv(f"{path}/total", header=True)
+    """One table of text files in order, whose last row are the totals."""
+    stats_report(table).write.csv(path, header=True)
