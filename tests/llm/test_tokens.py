@@ -1,6 +1,7 @@
 """Token ids equal those of the tokenizers library on whole texts; packing and files keep every id."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -12,19 +13,21 @@ from tokenizers import Tokenizer
 from tidewater.llm import packing, token_files
 from tidewater.llm.tokens import WordTokenizer
 
+SF = "/root/testdata/sf0.001"
 HARD = ["", " ", "  a", "a  b", "a \n b", "\n\na b\n", "a.\nThe b\nc", "x  y  z", "<|endoftext|> a<|startoftext|>", "İstanbul ΣΑΣ Σ b's 'S I'LL", "日本語 テキスト", "a\x01b c\x01 \x01", "a\x00b \x00 c", "\x00", "é é e ́x", "1234 5 6,7 a1b2", "a\x1cb \x1c c", "tab\tx \ty", "a" * 100 + " b " + "語" * 80, "don't we've", "🙂 👍🏽 a", "\r\n a\r\nb", " \n", "a ", "\x85 b \x85c", "  b ", "Ñandú,\nÉl!! (x)_y Ġa Ċ b"]
 FILES = [("byte_bpe_50k.json", False, "<u4"), ("word_bpe_49k.json", True, "<u2")]
 
 
-def library(name):
+def library(name, special_as_text=False):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     return t
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
 @pytest.mark.parametrize(("name", "drops", "dtype"), FILES)
-def test_hard_texts(name, drops, dtype):
-    mine, lib = WordTokenizer(public_tokenizers.path(name), drops, dtype), library(name)
+def test_hard_texts(name, drops, dtype, special_as_text):
+    mine, lib = WordTokenizer(public_tokenizers.path(name), drops, dtype, special_as_text), library(name, special_as_text)
     for t in HARD + HARD:
         assert np.frombuffer(mine.encode(t), dtype).tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
@@ -36,6 +39,63 @@ def test_documents(spark, name, drops, dtype):
         assert np.frombuffer(mine.encode(r.text), dtype).tolist() == lib.encode(r.text, add_special_tokens=False).ids
 
 
+def test_special_tokens_have_their_ids():
+    for name, drops, dtype in FILES:
+        got = np.frombuffer(WordTokenizer(public_tokenizers.path(name), drops, dtype).encode("a <|endoftext|> b"), dtype).tolist()
+        assert {"byte_bpe_50k.json": 50256, "word_bpe_49k.json": 49407}[name] in got
+
+
+def expected(docs, name, end, shape):
+    lib = library(name)
+    return {i: shape(np.array([*lib.encode(t or "", add_special_tokens=False).ids, end], "<u4")) for i, t in docs}
+
+
+def test_op8_on_documents(spark):
+    """Every document's row against the library's plain call."""
+    docs = sorted(map(tuple, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()))
+    want, start = {}, 0
+    for i, (n, crc) in expected(docs, "word_bpe_49k.json", 1, lambda x: (len(x), zlib.crc32(x.tobytes()))).items():
+        want[i] = (start, n, crc)
+        start += n
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.op8_token_files(spark, SF).collect()} == want
+
+
+def plain_best_fit(lengths, capacity):
+    """Number of sequences of best fit over single pieces, longest first."""
+    room = Counter()
+    for n in sorted(lengths, reverse=True):
+        best = min((r for r, k in room.items() if k and r >= n), default=None)
+        if best is not None:
+            room[best] -= 1
+        room[(capacity if best is None else best) - n] += 1
+    return sum(room.values())
+
+
+def test_op7_on_documents(spark):
+    """Pieces against the library's plain call; sequences gapless, and no more of them than a plain best fit makes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = set()
+    for i, ids in expected(docs, "byte_bpe_50k.json", 2, lambda x: x).items():
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        want |= {(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))}
+    got = packing.op7_packing(spark, SF).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        assert [a for a, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()][:-1] and sum(n for _, n in parts) <= 1024
+    assert len(by) == plain_best_fit([r.length for r in got], 1024)
+
+
+def test_very_long_texts(spark):
+    long = "word " * 400_000 + "x" * 300_000
+    x = spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string")
+    n = len(library("byte_bpe_50k.json").encode(long, add_special_tokens=False).ids)
+    got = packing.pack_documents(x, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).collect()
+    assert sum(r.length for r in got if r.doc_id == 1) == n + 1 and [r.length for r in got if r.doc_id == 2] == [1]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), max_size=12))
 def test_best_fit_places_all(histogram):

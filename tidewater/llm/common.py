@@ -14,6 +14,8 @@ __all__ = ["arrow_map", "cut", "hot_keys", "ranked", "row_key", "salted_join", "
 
 #: Bytes of an Arrow batch that goes to a worker (a row of more goes alone).
 BATCH_BYTES = 2 << 20
+#: Rows that a Parquet reader decodes at once (Spark's own 4,096 whole texts take tens of MB a task).
+READER_ROWS = 512
 #: A key that holds more than one in so many rows is hot: so there are fewer hot keys than this, which bounds their broadcast.
 HOT = 256
 #: A side of at most so many bytes, as measured, is broadcast.
@@ -22,8 +24,9 @@ BROADCAST = 4 << 20
 
 def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
     """mapInArrow for rows with whole texts. The session's batches are bounded in bytes, as Spark's own bound of 64 MB is held
-    several times at once in the JVM and in each worker."""
+    several times at once in the JVM and in each worker, and so are the rows that a Parquet reader holds at once."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
     return df.mapInArrow(run, schema)
 
 

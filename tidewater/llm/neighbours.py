@@ -188,7 +188,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
     asked = staged(queries.mapInArrow(walk, f"id long, v array<{width}>, cell long, leaves array<long>"))
     many = {r.cell: r.n for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
     cells = [(i, p, max(1, -(-many.get(i, 0) // CELL_QUERIES))) for i, p in enumerate(parts)]
-    cells = F.broadcast(spark.createDataFrame(cells, "cell long, parts int, blocks int"))  # fewer rows than leaves
+    cells = F.broadcast(spark.createDataFrame(pa.table({"cell": pa.array([c[0] for c in cells], pa.int64()), "parts": pa.array([c[1] for c in cells], pa.int32()), "blocks": pa.array([c[2] for c in cells], pa.int32())})))  # fewer rows than leaves
     asked = asked.join(cells, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows_ = entries.withColumn("cell", F.get(F.lit(cell_of), F.col("leaf").cast("int"))).join(cells, "cell").withColumn("part", F.pmod(F.xxhash64("vec"), "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["cell", "part", "block"]

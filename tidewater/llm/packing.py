@@ -83,7 +83,8 @@ def pack(rows: DataFrame, capacity: int, order: list[str], length_col: str = "le
     spark = rows.sparkSession
     rows = rows.withColumn("__l", F.col(length_col).cast("long"))
     counts = {int(r["__l"]): int(r["n"]) for r in rows.groupBy("__l").agg(F.count("*").alias("n")).collect()}
-    plan = spark.createDataFrame(best_fit(counts, capacity), "__l long, __from long, __to long, __first long, __per long, __at long")
+    names, plan = ["__l", "__from", "__to", "__first", "__per", "__at"], best_fit(counts, capacity)
+    plan = spark.createDataFrame(pa.table({n: pa.array([p[k] for p in plan], pa.int64()) for k, n in enumerate(names)}))
     rows = ranked(rows, ["__l"], order, "__rank", 1024)
     rows = rows.join(F.broadcast(plan), (rows["__l"] == plan["__l"]) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))).drop(plan["__l"])
     slot = F.col("__rank") - F.col("__from")

@@ -76,7 +76,7 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id", w
     with open(f"{target}/manifest.json") as f:
         manifest = json.load(f)
     dtype, parts = manifest["dtype"], [p for p in manifest["parts"] if p["docs"]]
-    rows = spark.createDataFrame([(p["part"], p["base"], p["nulls"]) for p in parts], "part long, base long, nulls long")
+    rows = spark.createDataFrame(pa.table({k: pa.array([p[k] for p in parts], pa.int64()) for k in ("part", "base", "nulls")}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -9,7 +9,7 @@ from itertools import compress, count, repeat
 from operator import is_
 
 #: Pieces that a worker remembers at most (about 200 bytes each), in two generations, and the longest piece that is remembered.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: White space besides the space and the line end, as far as either regex library counts it.
 SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 RUNS = ("  ", "\n\n", " \n", "\n ", *SPACES)
@@ -32,12 +32,16 @@ class WordTokenizer:
     and nothing is normalised across it; so a text's ids are those of the pieces between such places. Pieces of plain
     words go to the library's model directly, all others through its whole encoder."""
 
-    def __init__(self, path: str, drops_space: bool, dtype: str = "<u4") -> None:
+    def __init__(self, path: str, drops_space: bool, dtype: str = "<u4", special_as_text: bool = False) -> None:
+        """``special_as_text``: strings of special tokens in a text are ordinary text; else they give the tokens' ids, as the
+        library's plain call does."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole.encode_special_tokens = special_as_text
+        added = [] if special_as_text else [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = min((t[:2] for t in added), default=None) if len({t[:2] for t in added}) < 2 else ""
         self.tokenize = self.whole.model.tokenize
         self.code, self.drops_space = {"<u2": "H", "<u4": "I"}[dtype], drops_space
         self.seen, self.old, self.words = {"": b""}, {}, {}
@@ -116,6 +120,8 @@ class WordTokenizer:
         """Ids of a text (null: none), without special tokens."""
         if not text:
             return b""
+        if self.special is not None and self.special in text:  # the whole encoder finds special tokens in it, or none
+            return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         pieces = self._pieces(text)
         found = list(map(self.seen.get, pieces))
         for i in list(compress(count(), map(is_, found, repeat(None)))):
