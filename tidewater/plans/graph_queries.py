@@ -47,7 +47,7 @@ def supply(spark, d: str):
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     e = _t(spark, d, "orders").select(key("c:", "o_custkey").alias("fn_id"), key("o:", "o_orderkey").alias("target_id"))
     e = e.unionByName(lines.select(key("o:", "l_orderkey").alias("fn_id"), key("p:", "l_partkey").alias("target_id")).distinct())
-    e = e.unionByName(lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey")).select(key("p:", "l_partkey").alias("fn_id"), key("s:", "l_suppkey").alias("target_id")))
+    e = e.unionByName(lines.select(key("p:", "l_partkey").alias("fn_id"), key("s:", "l_suppkey").alias("target_id")).distinct())
     deps = e.select("fn_id", F.lit(0).cast("bigint").alias("call_id"), F.lit("remote").alias("dep_kind"), "target_id", F.lit(None).cast("int").alias("arg_pos"), F.lit(None).cast("string").alias("var"))
     return f, deps, spark.createDataFrame([], L.DEP_ARGS), rules
 
@@ -60,16 +60,18 @@ def supply_results(spark, d: str) -> DataFrame:
     return P.propagate_effects(*supply(spark, d)).where("kind = 'mfa'")
 
 
-def part_edges(spark, d: str, lines: str = "l_quantity >= 49") -> DataFrame:
-    """Cyclic: from a part of an order's large lines (those of ``lines``) to the next."""
+def all_edges(spark, d: str) -> DataFrame:
+    """Cyclic: from each part of an order's lines to the next one."""
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    e = _t(spark, d, "lineitem").where(lines).select("l_partkey", F.lead("l_partkey").over(w).alias("next"))
+    e = _t(spark, d, "lineitem").select("l_partkey", F.lead("l_partkey").over(w).alias("next"))
     return e.where("l_partkey <> next").select(F.col("l_partkey").alias("src"), F.col("next").alias("dst")).distinct()
 
 
-def all_edges(spark, d: str) -> DataFrame:
-    """The same over all lines. Queries of these edges have no SQL: a transitive closure of all lines is too slow."""
-    return part_edges(spark, d, "true")
+def part_edges(spark, d: str) -> DataFrame:
+    """Those within a brand (calls inside of a module): many small components, some of which nothing leaves."""
+    brand = _t(spark, d, "part").select("p_partkey", "p_brand")
+    e = all_edges(spark, d).join(brand.select(F.col("p_partkey").alias("src"), F.col("p_brand").alias("a")), "src")
+    return e.join(brand.select(F.col("p_partkey").alias("dst"), F.col("p_brand").alias("b")), "dst").where("a = b").select("src", "dst")
 
 
 def call_facts(spark, d: str):
@@ -92,7 +94,7 @@ f0 AS (SELECT 'c:' || c_custkey AS fn_id, c_mktsegment AS module, 0 AS level, FA
   UNION ALL SELECT 'p:' || p_partkey, p_brand, CASE WHEN p_size = 1 AND p_type = 'PROMO' THEN 3 WHEN p_size IN (2, 3) THEN 2 WHEN p_size BETWEEN 4 AND 9 THEN 1 ELSE 0 END, FALSE FROM part),
 e AS (SELECT 'c:' || o_custkey AS src, 'o:' || o_orderkey AS dst FROM orders
   UNION SELECT 'o:' || l_orderkey, 'p:' || l_partkey FROM lineitem
-  UNION SELECT 'p:' || l_partkey, 's:' || min(l_suppkey) FROM lineitem GROUP BY l_partkey),
+  UNION SELECT 'p:' || l_partkey, 's:' || l_suppkey FROM lineitem),
 f AS (SELECT * FROM f0 UNION ALL SELECT 's:' || s_suppkey, 'n' || s_nationkey, 0, s_suppkey % 20 = 3 FROM supplier WHERE s_suppkey % 50 <> 7 AND 's:' || s_suppkey IN (SELECT dst FROM e))
 """
 REACHED = SUPPLY + """,
@@ -109,11 +111,12 @@ r AS (SELECT fn_id, module, CAST(CASE WHEN open THEN greatest(level, coalesce(up
       CASE WHEN open THEN coalesce(deps, '') ELSE '' END AS deps FROM k LEFT JOIN u ON fn_id = src)
 """
 PART = """
-l AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS b FROM lineitem WHERE l_quantity >= 49),
-e AS (SELECT DISTINCT a, b FROM l WHERE a <> b), n AS (SELECT a AS x FROM e UNION SELECT b FROM e),
+l AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS b FROM lineitem),
+e AS (SELECT DISTINCT a, b FROM l JOIN part p ON a = p.p_partkey JOIN part q ON b = q.p_partkey WHERE a <> b AND p.p_brand = q.p_brand), n AS (SELECT a AS x FROM e UNION SELECT b FROM e),
 c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
 """
-PARTCOMP = PART + ", comp AS (SELECT x AS node, least(x, coalesce((SELECT min(p.b) FROM c p JOIN c q ON p.a = q.b AND p.b = q.a WHERE p.a = x), x)) AS component FROM n)"
+LOCAL = " JOIN part p ON a = p.p_partkey JOIN part q ON b = q.p_partkey WHERE a <> b AND p.p_brand = q.p_brand"
+PARTCOMP = PART + ", comp AS (SELECT x AS node, least(x, coalesce(m, x)) AS component FROM n LEFT JOIN (SELECT p.a AS x, min(p.b) AS m FROM c p JOIN c q ON p.a = q.b AND p.b = q.a GROUP BY 1) USING (x))"
 WR = "WITH RECURSIVE " + REACHED
 WS = "WITH " + SUPPLY
 DOCS = "d AS (SELECT CAST(doc_id AS VARCHAR) AS path, source AS module, md5(text) AS md5 FROM documents)"
@@ -299,6 +302,8 @@ QUERIES["d4_weak_components_all"] = lambda spark, d: weak_components(all_edges(s
 QUERIES["d5_independent_all"] = lambda spark, d: C.independent_components(all_edges(spark, d))
 QUERIES["d6_mutual_level_all"] = lambda spark, d: d6(spark, d, all_edges)
 QUERIES["d7_cyclic_all"] = lambda spark, d: C.cyclic(all_edges(spark, d))
+for _name in ("d2_termination", "d4_components", "d4_weak_components", "d5_independent", "d6_mutual_level", "d7_cyclic"):
+    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(LOCAL, " WHERE a <> b")
 
 
 CALLS = """h AS (SELECT 's:' || s_suppkey AS fn_id, unnest(CASE WHEN s_suppkey % 2 = 0 THEN [1, 2] ELSE [1] END) AS pos FROM supplier),
@@ -369,7 +374,7 @@ UNION ALL SELECT 'subtract', x FROM (SELECT l_partkey AS x FROM lineitem WHERE l
 def h1(spark, d):
     a = _t(spark, d, "lineitem").where("l_quantity < 3").select(F.col("l_partkey").alias("x")).distinct()
     b = _t(spark, d, "part").where("p_size < 5").select(F.col("p_partkey").alias("x"))
-    rows = [("union", a.unionByName(b).distinct()), ("subtract", a.join(b, "x", "left_anti")), ("intersect", a.join(b, "x", "left_semi"))]
+    rows = [("union", T.union(a, b)), ("subtract", T.subtract(a, b, ["x"])), ("intersect", T.intersect(a, b, ["x"]))]
     out = [df.select(F.lit(n).alias("op"), "x") for n, df in rows]
     return out[0].unionByName(out[1]).unionByName(out[2])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.plans import graph_queries
+from tidewater.plans import fact_queries, graph_queries
 
-QUERIES: dict = dict(graph_queries.QUERIES)
-ORACLES: dict[str, str] = dict(graph_queries.ORACLES)
+QUERIES: dict = graph_queries.QUERIES | fact_queries.QUERIES
+ORACLES: dict[str, str] = graph_queries.ORACLES | fact_queries.ORACLES
