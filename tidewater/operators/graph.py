@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.runtime import cut
+from tidewater.runtime import cut, unstage
 
 
 def highest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -54,6 +54,7 @@ def weak_components(edges: DataFrame) -> DataFrame:
         n, before = new.count(), n
         if n == before and new.join(now, ["src", "dst"], "left_anti").isEmpty():  # equal sets
             break
+        unstage(now)
         now = new
     roots = now.groupBy("src").agg(F.min("dst").alias("root")).withColumnRenamed("src", "node")
     return roots.unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct().join(roots, "node", "left_anti"))

@@ -45,7 +45,16 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read any more: neither they nor what was derived from them and not staged itself."""
+    for df in tables:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Cutting lineage between the rounds of a loop is the same: a written table.
