@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidewater.runtime import cut, scratch_dir, staged
+from tidewater.runtime import cut, scratch_dir, staged, unstage
 
-__all__ = ["arrow_map", "cut", "hot_keys", "ranked", "row_key", "salted_join", "scratch_dir", "staged"]
+__all__ = ["arrow_map", "cut", "hot_keys", "ranked", "row_key", "salted_join", "scratch_dir", "staged", "unstage"]
 
 #: Bytes of an Arrow batch that goes to a worker (a row of more goes alone).
 BATCH_BYTES = 2 << 20

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,34 +14,44 @@ from tidewater.llm.common import arrow_map, ranked, staged
 from tidewater.llm.tokens import WordTokenizer
 
 
-def pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, piece int, start long, length long, ids binary)``: each document's ids and the end id, little-endian
-    unsigned 32-bit. Only documents of more than ``limit`` ids are cut; all pieces but the first have ``limit`` ids. A null
-    or empty text is the end id alone."""
+def pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", ids_type: str | None = "<u4") -> DataFrame:
+    """``(id, piece int, start long, length long, ids_crc32 long[, ids binary])``: each document's ids and the end id, cut. The checksum
+    is that of little-endian unsigned 32-bit ids; ``ids_type`` is how the ids themselves are given (None: not at all).
+    Only documents of more than ``limit`` ids are cut; all pieces but the first have ``limit`` ids. A null or empty text is the
+    end id alone."""
     docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, end = WordTokenizer(tokenizer, drops_space=False), np.array([end_id], "<u4").tobytes()
-        names = [id_col, "piece", "start", "length", "ids"]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        names = [id_col, "piece", "start", "length", "ids_crc32", "ids"][: 6 if ids_type else 5]
         for b in batches:
-            own, ids, piece, start = [], [], [], []
+            own: list[int] = []
+            cols: list[list] = [[] for _ in names[1:]]
+
+            def out() -> pa.RecordBatch:
+                batch = pa.RecordBatch.from_arrays([b.column("__id").take(pa.array(own)), *map(pa.array, cols, kinds)], names)  # noqa: B023
+                own.clear()  # noqa: B023
+                for c in cols:  # noqa: B023
+                    c.clear()
+                return batch
+
             for k, text in enumerate(b.column("__text")):
                 all_ids = model.encode(text.as_py()) + end
                 n = len(all_ids) // 4
                 cuts = [0, *range((n - 1) % limit + 1, n + 1, limit)]
                 for j, (x, y) in enumerate(zip(cuts, cuts[1:])):
+                    ids = all_ids[4 * x : 4 * y]
                     own.append(k)
-                    ids.append(all_ids[4 * x : 4 * y])
-                    piece.append(j)
-                    start.append(x)
-                if len(own) > 2000:
-                    yield pa.RecordBatch.from_arrays([b.column("__id").take(pa.array(own)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names)
-                    own, ids, piece, start = [], [], [], []
+                    for c, v in zip(cols, (j, x, y - x, zlib.crc32(ids), ids if ids_type == "<u4" else ids_type and np.frombuffer(ids, "<u4").astype(ids_type).tobytes())):
+                        c.append(v)
+                    if len(own) > 2000:
+                        yield out()
             if own:
-                yield pa.RecordBatch.from_arrays([b.column("__id").take(pa.array(own)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names)
+                yield out()
 
     id_type = docs.schema["__id"].dataType.simpleString()
-    return arrow_map(docs, run, f"`{id_col}` {id_type}, piece int, start long, length long, ids binary")
+    return arrow_map(docs, run, f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * bool(ids_type))
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -92,13 +103,13 @@ def pack(rows: DataFrame, capacity: int, order: list[str], length_col: str = "le
     return out.drop("__l", "__rank", "__from", "__to", "__first", "__per", "__at")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 2, with_ids: bool = True) -> DataFrame:
-    """Pieces of all documents with their sequence and offset; with ``with_ids`` the ids themselves, too.
+def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 2, with_ids: bool = True, ids_type: str = "<u4") -> DataFrame:
+    """Pieces of all documents with their sequence and offset; with ``with_ids`` the ids themselves, too, as ``ids_type``.
 
-    Columns: doc_id, piece, start, length, ids_crc32 (of the little-endian 32-bit ids), sequence_id, offset[, ids].
-    Repeated rows are packed as often as they stand; an empty table gives none."""
-    found = pieces(docs, tokenizer, limit, end_id).withColumn("ids_crc32", F.crc32("ids"))
-    found = staged(found if with_ids else found.drop("ids"))
+    Columns: doc_id, piece, start, length, ids_crc32 (of the little-endian 32-bit ids)[, ids], sequence_id, offset.
+    Repeated rows are packed as often as they stand; null and empty texts are the end id alone; texts may be of any length; an
+    empty table gives none. Other columns are ignored."""
+    found = staged(pieces(docs, tokenizer, limit, end_id, ids_type=ids_type if with_ids else None))
     return pack(found, limit, ["doc_id", "piece", "start", "ids_crc32"])
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import arrow_map, cut, row_key, staged
+from tidewater.llm.common import arrow_map, cut, row_key, salted_join, staged
 from tidewater.operators.graph import weak_components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -116,9 +116,10 @@ def _forest(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges ``(src, dst)`` between distinct fingerprints ``(fp)`` whose components are those of all links of at most
-    ``radius`` = 4 bits. Range join on a grid: of six blocks of segments at most four can differ in their bit counts, so two
-    linked fingerprints share a cell of the grid of two blocks for at least one of 15 pairs of blocks. Cells are searched whole;
-    very large ones by pairs of parts. Within a cell a spanning forest is given, not all pairs."""
+    ``radius`` = 4 bits. Range join on grids over the segments' bit counts: a Manhattan distance of four can touch four of six
+    blocks of segments at most, so in at least one of the 15 grids that are spanned by two blocks both fingerprints lie in the same
+    cell of width one, and neighbouring cells need not be looked at. Cells are searched whole, by the distance of the counts
+    first, then by the bits; very large ones by pairs of parts. Within a cell a spanning forest is given, not all pairs."""
     c = counts(F.col("fp"))
     masks = [sum(((1 << BLOCKS[k + 1]) - (1 << BLOCKS[k])) for k in pair) for pair in combinations(range(6), len(BLOCKS) - 1 - radius)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -159,11 +160,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("__id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     prints = cut(fingerprints(rows))
     nodes = cut(prints.groupBy("fp").agg(F.min("__id").alias("low")))
-    roots = weak_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    roots = staged(weak_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp"))
     nodes = cut(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    lowest = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
-    nodes = nodes.join(lowest, "root").select("fp", "root", "component_id")
-    return prints.join(nodes, "fp").withColumnRenamed("__id", id_col)
+    lowest = staged(nodes.groupBy("root").agg(F.min("low").alias("component_id")))
+    nodes = staged(salted_join(nodes, lowest, "root", F.col("fp")).select("fp", "root", "component_id"))
+    return salted_join(prints, nodes, "fp", F.struct("__id", "row")).withColumnRenamed("__id", id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
