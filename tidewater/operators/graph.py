@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from tidewater.runtime import cut, unstage
 
 
+def compacted(tables: list[DataFrame], most: int = 16) -> list[DataFrame]:
+    """The tables of earlier rounds as one, if there are many; the last one stays by itself."""
+    if len(tables) <= most:
+        return tables
+    whole = cut(reduce(DataFrame.unionByName, tables[:-1]))
+    unstage(*tables[:-1])
+    return [whole, tables[-1]]
+
+
 def highest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(node, label)``: the greatest label that a node reaches. ``edges(src, dst)`` means src depends on dst, ``seeds(node,
     label)``; nodes that reach no seed are left out.
@@ -18,7 +27,8 @@ def highest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     All labels travel in one loop: a round sends the labels that rose in the round before over the edges and keeps those that
     beat what their nodes had. Frontiers are written once and only read afterwards; a node stands in as many as its label
     rises. Null nodes are ignored, duplicates collapse, empty inputs give the seeds."""
-    by_target = cut(edges.select("src", "dst").dropna().where("src <> dst").distinct())
+    by_target = edges if getattr(edges, "staged_at", None) else cut(edges.select("src", "dst").distinct())
+    by_target = by_target.select("src", "dst").dropna().where("src <> dst")
     frontiers = [cut(seeds.select("node", "label").dropna().groupBy("node").agg(F.max("label").alias("label")))]
     while True:
         came = by_target.join(frontiers[-1], by_target.dst == frontiers[-1].node).groupBy("src").agg(F.max("label").alias("label"))
@@ -27,7 +37,7 @@ def highest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         risen = cut(came.join(seen, "node", "left").where(F.col("had").isNull() | (F.col("label") > F.col("had"))).select("node", "label"))
         if risen.isEmpty():
             return reduce(DataFrame.unionByName, frontiers).groupBy("node").agg(F.max("label").alias("label"))
-        frontiers.append(risen)
+        frontiers = compacted([*frontiers, risen])
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:

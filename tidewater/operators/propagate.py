@@ -79,13 +79,13 @@ def fold_leaves(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return out, edges.join(leaf.select("dst"), "dst", "left_anti")
 
 
-def resolve(nodes: DataFrame, edges: DataFrame, spread: bool = True, start: DataFrame | None = None) -> DataFrame:
+def resolve(nodes: DataFrame, edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """Final levels ``(fn_id, level, left array<string>)`` of ``nodes(fn_id, level)`` over ``edges(src, dst)``:
 
     s for all that reach an s; what else reaches a target without a row is unresolved, with the level of itself and its direct
     resolved targets, and keeps missing and unresolved targets; the rest has the greatest level that it reaches. ``start``:
     further functions that are s, for termination."""
-    edges = cut(edges.where("src <> dst").distinct())
+    edges = (edges if getattr(edges, "staged_at", None) else cut(edges)).where("src <> dst")
     nodes = nodes.select("fn_id", F.col("level").cast("tinyint").alias("level"))
     folded, inner = fold_leaves(nodes, edges)
     folded, inner = cut(folded), cut(inner)
