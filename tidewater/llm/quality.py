@@ -162,16 +162,20 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     """The documents (without text, if ``drop_text``) with ``__p``, ``__prior`` (of their path), ``__keep_p`` and ``__keep``.
 
     The document's log-odds and those of its path against the global mean are added; a document is kept at one half or more,
-    just one half included. Texts are read once; what is found is written and then joined with the sites' posteriors, hot
-    sites in salted parts. ``host`` and ``path`` are columns (of web pages the URL's host and path, here source and language);
+    just one half included. Without text, texts are read once: what is found is written and then joined with the sites' posteriors,
+    hot sites in salted parts. With it they are read twice, which saves a written copy of all texts. ``host`` and ``path`` are columns (of web pages the URL's host and path, here source and language);
     null is a site of its own. Null, empty and very long texts are judged like others. Without labels of both classes
     all documents are kept. Repeated rows are judged alike; an empty table gives none. Other columns stay as they are."""
     sites = {"__host": F.coalesce(F.col(host).cast("string"), F.lit("")), "__path": F.coalesce(F.col(path).cast("string"), F.lit(""))}
     model = fit(docs, labels, id_col, text_col)
     if model is None:
         return with_evidence(docs, model, text_col, drop_text).withColumns({"__prior": F.lit(None).cast("double"), "__keep_p": F.lit(None).cast("double"), "__keep": F.lit(True)})
-    judged = staged(with_evidence(docs.withColumns(sites), model, text_col, drop_text))
-    prior, mean = site_posteriors(judged.select("__host", "__path", "__p"))
+    judged = with_evidence(docs.withColumns(sites), model, text_col, drop_text)
+    if drop_text:
+        judged = evidence = staged(judged)
+    else:
+        evidence = staged(with_evidence(docs.select(F.col(text_col), *[c.alias(k) for k, c in sites.items()]), model, text_col, True))
+    prior, mean = site_posteriors(evidence.select("__host", "__path", "__p"))
     odds = lambda c: F.log(c / (1 - c))
     inside = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
     prior = staged(prior.select(F.struct("__host", "__path").alias("__site"), "__prior"))

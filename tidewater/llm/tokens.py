@@ -9,7 +9,7 @@ from itertools import compress, count, repeat
 from operator import is_
 
 #: Pieces that a worker remembers at most (about 200 bytes each), in two generations, and the longest piece that is remembered.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 900_000, 64
 #: White space besides the space and the line end, as far as either regex library counts it.
 SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 RUNS = ("  ", "\n\n", " \n", "\n ", *SPACES)
