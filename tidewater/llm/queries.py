@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import alignment, decontaminate, html_text, neighbours, packing, pii, quality, shards, simhash, token_files, urls
+from tidewater.llm import alignment, decontaminate, html_text, lexical, neighbours, packing, pii, quality, shards, simhash, token_files, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_main_text": html_text.op9_main_text,
     "op10_pii": pii.op10_pii,
+    "op11_lexical": lexical.op11_lexical,
     "op12_alignment": alignment.op12_alignment,
 }
-ORACLES = {"op5_url_rules": urls.ORACLE}
+ORACLES = {"op5_url_rules": urls.ORACLE, "op11_lexical": lexical.ORACLE}
