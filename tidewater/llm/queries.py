@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import alignment, decontaminate, html_text, lexical, neighbours, packing, pii, quality, shards, simhash, token_files, urls
+from tidewater.llm import alignment, decontaminate, html_text, lexical, neighbours, ngram_join, packing, pii, quality, shards, simhash, token_files, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
     "op11_lexical": lexical.op11_lexical,
     "op12_alignment": alignment.op12_alignment,
+    "op13_ngram_join": ngram_join.op13_ngram_join,
 }
-ORACLES = {"op5_url_rules": urls.ORACLE, "op11_lexical": lexical.ORACLE}
+ORACLES = {"op5_url_rules": urls.ORACLE, "op11_lexical": lexical.ORACLE, "op13_ngram_join": ngram_join.ORACLE}
