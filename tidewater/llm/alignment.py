@@ -7,7 +7,7 @@ import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import accumulate, count, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import arrow_map, staged, unstage
 from tidewater.llm.tokens import RUNS, WordTokenizer, _byte_letters
 
-#: Units that a worker remembers at most (some 600 bytes each), in two generations, and the longest that is remembered.
-REMEMBERED, LONGEST = 240_000, 64
+#: Units that a worker remembers at most (some 400 bytes each), in two generations, and the longest that is remembered.
+REMEMBERED, LONGEST = 500_000, 64
 #: A chunk of documents, which is closed when it has so many of them or so many units: what one task holds when counts come back.
 CHUNK_DOCS, CHUNK_UNITS = 4096, 1 << 20
 #: Both tokenizers end a token before a single space that something but white space follows, and around such a line end.
@@ -43,75 +43,114 @@ def spelled(unit: str) -> str:
     return unit if unit[0] in " \n" else " " + unit
 
 
-def slices(ends_a: Iterable[int], ends_b: Iterable[int]) -> Iterator[tuple[int, int, int, int]]:
-    """``(from a, to a, from b, to b)``: the groups between ends that both have, found in the two dictionaries end -> index."""
-    at_a, at_b = {e: i for i, e in enumerate(ends_a, 1)}, {e: i for i, e in enumerate(ends_b, 1)}
-    i = j = 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        yield i, at_a[end], j, at_b[end]
-        i, j = at_a[end], at_b[end]
+def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where groups end, as numbers of A and of B tokens so far: the ends that both have, by dictionaries end -> index."""
+    at_a, at_b = dict(zip(ends_a.tolist(), count(1))), dict(zip(ends_b.tolist(), count(1)))
+    both = sorted(at_a.keys() & at_b.keys())
+    return np.fromiter(map(at_a.__getitem__, both), np.int64, len(both)), np.fromiter(map(at_b.__getitem__, both), np.int64, len(both))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 class Aligner:
     """Aligns a byte-level vocabulary of the ``tokenizers`` library (A) with a model of ``sentencepiece`` (B), each different unit once.
 
     A record is ``(groups as text, n_a, n_b, n_groups, n_links, codes, times)``: the distinct linked pairs as a * 2^32 + b and how often
-    each is linked, as bytes; None if the tokens' bytes aren't those of the text."""
+    each is linked (empty: once), as bytes; None if the tokens' bytes aren't those of the text."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
 
         self.a, self.b = WordTokenizer(path_a, drops_space=False, special_as_text=True), sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = {c: i for i, c in enumerate(_byte_letters())}
-        names = (self.a.whole.id_to_token(i) or "" for i in range(self.a.whole.get_vocab_size()))
-        self.bytes_a = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in names]
+        names = [self.a.whole.id_to_token(i) or "" for i in range(self.a.whole.get_vocab_size())]
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
+        self.bytes_a = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in names]
         self.bytes_b = [piece(i) for i in range(self.b.vocab_size())]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in all_], np.int64) for all_ in (self.bytes_a, self.bytes_b))
+        # each id as text with what follows it: within a group, and at its side's end
+        self.said = [np.array([f"{i}{sign}" for i in range(n)], object) for n, sign in ((len(names), ","), (len(names), "|"), (len(self.bytes_b), ","), (len(self.bytes_b), ";"))]
         self.seen, self.old = {}, {}
 
-    def _ids_a(self, unit: str) -> list[int]:
+    def _ids_a(self, unit: str) -> bytes:
         if "\x00" in unit or unit[0] == " ":
-            return self.a.whole.encode(spelled(unit), add_special_tokens=False).ids
-        return array("I", self.a._ids("\n\x00" + unit[1:] if unit[0] == "\n" else unit)).tolist()
-
-    def record(self, text: bytes, a: list[int], b: list[int]) -> tuple | None:
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != text or b"".join(parts_b) != text:
-            return None
-        said, links, times = [], 0, defaultdict(int)
-        for i, j, k, m in slices(accumulate(map(len, parts_a)), accumulate(map(len, parts_b))):
-            left, right = a[i:j], b[k:m]
-            said.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-            links += len(left) * len(right)
-            if len(left) == 1 == len(right):
-                times[left[0] << 32 | right[0]] += 1
-            else:
-                for x, nx in _counted(left):
-                    for y, ny in _counted(right):
-                        times[x << 32 | y] += nx * ny
-        return ";".join(said), len(a), len(b), len(said), links, np.fromiter(times, np.int64, len(times)).tobytes(), np.fromiter(times.values(), np.int64, len(times)).tobytes()
+            return array("I", self.a.whole.encode(spelled(unit), add_special_tokens=False).ids).tobytes()
+        return self.a._ids("\n\x00" + unit[1:] if unit[0] == "\n" else unit)
+
+    def aligned(self, texts: list[bytes], ids_a: list[bytes], ids_b: list[list[int]]) -> list[tuple | None]:
+        """Records of texts with their ids (A's as bytes of 32-bit numbers), all in one go."""
+        n_a, n_b = np.array([len(i) // 4 for i in ids_a]), np.array([len(i) for i in ids_b])
+        a, b = np.frombuffer(b"".join(ids_a), "<u4").astype(np.int64), np.fromiter(chain.from_iterable(ids_b), np.int64, n_b.sum())
+        from_a, from_b = _starts(n_a), _starts(n_b)
+        sizes = np.array([len(t) for t in texts])
+        as_long = lambda ids, table, at: np.diff(_starts(table[ids])[at]) == sizes
+        good = as_long(a, self.sizes_a, from_a) & as_long(b, self.sizes_b, from_b)
+        whole = b"".join(texts)
+        if not good.all() or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != whole or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != whole:
+            own = lambda u, ids, at, table: b"".join(map(table.__getitem__, ids[at[u] : at[u + 1]].tolist()))
+            good = [g and own(u, a, from_a, self.bytes_a) == t and own(u, b, from_b, self.bytes_b) == t for u, (t, g) in enumerate(zip(texts, good))]
+            right = [u for u, g in enumerate(good) if g]
+            out: list[tuple | None] = [None] * len(texts)
+            if right:
+                for u, r in zip(right, self.aligned(*([x[u] for u in right] for x in (texts, ids_a, ids_b)))):
+                    out[u] = r
+            return out
+        to_a, to_b = common_ends(np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b]))
+        groups_a, groups_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        until = np.searchsorted(to_a, from_a[1:], side="left") + 1  # groups up to each text's end
+        n_groups = np.diff(until, prepend=0)
+        pieces = np.empty(len(a) + len(b), object)
+        place_a = np.arange(len(a)) + np.repeat(to_b - groups_b, groups_a)
+        place_b = np.arange(len(b)) + np.repeat(to_a, groups_b)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[to_a - 1] = last_b[to_b - 1] = True
+        pieces[place_a] = np.where(last_a, self.said[1][a], self.said[0][a])
+        pieces[place_b] = np.where(last_b, self.said[3][b], self.said[2][b])
+        pieces = pieces.tolist()
+        # links: each A token of a group with each B token of it
+        per_a = np.repeat(groups_b, groups_a)
+        codes = np.repeat(a << 32, per_a) | b[_ranges(np.repeat(to_b - groups_b, groups_a), per_a)]
+        links = np.diff(_starts(groups_a * groups_b)[np.concatenate([[0], until])])
+        unit = np.repeat(np.arange(len(texts)), links)
+        order = np.lexsort((codes, unit))
+        codes, unit = codes[order], unit[order]
+        first = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (unit[1:] != unit[:-1])))
+        times = np.diff(np.append(first, len(codes)))
+        cut = np.searchsorted(unit[first], np.arange(len(texts) + 1))
+        often = np.maximum.reduceat(times, cut[:-1]) > 1
+        codes, times = codes[first].astype(np.int64), times.astype(np.int64)
+        at = (from_a + from_b).tolist()
+        numbers = zip(*(x.tolist() for x in (n_a, n_b, n_groups, links)))
+        return [("".join(pieces[i:j])[:-1], *four, codes[x:y].tobytes(), times[x:y].tobytes() if o else b"") for i, j, x, y, o, four in zip(at, at[1:], cut.tolist(), cut[1:].tolist(), often.tolist(), numbers)]
 
     def records(self, wanted: Iterable[str]) -> dict[str, tuple | None]:
-        """Records of units; those that B hasn't seen go to it together."""
-        found = {u: self.seen[u] if u in self.seen else self.old[u] for u in wanted if u in self.seen or u in self.old}
-        new = [u for u in wanted if u not in found]
-        # B sets a space before what it gets: of a unit that begins with a line end it comes off again
-        for u, b in zip(new, self.b.encode([u[1:] if u[0] == " " else u for u in new], num_threads=1) if new else ()):
-            if u[0] == "\n":
-                b = b[1:] if b and self.bytes_b[b[0]] == b" " else []
-            found[u] = self.record(spelled(u).encode(), self._ids_a(u), b)
-        self.seen.update((u, r) for u, r in found.items() if len(u) <= LONGEST)
-        if len(self.seen) > REMEMBERED // 2:
-            self.old, self.seen = self.seen, {}
+        """Records of units; those that aren't remembered are aligned together."""
+        seen, old = self.seen, self.old
+        found = {u: seen.get(u) or old.get(u) for u in wanted}
+        new = [u for u, r in found.items() if r is None]
+        if new:
+            # B sets a space before what it gets: of a unit that begins with a line end it comes off again
+            ids_b = self.b.encode([u[1:] if u[0] == " " else u for u in new], num_threads=1)
+            ids_b = [i if u[0] != "\n" else i[1:] if i and self.bytes_b[i[0]] == b" " else [] for u, i in zip(new, ids_b)]
+            found.update(zip(new, self.aligned([spelled(u).encode() for u in new], list(map(self._ids_a, new)), ids_b)))
+        seen.update((u, r) for u, r in found.items() if len(u) <= LONGEST)
+        if len(seen) > REMEMBERED // 2:
+            self.old, self.seen = seen, {}
+        if len(self.a.seen) > REMEMBERED // 4:
+            self.a.seen, self.a.old = {"": b""}, {}
         return found
 
     def whole(self, text: str) -> tuple | None:
         """A text's record without cutting it."""
-        return self.record(b" " + text.encode(), self.a.whole.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
-
-
-def _counted(ids: list[int]) -> list[tuple[int, int]]:
-    return [(x, ids.count(x)) for x in dict.fromkeys(ids)] if len(ids) < 8 else [*zip(*(v.tolist() for v in np.unique(ids, return_counts=True)))]
+        ids = array("I", self.a.whole.encode(" " + text, add_special_tokens=False).ids).tobytes()
+        return self.aligned([b" " + text.encode()], [ids], [self.b.encode(text)])[0]
 
 
 class _Chunk:
@@ -143,17 +182,22 @@ class _Chunk:
         nums = np.array([r[1:5] for r in self.records], np.int64).reshape(-1, 4)
         codes = np.frombuffer(b"".join(r[5] for r in self.records), np.int64)
         sizes = np.array([len(r[5]) // 8 for r in self.records], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        offsets = _starts(sizes)
+        times = np.ones(len(codes), np.int64)
+        for i, r in enumerate(self.records):
+            if r[6]:
+                times[offsets[i] : offsets[i + 1]] = np.frombuffer(r[6], np.int64)
         own, place = np.unique(codes, return_inverse=True)
-        held = np.zeros(len(own), np.int64)
-        sums = []
-        for unit, times, *_ in self.docs:
-            sums.append(times @ nums[unit] if len(unit) else np.zeros(4, np.int64))
-            n = sizes[unit]
-            if n.sum():
-                at = np.repeat(offsets[unit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                held[np.unique(place[at])] += 1
-        sums = np.array(sums, np.int64).reshape(-1, 4)
+        held, mark = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        ends = _starts(np.array([len(d[0]) for d in self.docs], np.int64))
+        unit, often = (np.concatenate([d[k] for d in self.docs]) for k in (0, 1))
+        sums = np.diff(np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(nums[unit] * often[:, None], axis=0)])[ends], axis=0)
+        at = place[_ranges(offsets[unit], sizes[unit])]
+        cut = _starts(sizes[unit])[ends].tolist()
+        for i, j in zip(cut, cut[1:]):  # a document counts once for a pair
+            pairs, numbers = at[i:j], np.arange(j - i)
+            mark[pairs] = numbers
+            held[pairs[mark[pairs] == numbers]] += 1
         names = [id_col, *(f.split()[0] for f in ROWS.split(", "))]
         kinds = [id_type, *[pa.int64()] * 5, pa.string(), pa.string(), *[pa.list_(pa.int32())] * 3, pa.int64(), pa.int64()]
 
@@ -163,9 +207,8 @@ class _Chunk:
 
         for i in range(0, len(self.docs), 256):
             part = self.docs[i : i + 256]
-            numbers = {c: pa.array(sums[i : i + 256, j]) for j, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
-            yield rows(len(part), **{id_col: pa.array(self.ids[i : i + 256], id_type)}, **numbers, groups_sha256=pa.array([d[2] for d in part]), groups=pa.array([d[3] for d in part], pa.string()), x=_lists([d[0] for d in part]), y=_lists([d[1] for d in part]))
-        times = np.frombuffer(b"".join(r[6] for r in self.records), np.int64)
+            columns = {c: pa.array(sums[i : i + 256, j]) for j, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
+            yield rows(len(part), **{id_col: pa.array(self.ids[i : i + 256], id_type)}, **columns, groups_sha256=pa.array([d[2] for d in part]), groups=pa.array([d[3] for d in part], pa.string()), x=_lists([d[0] for d in part]), y=_lists([d[1] for d in part]))
         if len(own):
             yield rows(1, x=_lists([offsets]), y=_lists([place]), z=_lists([times]))
         for i in range(0, len(own), 1 << 16):
