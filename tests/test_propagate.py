@@ -1,4 +1,6 @@
-"""Plain, cyclic, higher-order and recursive functions with the results they must have, and chains longer than any fixed bound."""
+"""Propagation held against a plain evaluator on random graphs, in all three modes; components, labels and patterns."""
+
+import random
 
 import pytest
 
@@ -9,108 +11,163 @@ from tidewater.operators import graph
 from tidewater.operators import propagate as P
 from tidewater.sources import facts
 
-#: Rules of this test's own built-ins, in the rule format: comments and lines without a level don't count.
-RULES = [
-    "math,'plus',2   e",
-    "math,'times',2 e",
-    "math,abs,1 e",
-    "port,'send',2\ts",
-    "dyn,call,3     >= e",
-    "dict,put,2 s",
-    "dict,get,1 d",
-    "kind,is_list,1 p",
-    "dyn,call,2     e [{arg,1}]",
-    "text,digits,2  e [{remote,{text,digits,1},[]}]",
-    "no_clause,1    e",
-    "blob,copy,1",
-    "# seq,repeat,2 e",
-]
-
-
-def fn(pos, function):
-    """A function passed at a position."""
-    return ("fn", pos, None, function, None)
-
-
-def flow(own, pos):
-    """The caller's own argument handed on at a position."""
-    return ("arg", pos, own, None, None)
-
-
-def less(pos):
-    """An argument that shrinks in a self-call."""
-    return ("sub", pos, None, None, None)
-
-
-#: Function: (calls as (target, *what is passed), own argument positions that are called, effects, termination); None: not asked.
-CASES = {
-    # cycles and missing targets
-    "ring:none/0": ([], [], "p", None),
-    "ring:one/0": ([("math:plus/2",), ("ring:two/0",), ("ring:none/0",), ("ring:three/0",)], [], "e", "s"),
-    "ring:two/0": ([("math:plus/2",), ("ring:one/0",), ("ring:none/0",)], [], "e", None),
-    "ring:three/0": ([("math:plus/2",), ("ring:two/0",)], [], "e", None),
-    "ring:a/1": ([("ring:b/1",)], [], "s", None),
-    "ring:b/1": ([("ring:a/1",), ("port:send/2",)], [], "s", None),
-    "ring:c/1": ([("math:abs/1",), ("ring:d/1",)], [], "e", None),
-    "ring:d/1": ([("ring:c/1",)], [], "e", None),
-    "ring:open/0": ([("ring:gap/0",)], [], "p [ring:gap/0]", None),
-    "ring:gap/0": ([("ring:open/0",), ("math:plus/2",), ("nowhere:fun/0",)], [], "e [nowhere:fun/0, ring:open/0]", None),
-    # expressions
-    "expr:waits/0": ([("erl:receive:infinite",)], [], "s", "s"),
-    "expr:plain/0": ([], [], "p", None),
-    "expr:catches/0": ([("erl:catch",), ("expr:plain/0",)], [], "d", "p"),
-    # higher-order functions
-    "high:apply/3": ([], [1], "p [1]", None),
-    "high:uses/0": ([("high:apply/3", fn(1, "math:plus/2"))], [], "e", "p"),
-    "high:dynamic/0": ([("dyn:call/2", fn(1, "math:plus/2"))], [], "e", None),
-    "high:same/2": ([("high:same/2", fn(1, "math:abs/1")), ("math:times/2",)], [1], "e [1]", "s"),
-    "high:puts/2": ([("high:puts/2", fn(1, "dict:put/2")), ("math:times/2",)], [1], "s", "s"),
-    "high:walk/2": ([("high:walk/2", flow(1, 1), less(2)), ("no_clause:/1",)], [1], "e [1]", "p [1]"),
-    "high:swap/3": ([("high:swap/3", flow(1, 2), flow(2, 1), less(3)), ("no_clause:/1",)], [1, 2], "e [1, 2]", "p [1, 2]"),
-    "high:dark/2": ([("high:dark/2", less(2)), ("math:times/2",)], [1], ">= e [1]", ">= p [1]"),
-    # handed on over several functions
-    "hand:fold/3": ([("hand:fold/3", flow(1, 1), less(3)), ("no_clause:/1",)], [1], "e [1]", None),
-    "hand:fold_1/3": ([("hand:fold/3", flow(1, 1))], [], "e [1]", None),
-    "hand:fold_2/3": ([("hand:fold_1/3", flow(3, 1))], [], "e [3]", None),
-    "hand:fold_3/1": ([("hand:fold_2/3", flow(1, 3))], [], "e [1]", None),
-    "hand:clean/0": ([("hand:fold_2/3", fn(3, "math:times/2"))], [], "e", None),
-    "hand:dirty/0": ([("hand:fold_3/1", fn(1, "dict:put/2"))], [], "s", None),
-    "hand:typed/1": ([("kind:is_list/1",), ("no_clause:/1",)], [1], "e [1]", None),
-    "hand:partly/0": ([("hand:typed/1",), ("hand:typed/1",), ("hand:typed/1", fn(1, "math:abs/1"))], [], ">= e", None),
-    # recursion and lower bounds
-    "loop:ends/1": ([("loop:ends/1", less(1))], [], None, "p"),
-    "loop:mixed/2": ([("loop:mixed/2", less(1)), ("loop:mixed/2",)], [], None, "s"),
-    "loop:never/2": ([("loop:never/2",)], [], None, "s"),
-    "loop:bound/3": ([("dyn:call/3",)], [], ">= e", ">= p"),
-    "loop:above/1": ([("loop:bound/3",)], [], ">= e", ">= p"),
-}
+PREDEFINED = {"effects": {"erl:catch": 2, "erl:receive:finite": 3, "erl:receive:infinite": 3}, "termination": {"erl:catch": 0, "erl:receive:finite": 0, "erl:receive:infinite": 3}}
+
+
+class World:
+    """Tables as plain lists: functions {id: (level, at_least)}, deps (fn, call, kind, target, position), args (fn, call, target, kind,
+    pos, own position, passed), rules {id: (level, at_least, positions, targets)}."""
+
+    def __init__(self):
+        self.functions, self.deps, self.args, self.rules = {}, [], [], {}
+
+
+def random_world(r, name, out):
+    """A few functions that call each other, rules, missing ones and unknown ones, pass functions and hand on arguments."""
+    fns = [f"{name}:f{i}/2" for i in range(r.randint(1, 8))]
+    ruled = [f"{name}:r{i}/2" for i in range(r.randint(0, 3))]
+    gone = [f"{name}:gone{i}/1" for i in range(2)]
+    for f in fns:
+        out.functions[f] = (r.choice([None, None, None, 0, 1, 2, 3]), r.random() < 0.05)
+        if r.random() < 0.3:
+            out.deps += [(f, 900 + p, "arg", None, p) for p in r.sample([1, 2], r.randint(1, 2))]
+    for f in ruled:
+        out.rules[f] = (r.choice([0, 0, 1, 2, 3]), r.random() < 0.15, r.choice([[], [], [1]]), r.choice([[], [], [r.choice(ruled)]]))
+    for f in fns:
+        for call in range(r.choice([0, 1, 1, 2, 3])):
+            kind = r.choices(["remote", "local", "primop", "erl", "free", "unknown"], [10, 4, 1, 1, 0.4, 0.4])[0]
+            target = r.choice(fns * 3 + ruled * 2 + gone[: r.randint(0, 1)])
+            target = {"erl": r.choice(list(PREDEFINED["effects"])), "free": None, "unknown": None, "primop": r.choice([*ruled, target])}.get(kind, target)
+            out.deps.append((f, call, "remote" if kind == "unknown" else kind, target, None))
+            if kind not in ("remote", "local"):
+                continue
+            for pos in (1, 2):
+                what = r.choice(["fn", "arg", "sub", "free", None, None])
+                if what == "fn":
+                    out.args.append((f, call, target, "fn", pos, None, r.choice([*fns, *ruled, gone[0]])))
+                elif what:
+                    out.args.append((f, call, target, what, pos, r.choice([1, 2]) if what == "arg" else None, None))
+
+
+def evaluate(w, mode):
+    """{id: (level, at_least, labels of what is left)} by plain closures."""
+    if mode == "both":
+        a, b = evaluate(w, "effects"), evaluate(w, "termination")
+        both = {}
+        for f in a.keys() | b.keys():
+            x, y = a.get(f, (0, False, set())), b.get(f, (0, False, set()))
+            level = max(x[0], y[0])
+            both[f] = (level, level < 3 and (x[1] or y[1]), set() if level == 3 else x[2] | y[2])
+        return both
+    ends = mode == "termination"
+    table = {f: (0 if ends else n or 0, low) for f, (n, low) in w.functions.items()}
+    deps = list(w.deps)
+    used = {t for _, _, k, t, _ in deps if t and k in ("remote", "local", "primop", "erl")} | {x[6] for x in w.args if x[3] == "fn"}
+    used |= {t for f in used & w.rules.keys() for t in w.rules[f][3]}
+    for f in used & w.rules.keys():
+        n, low, positions, targets = w.rules[f]
+        table[f] = (0 if ends else n, low)
+        deps = [x for x in deps if x[0] != f] + [(f, 0, "arg", None, p) for p in positions] + [(f, 0, "remote", t, None) for t in targets]
+    table |= {f: (n, False) for f, n in PREDEFINED[mode].items()}
+    # higher-order calls, at the fixpoint
+    own = {}
+    for f, _, k, _, p in deps:
+        if k == "arg":
+            own.setdefault(f, set()).add(p)
+    calls = {(f, c, t) for f, c, k, t, _ in deps if k in ("remote", "local") and t}
+    passed = lambda call, kind, at: [x for x in w.args if x[:3] == call and x[3] == kind and x[4] in at]
+    open_calls = lambda: [c for c in calls if c[2] in own and sum(x[6] not in own or x[6] == c[2] for x in passed(c, "fn", own[c[2]])) != len(own[c[2]])]
+    while True:
+        grown = [(c[0], x[5]) for c in open_calls() for x in passed(c, "arg", own[c[2]]) if x[5] not in own.get(c[0], ())]
+        if not grown:
+            break
+        for f, p in grown:
+            own.setdefault(f, set()).add(p)
+    unknown = {c[0] for c in open_calls() if len({x[4] for x in passed(c, "arg", own[c[2]])}) < len(own[c[2]])}
+    edges = {}
+    for f, _, k, t, _ in deps:
+        if k != "arg" and t != f:
+            edges.setdefault(f, set()).add(t if t and k in ("remote", "local", "primop", "erl") else "undefined")
+    for x in w.args:  # by what is called and handed over, whichever call it is
+        if x[3] == "fn" and x[4] in own.get(x[2], ()) and x[6] != x[0]:
+            edges.setdefault(x[0], set()).add(x[6])
+    reach = {}
+    for f in table.keys() | edges.keys():
+        seen, todo = set(), [f]
+        while todo:
+            for t in edges.get(todo.pop(), ()):
+                if t not in seen:
+                    seen.add(t)
+                    todo.append(t)
+        reach[f] = seen
+    start = {f for f, (n, _) in table.items() if n == 3}
+    if ends:
+        for f in {x[0] for x in w.deps if x[3] == x[0]}:
+            mine = {x[1] for x in w.deps if x[0] == x[3] == f}
+            if not any(all((f, c, f, "sub", p) in {x[:5] for x in w.args} for c in mine) for p in (1, 2)):
+                start.add(f)
+        start |= {f for f in reach if f in reach[f]}
+    worst = {f for f in reach if f in start or reach[f] & start}
+    open_ = {f for f in reach if f not in worst and (reach[f] - table.keys())}
+    high = {f: 3 if f in worst else max(table[x][0] for x in (reach[f] & table.keys()) | {f}) for f in table}
+    low = {f for f in table if table[f][1]} | unknown
+    out = {}
+    for f, (n, _) in table.items():
+        level, left = high[f], set()
+        if f in open_:
+            direct = edges.get(f, set())
+            level = max([n, *(high[t] for t in direct if t in table and t not in open_)])
+            left = {t for t in direct if t not in table or t in open_}
+        if level < 3:
+            left |= {str(p) for p in own.get(f, ())}
+        out[f] = (level, level < 3 and (f in low or bool(reach[f] & low)), left)
+    return out
+
+
+@pytest.fixture(scope="module")
+def worlds():
+    r, w = random.Random(11), World()
+    for i in range(400):
+        random_world(r, f"w{i}", w)
+    return w
 
 
 @pytest.fixture(scope="module")
-def tables(spark):
-    functions, deps, args = [], [], []
-    for key, (calls, own, *_) in CASES.items():
-        module, rest = key.split(":")
-        name, arity = rest.split("/")
-        functions.append((key, "mfa", module, name, int(arity), None, None))
-        for k, (target, *passed) in enumerate(calls):
-            deps.append((key, k, "erl" if target.startswith("erl:") else "remote", target, None, None))
-            args += [(key, k, target, *p) for p in passed]
-        deps += [(key, 100 + pos, "arg", None, pos, None) for pos in own]
-    lines = spark.createDataFrame([(0, i, x) for i, x in enumerate(RULES)], "file_rank int, line_no long, value string")
-    return spark.createDataFrame(functions, L.FUNCTIONS), spark.createDataFrame(deps, L.DEPS), spark.createDataFrame(args, L.DEP_ARGS), facts.parse_rules(lines)
-
-
-def test_rules(tables):
-    got = {r.fn_id: (r.kind, r.level, r.at_least) for r in tables[3].collect()}
-    assert len(got) == 11 and got["no_clause:/1"] == ("primop", 1, False) and got["dyn:call/3"] == ("mfa", 1, True)
-
-
-@pytest.mark.parametrize(("mode", "at"), [("effects", 2), ("termination", 3)])
-def test_results(tables, mode, at):
-    want = {k: c[at] for k, c in CASES.items() if c[at] is not None}
-    got = dict(P.propagate(*tables, mode).select("fn_id", L.fmt_result()).collect())
-    assert {k: got.get(k) for k in want} == want
+def tables(spark, worlds):
+    named = lambda f: (f, "mfa", f.split(":")[0], f.split(":")[1].split("/")[0], int(f[-1]))
+    functions = [(*named(f), n, low) for f, (n, low) in worlds.functions.items()]
+    deps = [(f, c, k, t, p, None) for f, c, k, t, p in worlds.deps]
+    args = [(*x, None) for x in worlds.args]
+    rules = [(*named(f), n, low, [("arg", None, p) for p in at] + [("remote", t, None) for t in targets]) for f, (n, low, at, targets) in worlds.rules.items()]
+    return spark.createDataFrame(functions, L.FUNCTIONS), spark.createDataFrame(deps, L.DEPS), spark.createDataFrame(args, L.DEP_ARGS), spark.createDataFrame(rules, L.FUNCTIONS + ", deps " + L.RULES.split("deps ")[1])
+
+
+@pytest.mark.parametrize("mode", ["effects", "termination", "both"])
+def test_random_graphs(worlds, tables, mode):
+    want = evaluate(worlds, mode)
+    got = {r.fn_id: (r.level, r.at_least, {str(d.arg_pos) if d.dep_kind == "arg" else d.target_id for d in r.deps}) for r in P.propagate(*tables, mode).collect()}
+    assert got.keys() == want.keys()
+    wrong = {f: (got[f], want[f]) for f in want if got[f] != want[f]}
+    assert not wrong, dict(list(wrong.items())[:5])
+    assert len({v[0] for v in want.values()}) == (2 if mode == "termination" else 4) and any(v[1] for v in want.values()) and any(v[2] for v in want.values())
+
+
+def test_rule_lines(spark):
+    """Lines put together from the grammar: module (primitive operations have none), name, arity, level, what is left."""
+    r, lines, want = random.Random(5), [], {}
+    for i in range(300):
+        module, name, arity = r.choice([None, "alpha", "beta_2"]), f"op{i}", r.randint(0, 9)
+        level, low, places = r.choice("peds"), r.random() < 0.3, r.choice([[], [], [1], [1, 3]])
+        word = lambda x: f"'{x}'" if r.random() < 0.5 else x
+        line = ",".join([*([word(module)] if module else []), word(name), str(arity)]) + r.choice([" ", "\t", "    "]) + (">= " if low else "") + level
+        line += f" [{','.join('{arg,%d}' % p for p in places)}]" if places else ""
+        key = f"{module}:{name}/{arity}" if module else f"{name}:/{arity}"
+        shape = r.choices(["rule", "comment", "no level"], [8, 1, 1])[0]
+        lines.append({"rule": line, "comment": "# " + line, "no level": line.split("\t")[0].split(" ")[0]}[shape])
+        if shape == "rule":
+            want[key] = ("mfa" if module else "primop", "peds".index(level), low, places)
+    got = facts.parse_rules(spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "file_rank int, line_no long, value string"))
+    assert {x.fn_id: (x.kind, x.level, x.at_least, [d.arg_pos for d in x.deps]) for x in got.collect()} == want
 
 
 def test_components(spark):

@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.runtime import cut, unstage
+from tidewater.runtime import bucketed, counted, cut, tidy, unstage
 
 
 def compacted(tables: list[DataFrame], most: int = 16) -> list[DataFrame]:
@@ -20,24 +20,68 @@ def compacted(tables: list[DataFrame], most: int = 16) -> list[DataFrame]:
     return [whole, tables[-1]]
 
 
+#: A target with more edges is dealt over parts, so that no bucket grows with one hub.
+HUB = 1 << 22
+
+
+def _max(df: DataFrame, parts: list[str]) -> DataFrame:
+    return df.groupBy("node").agg(*[F.max(p).alias(p) for p in parts])
+
+
+def _by_target(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The edges in buckets of their targets, and, if there are hubs, ``(node, __parts)``: in how many parts each is dealt. The key
+    is a hash of target and part; joins compare the targets, too."""
+    edges = counted(edges.select("src", "dst").dropna().where("src <> dst").distinct())
+    hubs = None
+    if edges.staged_rows > HUB:
+        hubs = counted(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("node", F.ceil(F.col("n") / HUB).cast("int").alias("__parts")))
+    part = F.lit(0)
+    if hubs is not None and hubs.staged_rows:  # less than one in HUB edges
+        edges = edges.join(F.broadcast(hubs.withColumnRenamed("node", "dst")), "dst", "left")
+        part = F.coalesce(F.pmod(F.xxhash64("src"), "__parts").cast("int"), part)
+    else:
+        hubs = None
+    return bucketed(edges.select("src", "dst", F.xxhash64("dst", part).alias("__key")), "__key"), hubs
+
+
+@tidy
 def highest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``(node, label)``: the greatest label that a node reaches. ``edges(src, dst)`` means src depends on dst, ``seeds(node,
-    label)``; nodes that reach no seed are left out.
-
-    All labels travel in one loop: a round sends the labels that rose in the round before over the edges and keeps those that
-    beat what their nodes had. Frontiers are written once and only read afterwards; a node stands in as many as its label
-    rises. Null nodes are ignored, duplicates collapse, empty inputs give the seeds."""
-    by_target = edges if getattr(edges, "staged_at", None) else cut(edges.select("src", "dst").distinct())
-    by_target = by_target.select("src", "dst").dropna().where("src <> dst")
-    frontiers = [cut(seeds.select("node", "label").dropna().groupBy("node").agg(F.max("label").alias("label")))]
-    while True:
-        came = by_target.join(frontiers[-1], by_target.dst == frontiers[-1].node).groupBy("src").agg(F.max("label").alias("label"))
-        came = came.withColumnRenamed("src", "node")
-        seen = reduce(DataFrame.unionByName, frontiers).groupBy("node").agg(F.max("label").alias("had"))
-        risen = cut(came.join(seen, "node", "left").where(F.col("had").isNull() | (F.col("label") > F.col("had"))).select("node", "label"))
-        if risen.isEmpty():
-            return reduce(DataFrame.unionByName, frontiers).groupBy("node").agg(F.max("label").alias("label"))
-        frontiers = compacted([*frontiers, risen])
+    """``(node, *parts)``: for each part of the label the greatest value that a node reaches. ``edges(src, dst)`` means src depends on
+    dst; ``seeds(node, *parts)`` have one or more ordered values; a null is less than all. Nodes that reach no seed are left out.
+
+    All parts travel in one loop (a product of lattices): a round sends the labels that rose in the round before over the edges
+    and keeps what beats the nodes' labels so far. Edges are written once, in buckets of their targets, so no round shuffles them.
+    Labels so far are one table in buckets of the nodes and the few rounds since it was written; it is written anew when those have
+    grown to half its rows, so a node is written a logarithmic number of times. A round is one write, whose row count ends the loop.
+    Null nodes are ignored, duplicates collapse, empty inputs give the seeds."""
+    parts = [c for c in seeds.columns if c != "node"]
+    by_target, hubs = _by_target(edges)
+    frontier = counted(_max(seeds.where("node IS NOT NULL"), parts))
+    state, rows, recent = bucketed(frontier, "node"), frontier.staged_rows, []
+    while frontier.staged_rows:
+        last = frontier
+        sent = frontier.withColumnRenamed("node", "__to")
+        if hubs is not None:
+            sent = sent.join(F.broadcast(hubs.withColumnRenamed("node", "__to")), "__to", "left")
+            sent = sent.withColumn("__key", F.explode(F.transform(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1), lambda i: F.xxhash64("__to", i))))
+        else:
+            sent = sent.withColumn("__key", F.xxhash64("__to", F.lit(0)))
+        came = by_target.join(sent, "__key").where("dst = __to").select(F.col("src").alias("node"), *parts)
+        known = _max(came, parts).join(state.select("node", *[F.col(p).alias(f"__{p}") for p in parts]), "node", "left")
+        if recent:
+            since = _max(reduce(DataFrame.unionByName, recent), parts).select("node", *[F.col(p).alias(f"__r_{p}") for p in parts])
+            known = known.join(since, "node", "left").withColumns({f"__{p}": F.greatest(f"__{p}", f"__r_{p}") for p in parts})
+        rose = [F.col(p).isNotNull() & (F.col(f"__{p}").isNull() | (F.col(p) > F.col(f"__{p}"))) for p in parts]
+        frontier = counted(known.where(reduce(Column.__or__, rose)).select("node", *[F.greatest(p, f"__{p}").alias(p) for p in parts]))
+        recent = [*recent, frontier]
+        if not any(last is t for t in recent):
+            unstage(last)
+        if 2 * sum(t.staged_rows for t in recent) > rows or len(recent) > 16:
+            state, old = bucketed(_max(reduce(DataFrame.unionByName, [state, *recent]), parts), "node"), state
+            rows += sum(t.staged_rows for t in recent)  # at most
+            unstage(old, *recent[:-1])
+            recent = []
+    return _max(reduce(DataFrame.unionByName, [state, *recent]), parts)
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:

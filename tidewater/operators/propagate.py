@@ -2,36 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators import tables as T
-from tidewater.operators.graph import highest, reach
-from tidewater.runtime import cut
+from tidewater.operators.components import cyclic
+from tidewater.operators.graph import compacted, highest, reach
+from tidewater.runtime import bucketed, counted, cut, tidy
 
 NODEPS = "array<struct<dep_kind:string,target_id:string,arg_pos:int>>"
-#: Rounds of peeling leaves before the rest is handed to the component search.
-PEEL = 40
 
 
-def concrete_calls(positions: DataFrame, deps: DataFrame, dep_args: DataFrame) -> DataFrame:
+def concrete_calls(positions: DataFrame, deps: DataFrame, dep_args: DataFrame, higher: DataFrame | None = None) -> DataFrame:
     """Every call ``(fn_id, call_id, target_id, need, concrete)`` of a higher-order function: concrete if as many
-    functions that aren't higher-order (or are the callee) are passed at its positions as it has."""
+    functions that aren't higher-order (or are the callee) are passed at its positions as it has. ``higher`` has the positions
+    of all functions, if ``positions`` are those of some callees only."""
     need = positions.groupBy(F.col("fn_id").alias("target_id")).agg(F.count("*").alias("need"))
     calls = deps.where(F.col("dep_kind").isin("remote", "local")).select("fn_id", "call_id", "target_id").distinct().join(need, "target_id")
     at = positions.select(F.col("fn_id").alias("target_id"), F.col("arg_pos").alias("pos"))
     passed = dep_args.where("kind = 'fn'").join(at, ["target_id", "pos"]).select("fn_id", "call_id", "target_id", "pos", "passed_id")
-    hof = positions.select(F.col("fn_id").alias("passed_id")).distinct().withColumn("h", F.lit(True))
+    hof = (positions if higher is None else higher).select(F.col("fn_id").alias("passed_id")).distinct().withColumn("h", F.lit(True))
     good = passed.join(hof, "passed_id", "left").where(F.col("h").isNull() | (F.col("passed_id") == F.col("target_id")))
     good = good.groupBy("fn_id", "call_id", "target_id").agg(F.count("*").alias("n"))
     out = calls.join(good, ["fn_id", "call_id", "target_id"], "left")
     return out.select("fn_id", "call_id", "target_id", "need", (F.coalesce("n", F.lit(0)) == F.col("need")).alias("concrete"))
 
 
-def indirect_args(positions: DataFrame, deps: DataFrame, dep_args: DataFrame) -> tuple[DataFrame, DataFrame]:
+def indirect_args(positions: DataFrame, deps: DataFrame, dep_args: DataFrame, higher: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Over calls that aren't concrete, the caller's own positions ``(fn_id, arg_pos)`` that flow to the callee's, and
     the callers ``(fn_id)`` with a call whose positions aren't all covered so."""
-    calls = concrete_calls(positions, deps, dep_args).where("NOT concrete")
+    calls = concrete_calls(positions, deps, dep_args, higher).where("NOT concrete")
     at = positions.select(F.col("fn_id").alias("target_id"), F.col("arg_pos").alias("pos"))
     flows = dep_args.where("kind = 'arg'").join(at, ["target_id", "pos"]).join(calls.select("fn_id", "call_id", "target_id"), ["fn_id", "call_id", "target_id"], "left_semi")
     covered = flows.groupBy("fn_id", "call_id", "target_id").agg(F.countDistinct("pos").alias("n"))
@@ -42,24 +44,35 @@ def indirect_args(positions: DataFrame, deps: DataFrame, dep_args: DataFrame) ->
 def unfold_hofs(deps: DataFrame, dep_args: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(deps, unknown)``: higher-order calls unfolded to the fixpoint. Functions passed at a higher-order position become
     dependencies of the caller; arguments handed on make the caller higher-order itself. Both tests are read at the
-    fixpoint, so the order of calls doesn't matter; positions only grow, so the loop ends."""
-    own = cut(deps.where("dep_kind = 'arg'").select("fn_id", "arg_pos").distinct())
-    if own.isEmpty():  # nothing is higher-order
+    fixpoint, so the order of calls doesn't matter; positions only grow, so the loop ends.
+
+    Semi-naive: a round looks only at the calls that new positions touch (those of functions that got a position, and
+    those that pass a function that became higher-order); only these are tested again, and only their flows are new."""
+    own = counted(deps.where("dep_kind = 'arg'").select("fn_id", "arg_pos").distinct())
+    if not own.staged_rows:  # nothing is higher-order
         return deps, deps.select("fn_id").limit(0)
-    calls = cut(deps.where("dep_kind IN ('remote', 'local')").select("fn_id", "call_id", "target_id", "dep_kind").distinct())
-    flows_ = cut(dep_args.where("kind IN ('fn', 'arg')"))
-    positions, n = own, -1
-    while (now := positions.count()) != n:
-        n = now
-        flows, _ = indirect_args(positions, calls, flows_)
-        positions = cut(positions.unionByName(flows).distinct())
-    _, unknown = indirect_args(positions, calls, flows_)
+    calls = bucketed(deps.where("dep_kind IN ('remote', 'local') AND target_id IS NOT NULL").select("fn_id", "call_id", "target_id", "dep_kind").distinct(), "target_id")
+    given = bucketed(dep_args.where("kind IN ('fn', 'arg')"), "target_id")
+    handed = bucketed(dep_args.where("kind = 'fn'").select("fn_id", "call_id", "target_id", "passed_id").distinct(), "passed_id")
+    new, known = own, [own]
+    while new.staged_rows:
+        positions = reduce(DataFrame.unionByName, known)
+        by_target = calls.join(new.select(F.col("fn_id").alias("target_id")).distinct(), "target_id", "left_semi").select("fn_id", "call_id", "target_id")
+        by_passed = handed.join(new.select(F.col("fn_id").alias("passed_id")).distinct(), "passed_id", "left_semi").select("fn_id", "call_id", "target_id")
+        touched = by_target.unionByName(by_passed).distinct()
+        key = ["fn_id", "call_id", "target_id"]
+        asked = positions.join(touched.select(F.col("target_id").alias("fn_id")).distinct(), "fn_id", "left_semi")
+        flows, _ = indirect_args(asked, calls.join(touched, key, "left_semi"), given.join(touched, key, "left_semi"), positions)
+        new = counted(flows.join(positions, ["fn_id", "arg_pos"], "left_anti"))
+        known = compacted([*known, new])
+    positions = reduce(DataFrame.unionByName, known)
+    _, unknown = indirect_args(positions, calls, given)
     at = positions.select(F.col("fn_id").alias("target_id"), F.col("arg_pos").alias("pos"))
-    passed = dep_args.where("kind = 'fn'").join(at, ["target_id", "pos"], "left_semi").select("fn_id", F.col("passed_id").alias("target_id")).distinct()
+    passed = given.where("kind = 'fn'").join(at, ["target_id", "pos"], "left_semi").select("fn_id", F.col("passed_id").alias("target_id")).distinct()
     none = lambda kind: F.lit(None).cast(kind)
-    new = passed.select("fn_id", F.lit(-1).cast("bigint").alias("call_id"), F.lit("remote").alias("dep_kind"), "target_id", none("int").alias("arg_pos"), none("string").alias("var"))
+    more = passed.select("fn_id", F.lit(-1).cast("bigint").alias("call_id"), F.lit("remote").alias("dep_kind"), "target_id", none("int").alias("arg_pos"), none("string").alias("var"))
     args = positions.join(own, ["fn_id", "arg_pos"], "left_anti").select("fn_id", F.lit(-1).cast("bigint").alias("call_id"), F.lit("arg").alias("dep_kind"), none("string").alias("target_id"), "arg_pos", none("string").alias("var"))
-    return deps.unionByName(new).unionByName(args), unknown
+    return deps.unionByName(more).unionByName(args), unknown
 
 
 def mark_recursive(deps: DataFrame, dep_args: DataFrame) -> DataFrame:
@@ -71,55 +84,43 @@ def mark_recursive(deps: DataFrame, dep_args: DataFrame) -> DataFrame:
 
 
 def fold_leaves(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Levels of targets without dependencies go into the start levels of those that depend on them, and their edges go:
-    hubs such as common built-ins never enter the loop. Bounds of such targets stay with the edges."""
-    leaf = nodes.join(edges.select(F.col("src").alias("fn_id")).distinct(), "fn_id", "left_anti").select(F.col("fn_id").alias("dst"), F.col("level").alias("__l"))
-    up = edges.join(leaf, "dst").groupBy(F.col("src").alias("fn_id")).agg(F.max("__l").alias("__up"))
-    out = nodes.join(up, "fn_id", "left").withColumn("level", F.greatest("level", F.coalesce("__up", F.lit(0)).cast("tinyint"))).drop("__up")
+    """Labels and bounds of targets without dependencies go into those that depend on them, and their edges go: hubs such as common
+    built-ins never enter the loop. ``nodes(fn_id, label, low)``."""
+    leaf = nodes.join(edges.select(F.col("src").alias("fn_id")).distinct(), "fn_id", "left_anti").select(F.col("fn_id").alias("dst"), F.col("label").alias("__l"), F.col("low").alias("__w"))
+    up = edges.join(leaf, "dst").groupBy(F.col("src").alias("fn_id")).agg(F.max("__l").alias("__l"), F.max("__w").alias("__w"))
+    out = nodes.join(up, "fn_id", "left").select("fn_id", F.greatest("label", "__l").alias("label"), F.greatest("low", "__w").alias("low"))
     return out, edges.join(leaf.select("dst"), "dst", "left_anti")
 
 
-def resolve(nodes: DataFrame, edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """Final levels ``(fn_id, level, left array<string>)`` of ``nodes(fn_id, level)`` over ``edges(src, dst)``:
+def resolve(nodes: DataFrame, edges: DataFrame, start: DataFrame | None = None, unknown: DataFrame | None = None) -> DataFrame:
+    """Final levels ``(fn_id, level, left array<string>, at_least)`` of ``nodes(fn_id, level[, at_least])`` over ``edges(src, dst)``:
 
     s for all that reach an s; what else reaches a target without a row is unresolved, with the level of itself and its direct
-    resolved targets, and keeps missing and unresolved targets; the rest has the greatest level that it reaches. ``start``:
-    further functions that are s, for termination."""
+    resolved targets, and keeps missing and unresolved targets; the rest has the greatest level that it reaches. Lower bounds are
+    those of ``nodes``, the functions ``unknown`` and all that reach one, unless s. ``start``: further functions that are s, for
+    termination.
+
+    One loop finds both: a node's label has two parts, the greatest that it reaches (4 is s, 3 is open: it reaches a missing
+    target, then d and e) and whether it reaches a lower bound."""
     edges = (edges if getattr(edges, "staged_at", None) else cut(edges)).where("src <> dst")
-    nodes = nodes.select("fn_id", F.col("level").cast("tinyint").alias("level"))
-    folded, inner = fold_leaves(nodes, edges)
-    folded, inner = cut(folded), cut(inner)
-    # one label for each node, the greatest that it reaches: 4 is s, 3 is open (reaches a missing target), then d and e
-    own = folded.select(F.col("fn_id").alias("node"), F.when(F.col("level") == 3, 4).otherwise(F.col("level")).alias("label")).where("label > 0")
-    if start is not None:
-        own = own.unionByName(start.select(F.col("fn_id").alias("node"), F.lit(4).alias("label")))
-    missing = edges.join(nodes.select(F.col("fn_id").alias("dst")), "dst", "left_anti").select(F.col("src").alias("node"), F.lit(3).alias("label"))
-    label = cut(highest(inner, own.unionByName(missing.distinct())))
-    level = nodes.select("fn_id").join(label.withColumnRenamed("node", "fn_id"), "fn_id", "left").select("fn_id", F.coalesce("label", F.lit(0)).alias("label"))
-    none = F.array().cast("array<string>")
-    done = level.where("label <> 3").select("fn_id", F.least("label", F.lit(3)).cast("tinyint").alias("level"), none.alias("left"))
-    if start is not None:  # starts without a row of their own
-        done = done.unionByName(label.where("label = 4").join(nodes.select(F.col("fn_id").alias("node")), "node", "left_anti").select(F.col("node").alias("fn_id"), F.lit(3).cast("tinyint").alias("level"), none.alias("left")))
-    open_ = nodes.join(level.where("label = 3").select("fn_id"), "fn_id", "left_semi")
+    low = F.col("at_least").cast("int") if "at_least" in nodes.columns else F.lit(0)
+    own = nodes.select("fn_id", F.when(F.col("level") == 3, 4).otherwise(F.col("level")).cast("int").alias("label"), F.coalesce(low, F.lit(0)).alias("low"))
+    marks = [df.select("fn_id", F.lit(a).alias("label"), F.lit(b).alias("low")) for df, a, b in ((start, 4, 0), (unknown, 0, 1)) if df is not None]
+    if marks:
+        more = reduce(DataFrame.unionByName, marks).groupBy("fn_id").agg(F.max("label").alias("__l"), F.max("low").alias("__w"))
+        own = own.join(more, "fn_id", "full").select("fn_id", F.greatest(F.coalesce("label", F.lit(0)), F.coalesce("__l", F.lit(0))).alias("label"), F.greatest(F.coalesce("low", F.lit(0)), F.coalesce("__w", F.lit(0))).alias("low"))
+    own, inner = fold_leaves(own, edges)
+    missing = edges.join(nodes.select(F.col("fn_id").alias("dst")), "dst", "left_anti").select(F.col("src").alias("node"), F.lit(3).alias("label"), F.lit(0).alias("low"))
+    seeds = own.where("label > 0 OR low > 0").withColumnRenamed("fn_id", "node").unionByName(missing.distinct())
+    label = highest(inner, seeds)
+    level = cut(nodes.select("fn_id", F.col("level").cast("tinyint").alias("own")).join(label.withColumnRenamed("node", "fn_id"), "fn_id", "left").select("fn_id", "own", F.coalesce("label", F.lit(0)).alias("label"), (F.coalesce("low", F.lit(0)) > 0).alias("low")))
+    open_ = level.where("label = 3")
     known = level.select(F.col("fn_id").alias("dst"), F.when(F.col("label") != 3, F.least("label", F.lit(3))).cast("tinyint").alias("__l"))
     targets = edges.join(open_.select(F.col("fn_id").alias("src")), "src", "left_semi").join(known, "dst", "left")
     direct = targets.groupBy(F.col("src").alias("fn_id")).agg(F.max("__l").alias("__l"), F.array_sort(F.collect_set(F.when(F.col("__l").isNull(), F.col("dst")))).alias("left"))
-    unresolved = open_.join(direct, "fn_id").select("fn_id", F.greatest("level", F.coalesce("__l", F.lit(0)).cast("tinyint")).alias("level"), "left")
-    return done.unionByName(unresolved)
-
-
-def _cyclic_reach(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    """Nodes, besides ``gone(node)``, that reach a cycle: what stays when nodes without targets are peeled off."""
-    from tidewater.operators.components import cyclic
-
-    left = cut(edges.join(gone, edges.src == gone.node, "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst").distinct())
-    for _ in range(PEEL):
-        sources = left.select(F.col("src").alias("dst")).distinct()
-        kept = cut(left.join(sources, "dst", "left_semi").select("src", "dst"))
-        if kept.count() == left.count():
-            return kept.select(F.col("src").alias("fn_id")).distinct()
-        left = kept
-    return reach(left, cyclic(left).select("node")).select(F.col("node").alias("fn_id"))
+    out = level.join(direct, "fn_id", "left")
+    final = F.when(F.col("label") == 3, F.greatest("own", F.coalesce("__l", F.lit(0)))).otherwise(F.least("label", F.lit(3))).cast("tinyint")
+    return out.select("fn_id", final.alias("level"), F.coalesce("left", F.array().cast("array<string>")).alias("left"), (F.col("low") & (F.col("label") != 4)).alias("at_least"))
 
 
 def mark_unknown(results: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -129,13 +130,11 @@ def mark_unknown(results: DataFrame, edges: DataFrame, seeds: DataFrame) -> Data
     return out.withColumn("at_least", F.coalesce("__u", F.lit(False)) & (F.col("level") < 3)).drop("__u")
 
 
-def _finish(functions: DataFrame, levels: DataFrame, deps: DataFrame, edges: DataFrame, unknown: DataFrame, aside: DataFrame) -> DataFrame:
+def _finish(functions: DataFrame, levels: DataFrame, deps: DataFrame, aside: DataFrame) -> DataFrame:
     kinds = deps.where("dep_kind <> 'arg'").select("fn_id", F.when(F.col("dep_kind").isin(*T.CALLS), F.coalesce("target_id", F.lit("undefined"))).otherwise("undefined").alias("t"), "dep_kind").groupBy("fn_id", "t").agg(F.min("dep_kind").alias("dep_kind"))
     left = levels.select("fn_id", F.explode("left").alias("t")).join(kinds, ["fn_id", "t"], "left")
     left = left.groupBy("fn_id").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("dep_kind", F.lit("remote")).alias("dep_kind"), F.col("t").alias("target_id"), F.lit(None).cast("int").alias("arg_pos")))).alias("deps"))
-    out = functions.drop("level").join(levels.select("fn_id", "level"), "fn_id").join(left, "fn_id", "left").withColumn("deps", F.coalesce("deps", F.array().cast(NODEPS)))
-    seeds = functions.where("at_least").select("fn_id").unionByName(unknown)
-    out = mark_unknown(out, edges, seeds)
+    out = functions.drop("level", "at_least").join(levels.select("fn_id", "level", "at_least"), "fn_id").join(left, "fn_id", "left").withColumn("deps", F.coalesce("deps", F.array().cast(NODEPS)))
     return T.restore_arg_deps(out, aside).select("fn_id", "kind", "module", "name", "arity", "level", "at_least", "deps")
 
 
@@ -153,25 +152,24 @@ def _prepare(functions: DataFrame, deps: DataFrame, dep_args: DataFrame, rules:
     return cut(functions), deps, cut(unknown), aside, edges
 
 
+@tidy
 def propagate_effects(functions: DataFrame, deps: DataFrame, dep_args: DataFrame, rules: DataFrame) -> DataFrame:
     """``results``: every function's level, whether it is a lower bound, and the dependencies that remain."""
     functions, deps, unknown, aside, edges = _prepare(functions, deps, dep_args, rules, "effects")
-    return _finish(functions, resolve(functions, edges), deps, edges, unknown, aside)
+    return _finish(functions, resolve(functions, edges, unknown=unknown), deps, aside)
 
 
+@tidy
 def propagate_termination(functions: DataFrame, deps: DataFrame, dep_args: DataFrame, rules: DataFrame) -> DataFrame:
     """S for what may run forever: it reaches an infinite receive, a self-call that doesn't shrink, or a cycle."""
     calls = deps
     functions, deps, unknown, aside, edges = _prepare(functions.withColumn("level", F.lit(0).cast("tinyint")), deps, dep_args, rules, "termination")
-    loops = mark_recursive(calls, dep_args)
-    start = cut(loops.unionByName(functions.where("level = 3").select("fn_id")))
-    s = reach(edges, start.select(F.col("fn_id").alias("node")))
-    start = cut(start.unionByName(_cyclic_reach(edges.where("src <> dst"), s)).distinct())
-    return _finish(functions, resolve(functions, edges, start=start), deps, edges, unknown, aside)
+    start = mark_recursive(calls, dep_args).unionByName(cyclic(edges.where("src <> dst")).select(F.col("node").alias("fn_id")))
+    return _finish(functions, resolve(functions, edges, start=start.distinct(), unknown=unknown), deps, aside)
 
 
 def propagate(functions: DataFrame, deps: DataFrame, dep_args: DataFrame, rules: DataFrame, mode: str = "effects") -> DataFrame:
     """D3: effects, termination, or both united."""
     if mode == "both":
-        return T.unite(cut(propagate_effects(functions, deps, dep_args, rules)), cut(propagate_termination(functions, deps, dep_args, rules)))
+        return T.unite(propagate_effects(functions, deps, dep_args, rules), propagate_termination(functions, deps, dep_args, rules))
     return {"effects": propagate_effects, "termination": propagate_termination}[mode](functions, deps, dep_args, rules)

@@ -161,7 +161,7 @@ def d9(spark, d):
     f, deps = T.add_builtins(f, deps, args, rules)
     edges = T.dependencies(deps).select(F.col("fn_id").alias("src"), F.col("target_id").alias("dst"))
     levels = P.resolve(f, edges)
-    return P.mark_unknown(levels.withColumn("at_least", F.lit(False)), edges, f.where("at_least").select("fn_id")).select("fn_id", "level", "at_least")
+    return P.mark_unknown(levels, edges, f.where("at_least").select("fn_id")).select("fn_id", "level", "at_least")
 
 
 @query("b6_leaves", WS + "SELECT fn_id FROM f0 WHERE fn_id NOT IN (SELECT src FROM e)")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytes of a row group in staged tables: what each writing task holds in memory.
@@ -47,13 +50,61 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """A staged table whose number of rows was taken while it was written: ``staged_rows``. (A stage that runs again after a loss may
+    count rows twice, so only none and some are sure.)"""
+    seen = Observation()
+    out = staged(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    out.staged_rows = seen.get["n"]
+    return out
+
+
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """A staged table in as many buckets as the session has shuffle partitions, by ``column``: joins on it don't shuffle it again."""
+    spark, name = df.sparkSession, f"staged_{uuid.uuid4().hex}"
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{scratch_dir(spark)}/{name}"
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.staged_at, out.staged_name = path, name
+    if _OPEN:
+        _OPEN[-1].append(out)
+    return out
+
+
+#: For each tidy() call that is running, the tables staged in it.
+_OPEN: list[list[DataFrame]] = []
+
+
+def tidy(f: Callable) -> Callable:
+    """The function's results (one DataFrame or a tuple) are staged, and all other tables that it staged are deleted."""
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        _OPEN.append([])
+        try:
+            out = f(*args, **kwargs)
+            own = _OPEN[-1]
+            kept = [x if any(x is t for t in own) else staged(x) for x in (out if isinstance(out, tuple) else (out,))]
+            unstage(*(t for t in own if not any(t is x for x in kept)))
+        finally:
+            _OPEN.pop()
+        if _OPEN:  # the results belong to the caller's tables
+            _OPEN[-1].extend(kept)
+        return tuple(kept) if isinstance(out, tuple) else kept[0]
+
+    return run
+
+
 def unstage(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing will read any more: neither they nor what was derived from them and not staged itself."""
     for df in tables:
         at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        if getattr(df, "staged_name", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.staged_name}")
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
