@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.functions import levels as L
 from tidewater.operators import calls as J
@@ -190,4 +191,8 @@ def test_patterns_of_many_steps(spark):
     steps = spark.createDataFrame([("f", f"v{i}", f"v{i - 1}") for i in range(1, 151)], "fn_id string, var string, of_var string")
     params = spark.createDataFrame([("f", "v0", 2)], "fn_id string, var string, pos int")
     calls = spark.createDataFrame([("f", 1, "v150", 2), ("f", 2, "v150", 1), ("f", 3, "w", 2)], "fn_id string, call_id int, var string, pos int")
-    assert [(r.call_id, r.kind, r.pos) for r in J.reduced_args(calls, steps, params).collect()] == [(1, "sub", 2)]
+    few = steps.where("var IN ('v1', 'v2', 'v3')")
+    last = calls.withColumn("var", F.regexp_replace("var", "v150", "v3"))
+    for rows, own, bound in ((steps, calls, 1000), (few, last, 0)):  # in a task, and by rounds
+        assert [(r.call_id, r.kind, r.pos) for r in J.reduced_args(own, rows, params, bound).collect()] == [(1, "sub", 2)]
+    assert J.reduced_args(calls, steps.limit(0), params).count() == 0

@@ -93,7 +93,7 @@ def test_errors_take_modules_out(spark, rules):
     assert not {r.module for r in new.results.collect()} & {"c", "d"}
 
 
-def test_round_trip_and_generations(spark, rules, tmp_path):
+def test_round_trip_and_manifests(spark, rules, tmp_path):
     path = str(tmp_path / "store")
     with pytest.raises(FileNotFoundError):
         store.PersistedTables.load(spark, path)
@@ -104,13 +104,52 @@ def test_round_trip_and_generations(spark, rules, tmp_path):
         cols = getattr(first, name).columns
         assert sorted(map(str, getattr(back, name).select(*cols).collect())) == sorted(map(str, getattr(first, name).collect())), name
     back.functions = back.functions.where("module <> 'd'")
-    own = back.save(path)
+    back.save(path)
     assert {r.module for r in store.PersistedTables.load(spark, path).functions.collect()} == {"a", "b", "c"}
-    spark.createDataFrame([(99, own)], "version int, folder string").coalesce(1).write.mode("overwrite").json(f"{own}/marker")
+    newest = sorted(tmp_path.glob("store/manifest-*"))[-1]
+    rows = spark.read.schema(store.MANIFEST).json(str(newest))
+    rows.withColumn("version", F.lit(99)).coalesce(1).write.json(str(newest.with_name(newest.name.replace("manifest-", "manifest-9"))))
     with pytest.raises(ValueError, match="version"):
         store.PersistedTables.load(spark, path)
 
 
+def simple(spark, functions, sums, options=("effects",), low=()):
+    """A store of functions ``module:name/0`` without deps; termination lacks ``low``."""
+    f = spark.createDataFrame([(x, "mfa", x.split(":")[0], x.split(":")[1][:-2], 0, 0, False) for x in functions], L.FUNCTIONS)
+    r = f.withColumn("deps", F.array().cast(NODEPS)).withColumn("option_key", F.explode(F.array(*map(F.lit, options)))).where(~(F.col("option_key").eqNullSafe("termination") & F.col("fn_id").isin(*low, "")))
+    deps = f.select("fn_id", F.lit(0).cast("long").alias("call_id"), F.lit("remote").alias("dep_kind"), F.concat("fn_id", F.lit("+")).alias("target_id"), F.lit(None).cast("int").alias("arg_pos"), F.lit(None).cast("string").alias("var"))
+    return store.PersistedTables(spark.createDataFrame(sums, "path string, module string, md5 string"), f, deps, spark.createDataFrame([], L.DEP_ARGS), r)
+
+
+def test_update_removes_what_is_gone(spark):
+    """m loses b, n's file is broken, p stays; new results that lack a function are refused."""
+    old = simple(spark, ["m:a/0", "m:b/0", "n:x/0", "p:y/0"], [("m", "m", "1"), ("n", "n", "1"), ("p", "p", "1")], ("effects", "termination", "both"), ["p:y/0"])
+    new = simple(spark, ["m:a/0"], [("m", "m", "2"), ("n", "n", None)])
+    got = store.update(old, new.checksums, new.functions, new.deps, new.dep_args, new.results)
+    ids = lambda df: sorted(r.fn_id for r in df.collect())
+    assert ids(got.functions) == ids(got.deps) == ["m:a/0", "p:y/0"]
+    assert ids(got.results.where("option_key = 'effects'")) == ["m:a/0", "p:y/0"]
+    assert ids(got.results.where("option_key = 'both'")) == ["m:a/0", "m:b/0", "p:y/0"] and not ids(got.results.where("option_key = 'termination'"))
+    assert {tuple(r) for r in got.checksums.select("path", "md5").collect()} == {("m", "2"), ("n", "1"), ("p", "1")}
+    with pytest.raises(store.InconsistentTables):
+        store.update(old, new.checksums, new.functions, new.deps, new.dep_args, new.results.limit(0))
+
+
+def test_update_writes_the_changed_part_only(spark, tmp_path):
+    path = str(tmp_path / "store")
+    names = [f"m{i}:f{k}/0" for i in range(12) for k in range(3)]
+    simple(spark, names, [(f"m{i}", f"m{i}", "1") for i in range(12)], ("effects", "both")).save(path)
+    before = {(r.table, r.option, r.part): r.folder for r in store.manifest(spark, path) if r.folder}
+    new = simple(spark, ["m3:f0/0"], [("m3", "m3", "2")])
+    store.update_saved(spark, path, new.checksums, new.functions, new.deps, new.dep_args, new.results)
+    after = {(r.table, r.option, r.part): r.folder for r in store.manifest(spark, path) if r.folder}
+    own = spark.range(1).select(store._part(F.lit("m3"))).first()[0]
+    assert before.keys() == after.keys() and {k[2] for k in before if before[k] != after[k]} == {own}
+    got = store.PersistedTables.load(spark, path)
+    assert sorted(r.fn_id for r in got.functions.collect()) == sorted(n for n in names if not n.startswith("m3:") or n == "m3:f0/0")
+    assert got.results.where("option_key = 'both'").count() == 36 and got.results.where("option_key = 'effects'").count() == 34
+
+
 def test_update_keeps_whole_results_only(spark, rules):
     old = stored(spark, rules)
     functions, deps, args = world(spark, 1)
@@ -128,17 +167,38 @@ def test_update_keeps_whole_results_only(spark, rules):
 def test_export_listing_and_report(spark, rules, tmp_path):
     s = stored(spark, rules)
     lines = [(r.section, r.value) for r in store.export_text(s).collect()]
-    assert lines[0] == (0, "version 1") and lines[1][1] == "src/a a0" and [x[0] for x in lines] == sorted(x[0] for x in lines)
+    assert lines[0] == (0, "version 2") and lines[1][1] == "src/a a0" and [x[0] for x in lines] == sorted(x[0] for x in lines)
     table = [v for k, v in lines if k == 2]
     assert len(table) == 12 and table == sorted(table) and table[0] == "a:id/1 sys:add/2"
     effects = s.results.where("option_key = 'effects' AND kind = 'mfa'")
-    T.write_listing(effects, str(tmp_path / "list"))
-    got = [x for f in sorted((tmp_path / "list").glob("part-*")) for x in f.read_text().splitlines()]
     rows = sorted(effects.collect(), key=lambda r: (r.module, r.name, r.arity))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that there are several parts
+    try:
+        T.write_listing(effects, str(tmp_path / "list"))
+        T.write_stats(T.stats(effects), str(tmp_path / "stats"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    whole = lambda name: "".join(f.read_text() for f in sorted((tmp_path / name).glob("part-*"))).splitlines()
+    assert len(list((tmp_path / "list").glob("part-*"))) > 3 and len(list((tmp_path / "stats").glob("part-*"))) > 3
+    got = whole("list")
     assert [x.split(" ")[0] for x in got] == [r.fn_id for r in rows] and "a:map/2 p [1]." in got and all(x.endswith(".") for x in got)
-    T.write_stats(T.stats(effects), str(tmp_path / "stats"))
-    got = [x for f in sorted((tmp_path / "stats").glob("part-*")) for x in f.read_text().splitlines() if not x.startswith("module,")]
-    assert got[-1].startswith("5 modules,") and [float(x.split(",")[-1]) for x in got[:-1]] == sorted(float(x.split(",")[-1]) for x in got[:-1])
+    assert [(r["rank"], r["value"]) for r in T.read_lines(spark, str(tmp_path / "list")).orderBy("rank").collect()] == list(enumerate(got, 1))
+    got = whole("stats")
+    assert got[0] == "module,p,e,d,s,hofs,limited,undefined,total,pct_pure" and got[-1].startswith("5 modules,") and sum("modules" in x or x.startswith("module,") for x in got) == 2
+    assert len(got) == 7 and [float(x.split(",")[-1]) for x in got[1:-1]] == sorted(float(x.split(",")[-1]) for x in got[1:-1])
+    assert [(r["rank"], r["value"]) for r in T.in_order(T.listing(effects)).orderBy("rank").collect()] == list(enumerate(whole("list"), 1))
+
+
+def test_names_in_gaps(spark):
+    """Each child gets the next number that isn't reserved for its own parent; foreign and odd names don't count."""
+    nested = [("m", p, a, i) for p, a, n in (("f", 0, 6), ("f", 1, 3), ("g_2-1", 2, 4)) for i in range(n)] + [("other", "f", 0, 1)]
+    taken = [("m", x) for x in ("f_0-1", "f_0-3", "f_0-4", "f_0-9", "f_0-03", "f_1-2", "f_00-1", "g_2-1_2-1", "f_0-", "f_0-1x", "f_0-99999999999999999999999")] + [("other", "f_1-1"), (None, "f_0-1")]
+    got = T.name_nested(spark.createDataFrame(nested, "module string, parent string, arity int, seq int"), spark.createDataFrame([*taken, taken[0]], "module string, name string"))
+    used, want = set(taken), set()
+    for m, p, a in dict.fromkeys(x[:3] for x in nested):
+        free = (n for n in range(1, 99) if (m, f"{p}_{a}-{n}") not in used)
+        want |= {(m, p, a, i, f"{p}_{a}-{next(free)}") for i in sorted(x[3] for x in nested if x[:3] == (m, p, a))}
+    assert {tuple(r) for r in got.collect()} == want
 
 
 def test_facts_and_files(spark, tmp_path):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidewater.functions import levels as L
+from tidewater.runtime import staged
 
 CALLS = ("remote", "local", "primop", "erl")
 
@@ -219,14 +220,25 @@ def enumerate_from_one(df: DataFrame, array_col: str) -> DataFrame:
 
 def name_nested(nested: DataFrame, reserved: DataFrame) -> DataFrame:
     """names ``f_a-n`` for ``nested(module, parent, arity, seq)``, n counting per parent and skipping
-    ``reserved(module, name)``."""
-    own = nested.withColumn("k", F.row_number().over(W.partitionBy("module", "parent", "arity").orderBy("seq")))
-    sizes = own.groupBy("module", "parent", "arity").agg(F.max("k").alias("most"))
-    taken = reserved.groupBy("module").agg(F.countDistinct("name").alias("r"))
-    free = sizes.join(taken, "module", "left").select("module", "parent", "arity", F.explode(F.expr("sequence(1, most + cast(coalesce(r, 0) as int))")).alias("n"))
-    free = free.withColumn("name", F.concat("parent", F.lit("_"), F.col("arity").cast("string"), F.lit("-"), F.col("n").cast("string"))).join(reserved.select("module", "name").distinct(), ["module", "name"], "left_anti")
-    free = free.withColumn("k", F.row_number().over(W.partitionBy("module", "parent", "arity").orderBy("n"))).drop("n")
-    return own.join(free, ["module", "parent", "arity", "k"]).drop("k")
+    ``reserved(module, name)``.
+
+    Gaps and islands: of a parent's reserved numbers r the j-th lies behind r - j free ones, so the k-th free number is k and as many
+    as there are reserved ones with r - j < k. Children and reserved numbers meet in one order; a parent's rows are its
+    children and the reserved names of just this parent."""
+    group = ["module", "parent", "arity"]
+    own = nested.withColumn("__at", F.row_number().over(W.partitionBy(*group).orderBy("seq")).cast("long")).withColumn("__taken", F.lit(0))
+    part = lambda k: F.regexp_extract("name", r"^(.*)_(0|[1-9][0-9]*)-([1-9][0-9]*)$", k)
+    taken = reserved.where(part(3) != "").select("module", part(1).alias("parent"), part(2).alias("__arity"), part(3).cast("decimal(38,0)").alias("__r")).distinct()
+    parents = nested.select(*group, F.col("arity").cast("string").alias("__arity")).distinct()
+    taken = taken.join(parents, ["module", "parent", "__arity"])
+    free = F.col("__r") - F.row_number().over(W.partitionBy(*group).orderBy("__r"))
+    taken = taken.select(*group, free.alias("__at"), F.lit(1).alias("__taken"))
+    both = own.withColumn("__at", F.col("__at").cast("decimal(38,0)")).unionByName(taken.withColumn("__at", F.col("__at").cast("decimal(38,0)")), allowMissingColumns=True)
+    before = F.sum("__taken").over(W.partitionBy(*group).orderBy("__at", "__taken").rowsBetween(W.unboundedPreceding, -1))
+    number = (F.col("__at") + F.coalesce(before, F.lit(0))).cast("long")
+    out = both.withColumn("n", number).where("__taken = 0")
+    name = F.concat("parent", F.lit("_"), F.col("arity").cast("string"), F.lit("-"), F.col("n").cast("string"))
+    return out.withColumn("name", name).select(*nested.columns, "name")
 
 
 def diff_results(expected: DataFrame, actual: DataFrame, cols: list[str]) -> DataFrame:
@@ -267,22 +279,53 @@ def to_wide(deps: DataFrame) -> DataFrame:
     return deps.groupBy("fn_id").agg(F.array_sort(F.collect_set(F.struct("dep_kind", "target_id", "arg_pos"))).alias("deps"))
 
 
+def in_order(df: DataFrame, out: str = "rank") -> DataFrame:
+    """A sorted table with the rows' numbers from 1: counted within its partitions, which start where those before them end."""
+    df = staged(df.withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    sizes = df.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))  # a row a partition
+    bases = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__base"))
+    return df.withColumn("__p", part).join(F.broadcast(bases), "__p").withColumn(out, F.col("__base") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__p", "__base", "__id")
+
+
+def write_lines(df: DataFrame, order: list[str], path: str) -> None:
+    """Text files whose parts, one after the other in the order of their names, hold ``value`` in ``order``."""
+    df.orderBy(*order).select("value").write.text(path)
+
+
+def read_lines(spark, path: str) -> DataFrame:
+    """``(rank, value)``: the lines that write_lines() wrote, numbered over all parts. A part is read whole by one task."""
+    from pyspark.sql.types import StringType, StructType
+
+    lines = spark.read.schema(StructType().add("value", StringType())).text(path, wholetext=True)
+    lines = lines.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", "value"), F.length("value").alias("__n")).where("__n > 0")
+    sizes = lines.groupBy("file").agg(F.count("*").alias("n"))  # a row a part
+    bases = sizes.select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("__base"))
+    return lines.join(F.broadcast(bases), "file").select((F.col("__base") + F.col("at") + 1).alias("rank"), "value")
+
+
 def listing(results: DataFrame) -> DataFrame:
     """One line ``key result.`` a row, by module, name and arity."""
     return results.orderBy("module", "name", "arity", "fn_id").select(F.concat("fn_id", F.lit(" "), L.fmt_result(), F.lit(".")).alias("value"))
 
 
 def write_listing(results: DataFrame, path: str) -> None:
-    listing(results).write.text(path)
+    """The listing as text files in order."""
+    write_lines(results.withColumn("value", F.concat("fn_id", F.lit(" "), L.fmt_result(), F.lit("."))), ["module", "name", "arity", "fn_id"], path)
 
 
 def stats_report(table: DataFrame) -> DataFrame:
     """The rows of modules, worst first, and last a row of totals."""
+    return _report(table).orderBy("__last", "pct_pure", "module").drop("__last")
+
+
+def _report(table: DataFrame) -> DataFrame:
     total = stats_total(table).select(F.format_string("%d modules", "modules").alias("module"), *[F.col(c) for c in table.columns if c not in ("module", "pct_pure")], F.col("pct_p").alias("pct_pure"))
-    both = table.withColumn("__last", F.lit(0)).unionByName(total.withColumn("__last", F.lit(1)))
-    return both.orderBy("__last", "pct_pure", "module").drop("__last")
+    return table.withColumn("__last", F.lit(0)).unionByName(total.withColumn("__last", F.lit(1)))
 
 
 def write_stats(table: DataFrame, path: str) -> None:
-    """One table of text files in order, whose last row are the totals."""
-    stats_report(table).write.csv(path, header=True)
+    """Text files in order: one header, a line of comma-separated values for each module, worst first, and one line of totals."""
+    lines = _report(table).select("__last", "pct_pure", "module", F.to_csv(F.struct(*table.columns)).alias("value"))
+    head = table.sparkSession.createDataFrame([(-1, 0.0, "", ",".join(table.columns))], lines.schema)
+    write_lines(lines.unionByName(head), ["__last", "pct_pure", "module"], path)

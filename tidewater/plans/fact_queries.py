@@ -261,33 +261,67 @@ def a5(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-@query("a7_export_text", "WITH RECURSIVE " + G.REACHED + """, w AS (SELECT src, string_agg(dst, ',' ORDER BY dst) AS deps FROM e GROUP BY src)
-SELECT 0 AS section, 'version 1' AS value UNION ALL SELECT 1, 'src/' || module || ' ' || md5(module) FROM (SELECT DISTINCT module FROM f0) UNION ALL SELECT 2, CASE WHEN w.deps IS NULL THEN fn_id ELSE fn_id || ' ' || w.deps END FROM f0 LEFT JOIN w ON src = fn_id
-UNION ALL SELECT 3, 'effects ' || fn_id || ' ' || (CASE WHEN at_least THEN '>= ' ELSE '' END) || ['p', 'e', 'd', 's'][level + 1] || (CASE WHEN deps = '' THEN '' ELSE ' [' || replace(deps, ',', ', ') || ']' END) FROM r""")
+@query("a7_export_text", "WITH RECURSIVE " + G.REACHED + """, w AS (SELECT src, string_agg(dst, ',' ORDER BY dst) AS deps FROM e GROUP BY src),
+x AS (SELECT 0 AS section, '' AS key, 'version 2' AS value UNION ALL SELECT 1, 'src/' || module, 'src/' || module || ' ' || md5(module) FROM (SELECT DISTINCT module FROM f0)
+UNION ALL SELECT 2, fn_id, CASE WHEN w.deps IS NULL THEN fn_id ELSE fn_id || ' ' || w.deps END FROM f0 LEFT JOIN w ON src = fn_id
+UNION ALL SELECT 3, 'effects ' || fn_id, 'effects ' || fn_id || ' ' || (CASE WHEN at_least THEN '>= ' ELSE '' END) || ['p', 'e', 'd', 's'][level + 1] || (CASE WHEN deps = '' THEN '' ELSE ' [' || replace(deps, ',', ', ') || ']' END) FROM r)
+SELECT row_number() OVER (ORDER BY section, key, value) AS rank, section, value FROM x""")
 def a7(spark, d):
+    """The rows with their numbers in the export's order."""
     s, _ = supply_store(spark, d)
     s.results = s.results.where("kind = 'mfa'")
-    return store.export_text(s).select("section", "value")
+    return T.in_order(store.export_text(s).select("section", "value"))
 
 
-@query("a8_listing", G.WR + "SELECT fn_id || ' ' || (CASE WHEN at_least THEN '>= ' ELSE '' END) || ['p', 'e', 'd', 's'][level + 1] || (CASE WHEN deps = '' THEN '' ELSE ' [' || replace(deps, ',', ', ') || ']' END) || '.' AS value FROM r")
+@query("a8_listing", G.WR + "SELECT row_number() OVER (ORDER BY module, fn_id) AS rank, fn_id || ' ' || (CASE WHEN at_least THEN '>= ' ELSE '' END) || ['p', 'e', 'd', 's'][level + 1] || (CASE WHEN deps = '' THEN '' ELSE ' [' || replace(deps, ',', ', ') || ']' END) || '.' AS value FROM r")
 def a8(spark, d):
+    """G1: the written lines, read back with their numbers over all files."""
     path = f"{scratch_dir(spark)}/listing-{uuid.uuid4().hex}"
     T.write_listing(G.supply_results(spark, d), path)
-    return spark.read.text(path)
-
-
-@query("c15_update_store", "SELECT 'effects' AS option_key, count(*) AS n FROM documents UNION ALL SELECT 'checksums', count(*) FROM documents UNION ALL SELECT 'functions', count(*) FROM documents")
+    return T.read_lines(spark, path)
+
+
+@query("a9_statistics", G.WR + """, c AS (SELECT module, CASE WHEN at_least AND deps = '' THEN 'limited' WHEN deps <> '' THEN 'undefined' ELSE ['p', 'e', 'd', 's'][level + 1] END AS class FROM r),
+t AS (SELECT module, count(*) FILTER (class = 'p') AS p, count(*) AS total FROM c GROUP BY module),
+x AS (SELECT 0 AS part, 0.0::DOUBLE AS pct, 'module' AS module, 'p' AS p, 'total' AS total UNION ALL SELECT 1, 100.0::DOUBLE * p / total, module, p::VARCHAR, total::VARCHAR FROM t UNION ALL SELECT 2, 0, count(*) || ' modules', sum(p)::VARCHAR, sum(total)::VARCHAR FROM t)
+SELECT row_number() OVER (ORDER BY part, pct, module) AS rank, module, p, total FROM x""")
+def a9(spark, d):
+    """The written statistics: header, modules from the worst on, totals, read back with their numbers over all files."""
+    path = f"{scratch_dir(spark)}/statistics-{uuid.uuid4().hex}"
+    T.write_stats(T.stats(G.supply_results(spark, d)), path)
+    field = lambda i: F.element_at(F.split("value", ","), i)
+    return T.read_lines(spark, path).select("rank", field(1).alias("module"), field(2).alias("p"), field(9).alias("total"))
+
+
+# Documents as functions of their source, calling the next one. src1 is analysed again and keeps a third of its functions, src2 can't be
+# read any more. Termination's results lack some functions and go; those of both stay, without src2.
+@query("c15_update_store", """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS k, source, doc_id % 3 AS r FROM documents), kept AS (SELECT k, source, 'old' AS v FROM d WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT k, source, 'new' FROM d WHERE source = 'src1' AND r = 0)
+SELECT 'functions' AS part, k, source AS v FROM kept UNION ALL SELECT 'deps', k, v FROM kept
+UNION ALL SELECT 'effects', k, v FROM kept UNION ALL SELECT 'effects', 'sys:x/0', 'new' UNION ALL SELECT 'both', k, 'old' FROM d WHERE source <> 'src2'
+UNION ALL SELECT 'checksums', source, CASE WHEN source = 'src1' THEN 'new' ELSE 'old' END FROM (SELECT DISTINCT source FROM d)""")
 def c15(spark, d):
-    """Documents as functions of their source. New facts replace those of src1; results by termination lack some and go."""
+    """C15 on a saved store, of which only the parts of the changed modules are written anew."""
     docs = _t(spark, d, "documents")
-    row = docs.select(F.col("doc_id").cast("string").alias("fn_id"), F.lit("mfa").alias("kind"), F.col("source").alias("module"), F.lit("f").alias("name"), F.lit(0).alias("arity"), F.lit(0).cast("tinyint").alias("level"), F.lit(False).alias("at_least"))
-    results = row.withColumn("deps", F.array().cast(P.NODEPS)).withColumn("option_key", F.explode(F.array(F.lit("effects"), F.lit("termination"))))
-    results = results.where("option_key = 'effects' OR CAST(fn_id AS BIGINT) % 3 <> 0")
-    none = lambda schema: spark.createDataFrame([], schema)
-    old = store.PersistedTables(G.files(spark, d), row, none(L.DEPS), none(L.DEP_ARGS), results)
-    new = store.update(old, G.files(spark, d, 1), row.where("module = 'src1'"), none(L.DEPS), none(L.DEP_ARGS), results.where("option_key = 'effects' AND module = 'src1'"))
-    counts = new.results.groupBy("option_key").agg(F.count("*").alias("n"))
-    for name in ("checksums", "functions"):
-        counts = counts.unionByName(getattr(new, name).agg(F.lit(name).alias("option_key"), F.count("*").alias("n")))
-    return counts
+    row = docs.select(F.col("doc_id").cast("string").alias("fn_id"), F.lit("mfa").alias("kind"), F.col("source").alias("module"), F.lit("f").alias("name"), F.lit(0).alias("arity"), F.lit(0).cast("tinyint").alias("level"), F.lit(False).alias("at_least"), "doc_id")
+    third, cols = row.where("module = 'src1' AND doc_id % 3 = 0"), ["fn_id", "kind", "module", "name", "arity", "level", "at_least"]
+
+    def calls(df, target):
+        none = lambda kind: F.lit(None).cast(kind)
+        return df.select("fn_id", F.lit(0).cast("bigint").alias("call_id"), F.lit("remote").alias("dep_kind"), F.lit(target).alias("target_id"), none("int").alias("arg_pos"), none("string").alias("var"))
+
+    options = F.explode(F.array(F.lit("effects"), F.lit("termination"), F.lit("both")))
+    results = row.withColumn("deps", F.array().cast(P.NODEPS)).withColumn("option_key", options).where("option_key <> 'termination' OR doc_id % 5 <> 1")
+    sums = docs.select(F.concat(F.lit("src/"), "source").alias("path"), F.col("source").alias("module"), F.lit("old").alias("md5")).distinct()
+    path = f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}"
+    args = spark.createDataFrame([], L.DEP_ARGS)
+    store.PersistedTables(sums, row.select(*cols), calls(row, "old"), args, results.select(*cols, "deps", "option_key")).save(path)
+    files = sums.where("module IN ('src1', 'src2')").withColumn("md5", F.when(F.col("module") == "src1", "new"))
+    own = third.select(*cols).withColumn("level", F.lit(1).cast("tinyint"))
+    builtin = spark.createDataFrame([("sys:x/0", "mfa", "sys", "x", 0, 1, False)], L.FUNCTIONS)
+    store.update_saved(spark, path, files, own, calls(own, "new"), args, own.unionByName(builtin).withColumn("deps", F.array().cast(P.NODEPS)))
+    new = store.PersistedTables.load(spark, path)
+    state = F.when(F.col("level") == 1, "new").otherwise("old")
+    out = new.functions.select(F.lit("functions").alias("part"), F.col("fn_id").alias("k"), F.col("module").alias("v"))
+    out = out.unionByName(new.deps.select(F.lit("deps").alias("part"), F.col("fn_id").alias("k"), F.col("target_id").alias("v")))
+    out = out.unionByName(new.results.select(F.col("option_key").alias("part"), F.col("fn_id").alias("k"), state.alias("v")))
+    return out.unionByName(new.checksums.select(F.lit("checksums").alias("part"), F.col("module").alias("k"), F.col("md5").alias("v")))
