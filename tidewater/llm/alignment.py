@@ -19,11 +19,12 @@ from tidewater.llm.common import arrow_map, staged, unstage
 from tidewater.llm.tokens import RUNS, WordTokenizer, _byte_letters
 
 #: Units that a worker remembers at most (some 400 bytes each), in two generations, and the longest that is remembered.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 700_000, 64
 #: A chunk of documents, which is closed when it has so many of them or so many units: what one task holds when counts come back.
 CHUNK_DOCS, CHUNK_UNITS = 4096, 1 << 20
 #: Both tokenizers end a token before a single space that something but white space follows, and around such a line end.
 CUT = re.compile(r"(?<! ) (?=[^\s\u180e])|(?<=[^\s\u180e])\n(?=[^\s\u180e])")
+ONE = np.int64(1).tobytes()
 ROWS = "chunk long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, x array<int>, y array<int>, z array<int>, code long, docs long"
 
 
@@ -78,6 +79,20 @@ class Aligner:
         # each id as text with what follows it: within a group, and at its side's end
         self.said = [np.array([f"{i}{sign}" for i in range(n)], object) for n, sign in ((len(names), ","), (len(names), "|"), (len(self.bytes_b), ","), (len(self.bytes_b), ";"))]
         self.seen, self.old = {}, {}
+        # signs that no piece of B joins to a letter before them: after a plain word they are a token of their own in both
+        joined = {y for i in range(len(self.bytes_b)) if not self.b.is_byte(i) for x, y in zip(self.b.id_to_piece(i), self.b.id_to_piece(i)[1:]) if x.isalpha()}
+        self.signs = {}
+        for c in set(".,;:?!") - joined:
+            a, b = self.a.whole.encode(c, add_special_tokens=False).ids, self.b.piece_to_id(c)
+            if len(a) == 1 and self.bytes_a[a[0]] == self.bytes_b[b] == c.encode():
+                self.signs[c] = (f";{a[0]}|{b}", np.int64(a[0] << 32 | b).tobytes())
+
+    def _with_sign(self, unit: str, word: tuple | None) -> tuple | None:
+        """A plain word's record with the sign that follows it."""
+        if word is None:
+            return None
+        said, code = self.signs[unit[-1]]
+        return word[0] + said, word[1] + 1, word[2] + 1, word[3] + 1, word[4] + 1, word[5] + code, word[6] and word[6] + ONE
 
     def _ids_a(self, unit: str) -> bytes:
         if "\x00" in unit or unit[0] == " ":
@@ -132,15 +147,21 @@ class Aligner:
 
     def records(self, wanted: Iterable[str]) -> dict[str, tuple | None]:
         """Records of units; those that aren't remembered are aligned together."""
-        seen, old = self.seen, self.old
+        seen, old, signs = self.seen, self.old, self.signs
         found = {u: seen.get(u) or old.get(u) for u in wanted}
         new = [u for u, r in found.items() if r is None]
+        signed = [u for u in new if u[-1] in signs and u[:-1].isalpha()]
+        if signed:
+            words = dict.fromkeys([u[:-1] for u in signed])
+            found.update((w, seen.get(w) or old.get(w)) for w in words if w not in found)
+            new = [u for u, r in found.items() if r is None and not (u[-1] in signs and u[:-1].isalpha())]
         if new:
             # B sets a space before what it gets: of a unit that begins with a line end it comes off again
             ids_b = self.b.encode([u[1:] if u[0] == " " else u for u in new], num_threads=1)
             ids_b = [i if u[0] != "\n" else i[1:] if i and self.bytes_b[i[0]] == b" " else [] for u, i in zip(new, ids_b)]
             found.update(zip(new, self.aligned([spelled(u).encode() for u in new], list(map(self._ids_a, new)), ids_b)))
-        seen.update((u, r) for u, r in found.items() if len(u) <= LONGEST)
+        found.update([(u, self._with_sign(u, found[u[:-1]])) for u in signed])
+        seen.update([(u, r) for u, r in found.items() if u not in seen and len(u) <= LONGEST])
         if len(seen) > REMEMBERED // 2:
             self.old, self.seen = seen, {}
         if len(self.a.seen) > REMEMBERED // 4:
