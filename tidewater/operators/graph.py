@@ -22,6 +22,8 @@ def compacted(tables: list[DataFrame], most: int = 16) -> list[DataFrame]:
 
 #: A target with more edges is dealt over parts, so that no bucket grows with one hub.
 HUB = 1 << 22
+#: Labels of the last rounds that are grouped anew each round, at most.
+FEW = 1 << 18
 
 
 def _max(df: DataFrame, parts: list[str]) -> DataFrame:
@@ -31,17 +33,16 @@ def _max(df: DataFrame, parts: list[str]) -> DataFrame:
 def _by_target(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The edges in buckets of their targets, and, if there are hubs, ``(node, __parts)``: in how many parts each is dealt. The key
     is a hash of target and part; joins compare the targets, too."""
-    edges = counted(edges.select("src", "dst").dropna().where("src <> dst").distinct())
-    hubs = None
-    if edges.staged_rows > HUB:
-        hubs = counted(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("node", F.ceil(F.col("n") / HUB).cast("int").alias("__parts")))
-    part = F.lit(0)
-    if hubs is not None and hubs.staged_rows:  # less than one in HUB edges
-        edges = edges.join(F.broadcast(hubs.withColumnRenamed("node", "dst")), "dst", "left")
-        part = F.coalesce(F.pmod(F.xxhash64("src"), "__parts").cast("int"), part)
-    else:
-        hubs = None
-    return bucketed(edges.select("src", "dst", F.xxhash64("dst", part).alias("__key")), "__key"), hubs
+    edges = edges.select("src", "dst").dropna().where("src <> dst")
+    out = bucketed(edges.select("src", "dst", F.xxhash64("dst", F.lit(0)).alias("__key")).distinct(), "__key")
+    if out.staged_rows <= HUB:
+        return out, None
+    hubs = counted(out.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("node", F.ceil(F.col("n") / HUB).cast("int").alias("__parts")))
+    if not hubs.staged_rows:
+        return out, None
+    dealt = out.join(F.broadcast(hubs.withColumnRenamed("node", "dst")), "dst", "left")  # less than one in HUB edges
+    part = F.coalesce(F.pmod(F.xxhash64("src"), "__parts").cast("int"), F.lit(0))
+    return bucketed(dealt.select("src", "dst", F.xxhash64("dst", part).alias("__key")), "__key"), hubs
 
 
 @tidy
@@ -51,37 +52,34 @@ def highest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     All parts travel in one loop (a product of lattices): a round sends the labels that rose in the round before over the edges
     and keeps what beats the nodes' labels so far. Edges are written once, in buckets of their targets, so no round shuffles them.
-    Labels so far are one table in buckets of the nodes and the few rounds since it was written; it is written anew when those have
-    grown to half its rows, so a node is written a logarithmic number of times. A round is one write, whose row count ends the loop.
+    Labels so far are one table in buckets of the nodes and those of the few rounds since it was written; it is written anew when these
+    have grown to half its rows, so a node is written a logarithmic number of times. A round is one write, whose row count ends
+    the loop.
     Null nodes are ignored, duplicates collapse, empty inputs give the seeds."""
     parts = [c for c in seeds.columns if c != "node"]
     by_target, hubs = _by_target(edges)
     frontier = counted(_max(seeds.where("node IS NOT NULL"), parts))
-    state, rows, recent = bucketed(frontier, "node"), frontier.staged_rows, []
+    state, recent = None, [frontier]
     while frontier.staged_rows:
-        last = frontier
         sent = frontier.withColumnRenamed("node", "__to")
         if hubs is not None:
             sent = sent.join(F.broadcast(hubs.withColumnRenamed("node", "__to")), "__to", "left")
             sent = sent.withColumn("__key", F.explode(F.transform(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1), lambda i: F.xxhash64("__to", i))))
         else:
             sent = sent.withColumn("__key", F.xxhash64("__to", F.lit(0)))
-        came = by_target.join(sent, "__key").where("dst = __to").select(F.col("src").alias("node"), *parts)
-        known = _max(came, parts).join(state.select("node", *[F.col(p).alias(f"__{p}") for p in parts]), "node", "left")
-        if recent:
-            since = _max(reduce(DataFrame.unionByName, recent), parts).select("node", *[F.col(p).alias(f"__r_{p}") for p in parts])
-            known = known.join(since, "node", "left").withColumns({f"__{p}": F.greatest(f"__{p}", f"__r_{p}") for p in parts})
-        rose = [F.col(p).isNotNull() & (F.col(f"__{p}").isNull() | (F.col(p) > F.col(f"__{p}"))) for p in parts]
-        frontier = counted(known.where(reduce(Column.__or__, rose)).select("node", *[F.greatest(p, f"__{p}").alias(p) for p in parts]))
+        known = _max(by_target.join(sent, "__key").where("dst = __to").select(F.col("src").alias("node"), *parts), parts)
+        held = [state] if state is not None else []
+        for i, df in enumerate([*held, _max(reduce(DataFrame.unionByName, recent), parts) if len(recent) > 1 else recent[0]]):
+            known = known.join(df.select("node", *[F.col(p).alias(f"__{i}_{p}") for p in parts]), "node", "left")
+        had = {p: F.greatest(*[F.col(f"__{i}_{p}") for i in (0, 1)]) if held else F.col(f"__0_{p}") for p in parts}
+        rose = [F.col(p).isNotNull() & (had[p].isNull() | (F.col(p) > had[p])) for p in parts]
+        frontier = counted(known.where(reduce(Column.__or__, rose)).select("node", *[F.coalesce(F.greatest(F.col(p), had[p]), F.col(p), had[p]).alias(p) for p in parts]))
         recent = [*recent, frontier]
-        if not any(last is t for t in recent):
-            unstage(last)
-        if 2 * sum(t.staged_rows for t in recent) > rows or len(recent) > 16:
-            state, old = bucketed(_max(reduce(DataFrame.unionByName, [state, *recent]), parts), "node"), state
-            rows += sum(t.staged_rows for t in recent)  # at most
-            unstage(old, *recent[:-1])
-            recent = []
-    return _max(reduce(DataFrame.unionByName, [state, *recent]), parts)
+        if sum(t.staged_rows for t in recent) > max(FEW, state.staged_rows // 2 if held else 0) or len(recent) > 16:
+            new = bucketed(_max(reduce(DataFrame.unionByName, [*held, *recent]), parts), "node")
+            unstage(*held, *recent[:-1])
+            state, recent = new, [frontier]
+    return _max(reduce(DataFrame.unionByName, [*([state] if state is not None else []), *recent]), parts)
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -84,12 +84,16 @@ def mark_recursive(deps: DataFrame, dep_args: DataFrame) -> DataFrame:
 
 
 def fold_leaves(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labels and bounds of targets without dependencies go into those that depend on them, and their edges go: hubs such as common
-    built-ins never enter the loop. ``nodes(fn_id, label, low)``."""
-    leaf = nodes.join(edges.select(F.col("src").alias("fn_id")).distinct(), "fn_id", "left_anti").select(F.col("fn_id").alias("dst"), F.col("label").alias("__l"), F.col("low").alias("__w"))
-    up = edges.join(leaf, "dst").groupBy(F.col("src").alias("fn_id")).agg(F.max("__l").alias("__l"), F.max("__w").alias("__w"))
-    out = nodes.join(up, "fn_id", "left").select("fn_id", F.greatest("label", "__l").alias("label"), F.greatest("low", "__w").alias("low"))
-    return out, edges.join(leaf.select("dst"), "dst", "left_anti")
+    """``(seeds(node, label, low), edges)``: labels and bounds of targets without dependencies go into those that depend on them, label 3
+    into those that depend on a target without a row, and the edges to such targets go: hubs such as common built-ins never
+    enter the loop. ``nodes(fn_id, label, low)``; a null label is that of a node without a row."""
+    goes_on = edges.select(F.col("src").alias("dst")).distinct().withColumn("__on", F.lit(True))
+    info = nodes.select(F.col("fn_id").alias("dst"), "label", "low").join(goes_on, "dst", "full")
+    met = cut(edges.join(info, "dst", "left").select("src", "dst", F.coalesce("label", F.lit(3)).alias("label"), F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("__on", F.lit(False)).alias("__on"), F.col("label").isNull().alias("__gone")))
+    up = met.where("NOT __on OR __gone").select(F.col("src").alias("node"), "label", "low")
+    own = nodes.select(F.col("fn_id").alias("node"), "label", "low")
+    seeds = own.unionByName(up).where("label > 0 OR low > 0")
+    return seeds, met.where("__on").select("src", "dst")
 
 
 def resolve(nodes: DataFrame, edges: DataFrame, start: DataFrame | None = None, unknown: DataFrame | None = None) -> DataFrame:
@@ -105,13 +109,10 @@ def resolve(nodes: DataFrame, edges: DataFrame, start: DataFrame | None = None,
     edges = (edges if getattr(edges, "staged_at", None) else cut(edges)).where("src <> dst")
     low = F.col("at_least").cast("int") if "at_least" in nodes.columns else F.lit(0)
     own = nodes.select("fn_id", F.when(F.col("level") == 3, 4).otherwise(F.col("level")).cast("int").alias("label"), F.coalesce(low, F.lit(0)).alias("low"))
-    marks = [df.select("fn_id", F.lit(a).alias("label"), F.lit(b).alias("low")) for df, a, b in ((start, 4, 0), (unknown, 0, 1)) if df is not None]
+    marks = [df.select("fn_id", F.lit(a).alias("label"), F.lit(b).alias("low")) for df, a, b in ((start, 4, None), (unknown, None, 1)) if df is not None]
     if marks:
-        more = reduce(DataFrame.unionByName, marks).groupBy("fn_id").agg(F.max("label").alias("__l"), F.max("low").alias("__w"))
-        own = own.join(more, "fn_id", "full").select("fn_id", F.greatest(F.coalesce("label", F.lit(0)), F.coalesce("__l", F.lit(0))).alias("label"), F.greatest(F.coalesce("low", F.lit(0)), F.coalesce("__w", F.lit(0))).alias("low"))
-    own, inner = fold_leaves(own, edges)
-    missing = edges.join(nodes.select(F.col("fn_id").alias("dst")), "dst", "left_anti").select(F.col("src").alias("node"), F.lit(3).alias("label"), F.lit(0).alias("low"))
-    seeds = own.where("label > 0 OR low > 0").withColumnRenamed("fn_id", "node").unionByName(missing.distinct())
+        own = reduce(DataFrame.unionByName, marks, own).groupBy("fn_id").agg(F.max("label").alias("label"), F.max("low").alias("low"))
+    seeds, inner = fold_leaves(own, edges)
     label = highest(inner, seeds)
     level = cut(nodes.select("fn_id", F.col("level").cast("tinyint").alias("own")).join(label.withColumnRenamed("node", "fn_id"), "fn_id", "left").select("fn_id", "own", F.coalesce("label", F.lit(0)).alias("label"), (F.coalesce("low", F.lit(0)) > 0).alias("low")))
     open_ = level.where("label = 3")

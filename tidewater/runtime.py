@@ -65,12 +65,14 @@ def counted(df: DataFrame) -> DataFrame:
 
 
 def bucketed(df: DataFrame, column: str) -> DataFrame:
-    """A staged table in as many buckets as the session has shuffle partitions, by ``column``: joins on it don't shuffle it again."""
+    """A staged and counted table in as many buckets as the session has shuffle partitions, by ``column``: joins on it don't shuffle it
+    again."""
     spark, name = df.sparkSession, f"staged_{uuid.uuid4().hex}"
     n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{scratch_dir(spark)}/{name}"
-    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", path).saveAsTable(name)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", path).saveAsTable(name)
     out = spark.table(name)
-    out.staged_at, out.staged_name = path, name
+    out.staged_at, out.staged_name, out.staged_rows = path, name, seen.get["n"]
     if _OPEN:
         _OPEN[-1].append(out)
     return out
