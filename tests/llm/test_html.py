@@ -77,3 +77,26 @@ def test_matching_against_all_pairings():
 def test_references_and_white_space():
     assert H.extract(H.parse("<p>a&nbsp;&amp;\n b<br>c<b>d</b>&#x41; < e</p>stray")) == "a & b cdA < e\n\nstray"
     assert H.extract(H.parse('<p title="a>b">x</p><p title="open>y</p>')) == "x\n\ny"
+
+
+def test_hostile_pages_take_linear_time():
+    """A megabyte each of tags that don't end, quotes, nested articles and unclosed raw text."""
+    import time
+
+    from tidewater.llm.html_text import parse
+
+    for piece in ("<a ", '<p "', "<article>", "<nav><article>", "<!-- ", "<!--> ", "<script></script ", "<div <", "</p", "<li><div>"):
+        began = time.time()
+        parse("<p>one two three</p>" + piece * (1_000_000 // len(piece)))
+        assert time.time() - began < 20, piece
+    deep = "<article>" * 20_000 + "<li>x" * 20_000 + "<nav><article>" * 20_000
+    began = time.time()
+    parse(deep)
+    assert time.time() - began < 20
+
+
+def test_ends_of_pages():
+    from tidewater.llm.html_text import parse
+
+    for tail, blocks in (("", ["a b"]), ("<!-- c", ["a b"]), ("<!-- c > d", ["a b"]), ("<!-- c --> d", ["a b", "d"]), (" < c", ["a b", "< c"]), ("<em", ["a b", "<em"]), ("<!-->", ["a b"]), ("<script> c > d", ["a b"])):
+        assert parse("<p>a b</p>" + tail).blocks == blocks, tail

@@ -65,11 +65,14 @@ class Tree:
 
 
 def parse(page: str | None) -> Tree:
-    """The page's tree; inline elements only part the text. Unclosed and stray tags are mended as browsers do."""
+    """The page's tree; inline elements only part the text. Unclosed and stray tags are mended as browsers do. Linear in the page's
+    length: nothing behind the last ``>`` is looked at as a tag, and no step walks down the open elements but to close them."""
     tree, page, pos = Tree(), page or "", 0
+    last = page.rfind(">") + 1
     known: dict[int, int] = {1: 0}
     open_ = [("html", 0, False)]  # (element, node, set aside by itself) from the root to here
     counts: Counter[str] = Counter()
+    asides: list[int] = []  # places in open_ of those set aside by themselves
     named: set[tuple[int, int]] = set()  # (parent element's number, node) met: a second time the node stands for many
     words: list[str] = []
     serials, serial = [0], 0
@@ -89,19 +92,24 @@ def parse(page: str | None) -> Tree:
         links = 0
 
     def pop() -> None:
-        counts[open_.pop()[0]] -= 1
+        name, _, aside = open_.pop()
+        counts[name] -= 1
+        if aside:
+            asides.pop()
         serials.pop()
 
-    for m in iter(lambda: TAG.search(page, pos), None):
+    for m in iter(lambda: TAG.search(page, pos, last) if pos < last else None, None):
         words.append(page[pos : m.start()])
         if linked:
             links += m.start() - pos
         pos = m.end()
+        if pos == last and m[0].startswith("<!--") and (len(m[0]) < 7 or not m[0].endswith("-->")):
+            pos = len(page)  # a comment that doesn't end
         close, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         name = (name or "").lower()
         if name in RAW:
             if not close and not rest.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, pos)
+                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, pos, last)
                 pos = end.end() if end else len(page)
             words.append(" ")
         elif name == "br":
@@ -129,12 +137,11 @@ def parse(page: str | None) -> Tree:
                     if open_[k][0] in ends:
                         while len(open_) > k:
                             pop()
-            if name in ("article", "main"):  # an unclosed menu doesn't hold the article
-                for k in range(1, len(open_)):
-                    if open_[k][2]:
-                        while len(open_) > k:
-                            pop()
-                        break
+                        if not any(counts[x] for x in ends):
+                            break
+            if name in ("article", "main") and asides:  # an unclosed menu doesn't hold the article
+                for _ in range(len(open_) - asides[0]):
+                    pop()
             marks = " ".join(v for _, *vs in ATTRIBUTE.findall(rest) for v in vs if v).lower().split() if rest else []
             inside = any(counts[x] for x in ("article", "main"))
             aside = name in ASIDE or name == "header" and not inside or name not in ("article", "main") and any(map(NAMES.fullmatch, marks))
@@ -153,10 +160,12 @@ def parse(page: str | None) -> Tree:
             named.add((serials[-1], node))
             if name != "hr":
                 serial += 1
+                if aside:
+                    asides.append(len(open_))
                 open_.append((name, node, aside))
                 serials.append(serial)
                 counts[name] += 1
-    words.append(page[pos:])
+    words.append(page[pos:].partition("<!--")[0])
     flush()
     for k in range(1, len(tree.kinds)):  # many parents, many nodes
         if tree.kinds[tree.parents[k]] & MANY:
