@@ -102,3 +102,63 @@ def test_key_of_the_session(spark):
         assert a == b != pii.pseudonymise(x).first().text
     finally:
         spark.conf.set("spark.tidewater.pii.key", old) if old else spark.conf.unset("spark.tidewater.pii.key")
+
+
+NAMES = [
+    ("Mr. J. Smith came", "Smith"), ("Mrs. Maria de la Cruz came", "Maria Cruz"), ("Dr. med. Anna Schmidt came", "Anna Schmidt"), ("Frau Prof. Dr. Anna von der Heide came", "Anna Heide"),
+    ("Mr. John Ronald Reuel Tolkien came", "John Ronald Reuel Tolkien"), ("Г-н Иван Петрович Сидоров пришёл", "Иван Петрович Сидоров"), ("Herr J. R. Müller-Lüdenscheidt kam", "Müller-Lüdenscheidt"), ("Ms. Mary van den Berg, and she", "Mary Berg"),
+]
+
+
+@pytest.mark.parametrize(("text", "words"), NAMES)
+def test_no_word_of_a_name_stays(text, words):
+    """Words are replaced one by one; particles, stops, titles and all around stay."""
+    found = pii.spans(text)
+    assert [text[a:b] for a, b, *_ in found if b - a > 1] == words.split()
+    name = next(x for x in pii.find(text))
+    new = pii.surrogate("name", name[3], b"k")
+    assert not set(words.split()) & set(new.replace(".", "").split()) and len(new.split()) == len(text[name[0] : name[1]].split())
+    assert [w for w in new.split() if w in pii.PARTICLES] == [w for w in text.split() if w in pii.PARTICLES]
+
+
+def test_initials_and_mentions_of_a_full_name():
+    text = "Mr. J. Cruz met Mrs. Maria de la Cruz. Maria de la Cruz slept; J. Cruz too, and Cruz's dog. The Cruz-Missile not."
+    got = [text[a:b] for a, b, *_ in pii.find(text)]
+    assert got == ["J. Cruz", "Maria de la Cruz", "Maria de la Cruz", "J. Cruz", "Cruz"]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    new = [pii.initial_surrogate(c, b"k") for c in letters]
+    assert sorted(new) == list(letters) and all(a != b for a, b in zip(letters, new, strict=True))
+
+
+@pytest.mark.parametrize("number", ["+49 30 1234567", "030 1234567", "+33 1 23 45 67 89", "06 12 34 56 78", "4155551234", "020 7946 0958", "01632 960983", "+44 20 7946 0958", "+7 495 123-45-67", "0171/2345678", "(030) 123456", "0612345678", "+34 612 345 678", "+39 06 1234 5678", "+493012345678", "0049 30 1234567", "(415) 555-1234"])
+def test_national_forms_of_telephone_numbers(number):
+    text = f"call {number}, or come."
+    assert [(text[a:b], k) for a, b, k, _ in pii.find(text)] == [(number, "phone")]
+    new = pii.surrogate("phone", number, b"k")
+    assert new != number and [c if not c.isdigit() else "0" for c in new] == [c if not c.isdigit() else "0" for c in number]
+
+
+@pytest.mark.parametrize(("text", "kind"), [("2001:db8:85a3:0:0:8a2e:370:7334", "ipv6"), ("fe80::1", "ipv6"), ("2001:DB8::8:800:200C:417A", "ipv6"), ("0a:1b:2c:3d:4e:5f", "mac"), ("0A-1B-2C-3D-4E-5F", "mac")])
+def test_addresses_of_machines(text, kind):
+    assert pii.find(f"at {text} now") == [(3, 3 + len(text), kind, text)]
+    new = pii.surrogate(kind, text, b"k")
+    assert new != text and pii.find(new) == [(0, len(new), kind, new)] and len(new) == len(text)
+
+
+def test_times_codes_and_dates_stay():
+    assert pii.find("at 12:30:45, std::vector a::b ::1, 01.02.2023 at 10, 3.14159 and 1700000000 or 2023-05-06 12") == []
+
+
+@pytest.mark.parametrize("text", ["Mr. " * 200_000, "Mr. " + "J. " * 200_000, "Mr. Smith " + "de " * 200_000 + "Smith", "Mr. " + "Smith " * 200_000, "+1 " * 200_000, "a@" + "a." * 200_000 + "1", "1::" * 200_000, "Mr. O'B " + "a'" * 200_000, "(12) " * 200_000, "Mr. Cruz " + "Dr Cruz x " * 50_000])
+def test_hostile_texts_take_linear_time(text):
+    import time
+
+    start = time.process_time()
+    pii.find(text)
+    assert time.process_time() - start < 10
+
+
+def test_very_many_names_in_one_text():
+    made = ["N" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(20_000)]
+    text = " x ".join(f"Mr. {n}" for n in made)
+    assert len(pii.find(text)) == len(made)
