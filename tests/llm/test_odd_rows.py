@@ -59,3 +59,21 @@ def test_operators(spark, tmp_path):
     got = token_files.read_token_files(spark, at).orderBy("start").collect()
     assert len(got) == len(rows()) and [r.doc_id for r in got][:2] == [None, None] and all(len(r.ids) == 4 * r.n_tokens for r in got)
     assert token_files.read_token_files(spark, at).agg(F.sum("n_tokens")).first()[0] == got[-1].start + got[-1].n_tokens
+
+
+def test_hot_keys_by_an_absolute_bound(spark, monkeypatch):
+    """Large tables split a key by rows, whatever its share; the rows of a salted join stay the same."""
+    from tidewater.llm import common
+
+    many = spark.range(4000).selectExpr("id", "if(id % 3 = 0, 0, id % 1000) AS k")
+    few = common.staged(spark.range(1000).selectExpr("id AS k", "id * 2 AS v"))
+    plain = sorted(many.join(few, "k").collect())
+    monkeypatch.setattr(common, "BROADCAST", -1)
+    assert {r.k: r["__parts"] for r in common.hot_keys(many.select("k"), "k").collect()} == {0: 86}
+    assert sorted(common.salted_join(many, few, "k", many.id).collect()) == plain
+    monkeypatch.setattr(common, "HOT", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 500)
+    assert {r.k: r["__parts"] for r in common.hot_keys(many.select("k"), "k").collect()} == {0: 3}
+    assert sorted(common.salted_join(many, few, "k", many.id).collect()) == plain
+    monkeypatch.setattr(common, "MOST", 3)
+    assert {r.k: r["__parts"] for r in common.hot_keys(many.select("k"), "k").collect()} == {0: 2}

@@ -49,13 +49,24 @@ def test_posteriors_against_their_formula(spark):
     kp = size([(p, host[h]) for (h, _), p in sites.items()])
     for r in out:
         p = sites[r.source, r.lang]
-        prior = (sum(p) + kp * host[r.source]) / (len(p) + kp)
+        rest, q = hosts[r.source], r["__p"]  # the document's own evidence counts once, not in its site's too
+        own_host = (sum(rest) - q + kh * mean) / (len(rest) - 1 + kh)
+        prior = (sum(p) - q + kp * own_host) / (len(p) - 1 + kp)
         assert math.isclose(r["__prior"], prior, rel_tol=1e-9)
         odds = lambda x: math.log(x / (1 - x))
         logit = odds(min(max(r["__p"], 1e-9), 1 - 1e-9)) + odds(min(max(prior, 1e-4), 1 - 1e-4)) - odds(mean)
         assert math.isclose(r["__keep_p"], 1 / (1 + math.exp(-logit)), rel_tol=1e-9) and r["__keep"] == (r["__keep_p"] >= 0.5)
 
 
+def test_a_site_of_one_document_has_no_say(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    lone = docs.limit(1).select(F.lit(-1).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "lang", F.lit("alone").alias("source"))
+    out = quality.judge(docs.unionByName(lone), spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    r = next(r for r in out if r.doc_id == -1)
+    mean = sum(r["__p"] for r in out) / len(out)
+    assert math.isclose(r["__prior"], mean, rel_tol=1e-9) and math.isclose(r["__keep_p"], min(max(r["__p"], 1e-9), 1 - 1e-9), rel_tol=1e-6)
+
+
 def test_repeated_ids_and_long_texts(spark):
     """Of several texts of one labelled id that of least hash is learnt from, in whatever order they come."""
     rows = [(i, f"word{i % 5} text number {i} " * (1 + i % 7), "en", "s") for i in range(60)] + [(3, f"other {k}", "en", "s") for k in range(50)]

@@ -16,8 +16,9 @@ __all__ = ["arrow_map", "cut", "hot_keys", "ranked", "row_key", "salted_join", "
 BATCH_BYTES = 2 << 20
 #: Rows that a Parquet reader decodes at once (Spark's own 4,096 whole texts take tens of MB a task).
 READER_ROWS = 512
-#: A key that holds more than one in so many rows is hot: so there are fewer hot keys than this, which bounds their broadcast.
-HOT = 256
+#: A key is hot that holds more than one in HOT rows, and in large tables more than HOT_ROWS rows, which bounds what a task gets; a
+#: key of one in MOST rows or fewer never is, so there are fewer hot keys than MOST, which bounds their broadcast.
+HOT, HOT_ROWS, MOST = 256, 1 << 17, 1 << 16
 #: A side of at most so many bytes, as measured, is broadcast.
 BROADCAST = 4 << 20
 
@@ -51,11 +52,12 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, c
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """``(key, __parts int)``: keys with more than 1 / HOT of the rows and in how many parts to deal them. Fewer than HOT rows."""
+    """``(key, __parts int)``: keys of more than total / HOT rows, or HOT_ROWS if that is less, but at least total / MOST, and in how many
+    parts of that size to deal them. Fewer than MOST rows."""
     counts = df.groupBy(key).agg(F.count("*").alias("__n"))
-    total = df.agg(F.count("*").alias("__all"))
-    found = counts.join(F.broadcast(total)).where(F.col("__n") * HOT > F.col("__all"))  # one row on the right side
-    return staged(found.select(key, F.ceil(F.col("__n") * HOT / F.col("__all")).cast("int").alias("__parts")))
+    bound = df.agg(F.least(F.count("*") / HOT, F.greatest(F.lit(float(HOT_ROWS)), F.count("*") / MOST)).alias("__bound"))
+    found = counts.join(F.broadcast(bound)).where(F.col("__n") > F.col("__bound"))  # one row on the right side
+    return staged(found.select(key, F.ceil(F.col("__n") / F.col("__bound")).cast("int").alias("__parts")))
 
 
 def salted_join(many: DataFrame, few: DataFrame, key: str, salt: Column, how: str = "inner", weight: Column | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -133,8 +133,9 @@ def with_evidence(docs: DataFrame, model: Model | None, text_col: str = "text",
     return arrow_map(docs, run, StructType([*docs.select(*keep).schema, *StructType.fromDDL("__p double")]))
 
 
-def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """``(__host, __path, __prior)`` from ``(__host, __path, __p)``, and the global mean.
+def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """``(__host, __path, __n, __s, __hn, __hs)`` from ``(__host, __path, __p)``: counts and sums of the path and its host, for left_out(),
+    and the global mean and the prior weights of hosts and paths.
 
     A host's share of good documents is shrunk toward the global mean, a path's toward its host's, by Beta priors whose weights are
     the method-of-moments estimates of how much sites differ. Only grouped sums are moved; the map side adds them up first."""
@@ -153,13 +154,20 @@ def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
 
     kh = weight(hosts, "hn", F.col("hs") / F.col("hn"), F.lit(mean))
     hosts = hosts.withColumn("__h", (F.col("hs") + kh * mean) / (F.col("hn") + kh))
-    both = paths.join(hosts.select("__host", "__h"), "__host")
+    both = paths.join(hosts.select("__host", "__h", "hn", "hs"), "__host")
     kp = weight(both, "n", F.col("s") / F.col("n"), F.col("__h"))
-    return staged(both.select("__host", "__path", ((F.col("s") + kp * F.col("__h")) / (F.col("n") + kp)).alias("__prior"))), mean
+    return staged(both.select("__host", "__path", F.col("n").alias("__n"), F.col("s").alias("__s"), F.col("hn").alias("__hn"), F.col("hs").alias("__hs"))), mean, kh, kp
+
+
+def left_out(p: Column, mean: float, kh: float, kp: float) -> Column:
+    """The posterior of a document's path without the document's own evidence ``p``, which judge() adds by itself. Of a path with
+    no other document it is its host's, of a host with none the global mean."""
+    host = (F.col("__hs") - p + kh * mean) / (F.col("__hn") - 1 + kh)
+    return (F.col("__s") - p + kp * host) / (F.col("__n") - 1 + kp)
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", id_col: str = "doc_id", text_col: str = "text", drop_text: bool = True) -> DataFrame:
-    """The documents (without text, if ``drop_text``) with ``__p``, ``__prior`` (of their path), ``__keep_p`` and ``__keep``.
+    """The documents (without text, if ``drop_text``) with ``__p``, ``__prior`` (of the other documents of their path), ``__keep_p`` and ``__keep``.
 
     The document's log-odds and those of its path against the global mean are added; a document is kept at one half or more,
     just one half included. Without text, texts are read once: what is found is written and then joined with the sites' posteriors,
@@ -175,12 +183,14 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
         judged = evidence = staged(judged)
     else:
         evidence = staged(with_evidence(docs.select(F.col(text_col), *[c.alias(k) for k, c in sites.items()]), model, text_col, True))
-    prior, mean = site_posteriors(evidence.select("__host", "__path", "__p"))
+    sites_, mean, kh, kp = site_posteriors(evidence.select("__host", "__path", "__p"))
     odds = lambda c: F.log(c / (1 - c))
     inside = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
-    prior = staged(prior.select(F.struct("__host", "__path").alias("__site"), "__prior"))
+    sums = ["__n", "__s", "__hn", "__hs"]
+    sites_ = staged(sites_.select(F.struct("__host", "__path").alias("__site"), *sums))
     size = F.octet_length("__site.__host") + F.octet_length("__site.__path")
-    out = salted_join(judged.withColumn("__site", F.struct("__host", "__path")), prior, "__site", F.struct(id_col, "__p"), "left", size)
+    out = salted_join(judged.withColumn("__site", F.struct("__host", "__path")), sites_, "__site", F.struct(id_col, "__p"), "left", size)
+    out = out.withColumn("__prior", left_out(F.col("__p"), mean, kh, kp)).drop(*sums)
     logit = odds(F.least(F.greatest("__p", F.lit(1e-9)), F.lit(1 - 1e-9))) + odds(inside(F.col("__prior"))) - float(np.log(mean / (1 - mean)))
     out = out.withColumn("__keep_p", 1 / (1 + F.exp(-logit))).withColumn("__keep", F.col("__keep_p") >= 0.5)
     return out.drop("__host", "__path", "__site")
