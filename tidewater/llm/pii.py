@@ -66,7 +66,7 @@ SECRET = re.compile(r"(?<![0-9A-Za-z])(?:(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{64}|[0-9a
 #: their signs, those with a trunk 0 (city and number, pairs, or at one go), and ten digits at one go as North America writes them.
 PHONE = re.compile(
     r"(?<![\w+])(?:"
-    r"(?:\+|00)[1-9]\d{0,2}(?:[ ./-]?\(\d{1,5}\))?(?:[ ./-]?\d{1,4}(?!\d)){0,5}?(?:[ ./-]?\d{5,12}|(?:[ ./-]\d{1,4}){2,5})(?![\d-])"
+    r"(?:\+|00)[1-9]\d{0,2}(?:[ ./-]?\(\d{1,5}\))?(?:[ ./-]?\d{1,4}(?!\d)){0,5}?(?:[ ./-]?\d{5,10}|(?:[ ./-]\d{1,4}){2,5})(?![\d-])"
     r"|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}(?:[ .-]\d{2,4}){1,3}(?![\d-])"
     r"|\(0\d{1,5}\)[ ./-]?\d{3,9}(?:[ -]\d{2,5})?(?![\d-])"
     r"|0[1-9]\d{0,1}([ .-])\d\d(?:\1\d\d){3}(?![\d-])"
