@@ -110,3 +110,30 @@ def test_documents(spark, models, monkeypatch):
         monkeypatch.setattr(alignment, "CHUNK_DOCS", size)
         got = alignment.op12_alignment(spark, "/root/testdata/sf0.001")
         assert {(r.doc_id, *(r[c] for c in COLS)) for r in got.collect()} == want
+
+
+def test_counts_come_back_in_a_bare_process():
+    """As in a worker that got Arrow streams and made no array itself: nothing else has loaded pyarrow.compute by chance."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    long, ints = pa.int64(), pa.list_(pa.int32())
+    rows = pa.table({"chunk": pa.array([0, 0], long), "n_a": pa.array([1, None], long), "x": pa.array([[0], [0, 1]], ints), "y": pa.array([[2], [0]], ints), "z": pa.array([None, [1]], ints)})
+    counts = pa.table({"code": pa.array([5], long), "n": pa.array([3], long), "best": [True]})
+    sent = pa.BufferOutputStream()
+    for t in (rows, counts):
+        with pa.ipc.new_stream(sent, t.schema) as out:
+            out.write_table(t)
+    code = """
+import sys
+import pyarrow as pa
+from tidewater.llm.alignment import _counted_back
+
+rows, counts = (pa.ipc.open_stream(sys.stdin.buffer).read_all() for _ in range(2))
+print(_counted_back(rows, counts).select(["n_best", "count_sum"]).to_pylist())
+"""
+    ran = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], input=sent.getvalue().to_pybytes(), capture_output=True)
+    assert ran.stdout.decode().strip() == "[{'n_best': 2, 'count_sum': 6}]", ran.stderr.decode()

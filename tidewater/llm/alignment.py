@@ -11,6 +11,7 @@ from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -273,8 +274,8 @@ def aligned_rows(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_co
 
 def _counted_back(rows: pa.Table, counts: pa.Table) -> pa.Table:
     """A chunk's documents with the sums over their links: of counts, and of links whose count is the greatest of their A id."""
-    pairs = rows.filter(pa.compute.is_valid(rows.column("z")))
-    docs = rows.filter(pa.compute.is_valid(rows.column("n_a")))
+    pairs = rows.filter(pc.is_valid(rows.column("z")))
+    docs = rows.filter(pc.is_valid(rows.column("n_a")))
     best, total = [0] * docs.num_rows, [0] * docs.num_rows
     if pairs.num_rows:
         offsets, place, times = (pairs.column(c).chunk(0)[0].values.to_numpy() for c in "xyz")
