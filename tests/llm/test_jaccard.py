@@ -53,3 +53,22 @@ def test_near_copies_with_a_common_passage(spark):
     x = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(x, groups=jaccard.near_duplicates).collect()} == kept(rows)
     assert simhash.keep_one(x.limit(0), groups=jaccard.near_duplicates).count() == 0
+
+
+def test_the_simhash_grid_alone_links_close_copies(spark, monkeypatch):
+    """The first round is op1's grid over the fingerprints' segment counts, large cells by pairs of parts; without any shingle lists it links
+    copies that differ in a word."""
+    import numpy as np
+    from tidewater.llm import jaccard, simhash
+
+    rng = np.random.default_rng(8)
+    rows, base = [], [f"w{k}" for k in rng.integers(0, 5000, 300)]
+    for i in range(40):
+        text = list(base) if i < 20 else [f"w{k}" for k in rng.integers(0, 5000, 300)]
+        text[10 * (i % 20)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "ROUNDS", ())
+    for cell in (simhash.CELL, 4):
+        monkeypatch.setattr(simhash, "CELL", cell)
+        assert {r.doc_id for r in simhash.keep_one(x, groups=jaccard.near_duplicates).collect()} == kept(rows) == {0, *range(20, 40)}

@@ -114,23 +114,28 @@ def _forest(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
     return fp[at], fp[root[at]]
 
 
+def grid(rows: DataFrame, fp: str = "fp") -> DataFrame:
+    """The rows with ``cell``, once for each cell of the 15 grids that their distinct fingerprints lie in. A cell fixes the counts of two
+    of six blocks of segments; one of more than CELL rows is dealt over parts, and each pair of parts is a cell of its own."""
+    cols = rows.columns
+    c = counts(F.col(fp))
+    masks = [sum(((1 << BLOCKS[k + 1]) - (1 << BLOCKS[k])) for k in pair) for pair in combinations(range(6), len(BLOCKS) - 1 - RADIUS)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    rows = rows.select(*cols, F.explode(F.array(*[F.xxhash64(F.lit(i), c.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("cell"))
+    large = staged(rows.groupBy("cell").agg(F.count("*").alias("__n")).where(F.col("__n") > CELL))
+    parts = F.ceil(F.col("__n") / (CELL // 2)).cast("int")
+    rows = rows.join(large, "cell", "left")
+    own = F.pmod(F.xxhash64(fp), parts)
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.xxhash64("cell", F.least(j, own), F.greatest(j, own)))
+    return rows.select(*cols, F.explode(F.when(F.col("__n").isNull(), F.array("cell")).otherwise(pairs)).alias("cell"))
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges ``(src, dst)`` between distinct fingerprints ``(fp)`` whose components are those of all links of at most
     ``radius`` = 4 bits. Range join on grids over the segments' bit counts: a Manhattan distance of four can touch four of six
     blocks of segments at most, so in at least one of the 15 grids that are spanned by two blocks both fingerprints lie in the same
     cell of width one, and neighbouring cells need not be looked at. Cells are searched whole, by the distance of the counts
     first, then by the bits; very large ones by pairs of parts. Within a cell a spanning forest is given, not all pairs."""
-    c = counts(F.col("fp"))
-    masks = [sum(((1 << BLOCKS[k + 1]) - (1 << BLOCKS[k])) for k in pair) for pair in combinations(range(6), len(BLOCKS) - 1 - radius)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    rows = distinct.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), c.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("cell"))
-    large = staged(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL))
-    parts = F.ceil(F.col("n") / (CELL // 2)).cast("int")
-    rows = rows.join(large, "cell", "left")
-    own = F.pmod(F.xxhash64("fp"), parts)
-    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.xxhash64("cell", F.least(j, own), F.greatest(j, own)))
-    rows = rows.select("fp", F.explode(F.when(F.col("n").isNull(), F.array("cell")).otherwise(pairs)).alias("cell"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         def out(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -148,7 +153,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         if kept:
             yield out(*kept[0])
 
-    return rows.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(run, "src long, dst long").distinct()
+    return grid(distinct.select("fp")).repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(run, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
