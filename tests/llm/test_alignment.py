@@ -137,3 +137,58 @@ print(_counted_back(rows, counts).select(["n_best", "count_sum"]).to_pylist())
 """
     ran = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], input=sent.getvalue().to_pybytes(), capture_output=True)
     assert ran.stdout.decode().strip() == "[{'n_best': 2, 'count_sum': 6}]", ran.stderr.decode()
+
+
+def test_next_task_aligns_what_is_new(spark, monkeypatch):
+    """Two tasks of one worker: the models are read once, and B gets each different unit once."""
+    import pyarrow as pa
+    import sentencepiece
+
+    read, asked, model = [], [], sentencepiece.SentencePieceProcessor
+
+    class Counted(model):
+        def __init__(self, *args, **kwargs):
+            read.append(1)
+            super().__init__(*args, **kwargs)
+
+        def encode(self, texts, *args, **kwargs):
+            asked.extend(texts)
+            return super().encode(texts, *args, **kwargs)
+
+    if hasattr(alignment, "aligner"):
+        alignment.aligner.cache_clear()
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Counted)
+    monkeypatch.setattr(alignment, "arrow_map", lambda docs, run, schema: run)
+    monkeypatch.setattr(alignment, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+    task = alignment.aligned_rows(spark.createDataFrame([], "doc_id long, text string"), A, B, "doc_id", "text", False)
+    said = []
+    for texts in (["early words, then others", "early words"], ["words, then late others", "early late"]):
+        rows = task(iter([pa.RecordBatch.from_pydict({"__id": pa.array([1, 2], pa.int64()), "__text": texts})]))
+        said.append([h for b in rows for h in b.column("groups_sha256").to_pylist() if h is not None])
+    assert len(read) == 1
+    assert sorted(asked) == sorted({"early", "words", "then", "others", "late"})
+    alignment.aligner.cache_clear()
+    again = alignment.Aligner(A, B)
+    assert said[1] == [hashlib.sha256(again.whole(t)[0].encode()).hexdigest() for t in ("words, then late others", "early late")]
+
+
+def test_forgetting(monkeypatch):
+    aligner, fresh = alignment.Aligner(A, B), alignment.Aligner(A, B)
+    monkeypatch.setattr(alignment, "REMEMBERED", 40)
+    first, later = ["often", "naïve,", "\nline", "x" * 90, *(f"unit{i}" for i in range(60))], [*(f"other{i}." for i in range(30)), "late!"]
+    aligner.records(first)
+    aligner.uses.all[aligner.numbers(["often", "naïve,", "\nline", "x" * 90])] += 9
+    aligner.forget()
+    assert {"often", "naïve,", "\nline", "unit59"} <= aligner.index.keys() and not {"unit0", "x" * 90} & aligner.index.keys()
+    assert aligner.nums.n == aligner.fixed + 20
+    assert aligner.records(first + later) == fresh.records(first + later)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from(["a", "é", "語", " ", "\n", "\t", ".", "\x85", "\x00"]), max_size=8).map("".join), max_size=6), st.integers(0, 3))
+def test_parted(texts, before):
+    import pyarrow as pa
+
+    names, places, sizes = alignment.parted(pa.array(texts, pa.string())[before:])
+    assert [names[i].as_py() for i in places.tolist()] == [u for t in texts[before:] if t for u in alignment.units(t)]
+    assert sizes.tolist() == [len(alignment.units(t)) if t else 0 for t in texts[before:]]

@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain, count, islice
+from functools import lru_cache
+from itertools import chain, compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import arrow_map, staged, unstage
-from tidewater.llm.tokens import RUNS, WordTokenizer, _byte_letters
+from tidewater.llm.tokens import RUNS, SPACES, WordTokenizer, _byte_letters
 
-#: Units that a worker remembers at most (some 400 bytes each), in two generations, and the longest that is remembered.
-REMEMBERED, LONGEST = 700_000, 64
-#: A chunk of documents, which is closed when it has so many of them or so many units: what one task holds when counts come back.
+#: Units that a worker remembers at most between chunks (some 300 bytes each), and the longest that is remembered.
+REMEMBERED, LONGEST = 500_000, 64
+#: A chunk has at most so many documents and, if it is of more than one batch, so many units: what one task holds when counts come back.
 CHUNK_DOCS, CHUNK_UNITS = 4096, 1 << 20
 #: Both tokenizers end a token before a single space that something but white space follows, and around such a line end.
 CUT = re.compile(r"(?<! ) (?=[^\s\u180e])|(?<=[^\s\u180e])\n(?=[^\s\u180e])")
-ONE = np.int64(1).tobytes()
+#: Words that the pre-tokenizers leave whole, see tokens.CLASS.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Texts for units(): all others are parted at single spaces and line ends.
+ODD = f"\\A[ \n]|[ \n]\\z|[ \n][ \n]|[{SPACES}]"
 ROWS = "chunk long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, x array<int>, y array<int>, z array<int>, code long, docs long"
 
 
@@ -61,11 +64,35 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
+class _Growing:
+    """A numpy array with room for more rows."""
+
+    def __init__(self, kind: type, *width: int) -> None:
+        self.room, self.n = np.empty((1024, *width), kind), 0
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+    def add(self, new: np.ndarray) -> None:
+        end = self.n + len(new)
+        if end > len(self.room):
+            room = np.empty((max(end, len(self.room) * 3 // 2), *self.room.shape[1:]), self.room.dtype)
+            room[: self.n] = self.all
+            self.room = room
+        self.room[self.n : end] = new
+        self.n = end
+
+    def set(self, rows: np.ndarray) -> None:
+        self.room, self.n = rows.copy(), len(rows)
+
+
 class Aligner:
     """Aligns a byte-level vocabulary of the ``tokenizers`` library (A) with a model of ``sentencepiece`` (B), each different unit once.
 
-    A record is ``(groups as text, n_a, n_b, n_groups, n_links, codes, times)``: the distinct linked pairs as a * 2^32 + b and how often
-    each is linked (empty: once), as bytes; None if the tokens' bytes aren't those of the text."""
+    A unit has a number, by which columns hold what is known of it: ``nums`` (n_a, n_b, n_groups, n_links), ``said`` (its groups as
+    text, a semicolon after each), ``codes`` (the distinct linked pairs as a * 2^32 + b) and ``times`` (how often each is linked).
+    Number 0 are all units whose tokens' bytes aren't those of the text. A number holds until ``forget()``."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
@@ -78,30 +105,51 @@ class Aligner:
         self.bytes_b = [piece(i) for i in range(self.b.vocab_size())]
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in all_], np.int64) for all_ in (self.bytes_a, self.bytes_b))
         # each id as text with what follows it: within a group, and at its side's end
-        self.said = [np.array([f"{i}{sign}" for i in range(n)], object) for n, sign in ((len(names), ","), (len(names), "|"), (len(self.bytes_b), ","), (len(self.bytes_b), ";"))]
-        self.seen, self.old = {}, {}
+        self.spoken = pa.array([f"{i}{sign}".encode() for n, signs in ((len(names), ",|"), (len(self.bytes_b), ",;")) for i in range(n) for sign in signs], pa.large_binary())
+        self.index: dict[str, int] = {}
+        self.nums, self.said, self.codes, self.times = _Growing(np.int64, 4), _Growing(np.uint8), _Growing(np.int64), _Growing(np.int32)
+        self.said_at, self.codes_at, self.uses = _Growing(np.int64), _Growing(np.int64), _Growing(np.int32)
+        for at in (self.said_at, self.codes_at):
+            at.add(np.zeros(1, np.int64))
+        self._add(np.zeros((1, 4), np.int64), np.zeros(0, np.uint8), [0], np.zeros(0, np.int64), np.zeros(0, np.int32), [0])
         # signs that no piece of B joins to a letter before them: after a plain word they are a token of their own in both
         joined = {y for i in range(len(self.bytes_b)) if not self.b.is_byte(i) for x, y in zip(self.b.id_to_piece(i), self.b.id_to_piece(i)[1:]) if x.isalpha()}
         self.signs = {}
-        for c in set(".,;:?!") - joined:
+        for c in sorted(set(".,;:?!") - joined):
             a, b = self.a.whole.encode(c, add_special_tokens=False).ids, self.b.piece_to_id(c)
             if len(a) == 1 and self.bytes_a[a[0]] == self.bytes_b[b] == c.encode():
-                self.signs[c] = (f";{a[0]}|{b}", np.int64(a[0] << 32 | b).tobytes())
-
-    def _with_sign(self, unit: str, word: tuple | None) -> tuple | None:
-        """A plain word's record with the sign that follows it."""
-        if word is None:
-            return None
-        said, code = self.signs[unit[-1]]
-        return word[0] + said, word[1] + 1, word[2] + 1, word[3] + 1, word[4] + 1, word[5] + code, word[6] and word[6] + ONE
+                self.signs[c] = int(self.aligned([c.encode()], [array("I", a).tobytes()], [[b]])[0])
+        self.fixed = self.nums.n
+
+    def _add(self, nums: np.ndarray, said: np.ndarray, said_sizes, codes: np.ndarray, times: np.ndarray, codes_sizes) -> np.ndarray:
+        """Appends to the columns; the new numbers."""
+        own = np.arange(self.nums.n, self.nums.n + len(nums))
+        for at, sizes in ((self.said_at, said_sizes), (self.codes_at, codes_sizes)):
+            at.add(at.all[-1] + np.cumsum(sizes))
+        for column, new in ((self.said, said), (self.codes, codes), (self.times, times), (self.uses, np.zeros(len(nums), np.int32)), (self.nums, nums)):
+            column.add(new)
+        return own
+
+    def _joined(self, first: np.ndarray, then: np.ndarray) -> np.ndarray:
+        """Numbers of units that are one unit and another one after it, which have no pair in common."""
+        sizes, columns = [], []
+        for at, of in ((self.said_at.all, (self.said,)), (self.codes_at.all, (self.codes, self.times))):
+            both = np.stack([first, then], 1).ravel()
+            size = at[both + 1] - at[both]
+            places = _ranges(at[both], size)
+            sizes.append(size.reshape(-1, 2).sum(1))
+            columns.append([column.all[places] for column in of])
+        return self._add(self.nums.all[first] + self.nums.all[then], columns[0][0], sizes[0], *columns[1], sizes[1])
 
     def _ids_a(self, unit: str) -> bytes:
+        if LETTERS.fullmatch(unit):  # most units: nothing to part
+            return self.a._model("Ġ" + (unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.a.letters)))
         if "\x00" in unit or unit[0] == " ":
             return array("I", self.a.whole.encode(spelled(unit), add_special_tokens=False).ids).tobytes()
         return self.a._ids("\n\x00" + unit[1:] if unit[0] == "\n" else unit)
 
-    def aligned(self, texts: list[bytes], ids_a: list[bytes], ids_b: list[list[int]]) -> list[tuple | None]:
-        """Records of texts with their ids (A's as bytes of 32-bit numbers), all in one go."""
+    def aligned(self, texts: list[bytes], ids_a: list[bytes], ids_b: list[list[int]]) -> np.ndarray:
+        """Numbers of texts with their ids (A's as bytes of 32-bit numbers), all in one go."""
         n_a, n_b = np.array([len(i) // 4 for i in ids_a]), np.array([len(i) for i in ids_b])
         a, b = np.frombuffer(b"".join(ids_a), "<u4").astype(np.int64), np.fromiter(chain.from_iterable(ids_b), np.int64, n_b.sum())
         from_a, from_b = _starts(n_a), _starts(n_b)
@@ -111,136 +159,210 @@ class Aligner:
         whole = b"".join(texts)
         if not good.all() or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != whole or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != whole:
             own = lambda u, ids, at, table: b"".join(map(table.__getitem__, ids[at[u] : at[u + 1]].tolist()))
-            good = [g and own(u, a, from_a, self.bytes_a) == t and own(u, b, from_b, self.bytes_b) == t for u, (t, g) in enumerate(zip(texts, good))]
-            right = [u for u, g in enumerate(good) if g]
-            out: list[tuple | None] = [None] * len(texts)
+            right = [u for u, (t, g) in enumerate(zip(texts, good)) if g and own(u, a, from_a, self.bytes_a) == t and own(u, b, from_b, self.bytes_b) == t]
+            out = np.zeros(len(texts), np.int64)
             if right:
-                for u, r in zip(right, self.aligned(*([x[u] for u in right] for x in (texts, ids_a, ids_b)))):
-                    out[u] = r
+                out[right] = self.aligned(*([x[u] for u in right] for x in (texts, ids_a, ids_b)))
             return out
         to_a, to_b = common_ends(np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b]))
         groups_a, groups_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
         until = np.searchsorted(to_a, from_a[1:], side="left") + 1  # groups up to each text's end
-        n_groups = np.diff(until, prepend=0)
-        pieces = np.empty(len(a) + len(b), object)
-        place_a = np.arange(len(a)) + np.repeat(to_b - groups_b, groups_a)
-        place_b = np.arange(len(b)) + np.repeat(to_a, groups_b)
+        # groups as text: a group's A ids and its B ids, each as it is spoken
         last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
         last_a[to_a - 1] = last_b[to_b - 1] = True
-        pieces[place_a] = np.where(last_a, self.said[1][a], self.said[0][a])
-        pieces[place_b] = np.where(last_b, self.said[3][b], self.said[2][b])
-        pieces = pieces.tolist()
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(to_b - groups_b, groups_a)] = 2 * a + last_a
+        order[np.arange(len(b)) + np.repeat(to_a, groups_b)] = 2 * (len(self.bytes_a) + b) + last_b
+        said, ends = _taken(self.spoken, order)
         # links: each A token of a group with each B token of it
         per_a = np.repeat(groups_b, groups_a)
-        codes = np.repeat(a << 32, per_a) | b[_ranges(np.repeat(to_b - groups_b, groups_a), per_a)]
         links = np.diff(_starts(groups_a * groups_b)[np.concatenate([[0], until])])
-        unit = np.repeat(np.arange(len(texts)), links)
-        order = np.lexsort((codes, unit))
-        codes, unit = codes[order], unit[order]
-        first = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (unit[1:] != unit[:-1])))
-        times = np.diff(np.append(first, len(codes)))
-        cut = np.searchsorted(unit[first], np.arange(len(texts) + 1))
-        often = np.maximum.reduceat(times, cut[:-1]) > 1
-        codes, times = codes[first].astype(np.int64), times.astype(np.int64)
-        at = (from_a + from_b).tolist()
-        numbers = zip(*(x.tolist() for x in (n_a, n_b, n_groups, links)))
-        return [("".join(pieces[i:j])[:-1], *four, codes[x:y].tobytes(), times[x:y].tobytes() if o else b"") for i, j, x, y, o, four in zip(at, at[1:], cut.tolist(), cut[1:].tolist(), often.tolist(), numbers)]
+        bits_a, bits_b = len(self.bytes_a).bit_length(), len(self.bytes_b).bit_length()
+        keys = np.repeat(np.arange(len(texts)), links) << bits_a  # unit, A's and B's id in one number
+        keys = np.sort((keys | np.repeat(a, per_a)) << bits_b | b[_ranges(np.repeat(to_b - groups_b, groups_a), per_a)])
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        times, keys = np.diff(np.append(first, len(keys))), keys[first]
+        codes = (keys >> bits_b & (1 << bits_a) - 1) << 32 | keys & (1 << bits_b) - 1
+        nums = np.stack([n_a, n_b, np.diff(until, prepend=0), links], 1)
+        return self._add(nums, said, np.diff(ends[from_a + from_b]), codes, times, np.bincount(keys >> bits_a + bits_b, minlength=len(texts)))
+
+    def numbers(self, wanted: list[str]) -> np.ndarray:
+        """Numbers of different units; those that aren't remembered are aligned together."""
+        index, signs = self.index, self.signs
+        new = [u for u, i in zip(wanted, map(index.get, wanted)) if i is None]
+        if new:
+            signed = [u for u in new if u[-1] in signs and u[:-1].isalpha()]
+            if signed:
+                own, words = set(signed), dict.fromkeys([u[:-1] for u in signed])
+                new = [*dict.fromkeys([*(u for u in new if u not in own), *(w for w in words if w not in index)])]
+            if new:
+                # B sets a space before what it gets: of a unit that begins with a line end it comes off again
+                ids_b = self.b.encode([u[1:] if u[0] == " " else u for u in new], num_threads=1)
+                ids_b = [i if u[0] != "\n" else i[1:] if i and self.bytes_b[i[0]] == b" " else [] for u, i in zip(new, ids_b)]
+                own = self.aligned([spelled(u).encode() for u in new], list(map(self._ids_a, new)), ids_b)
+                index.update(zip(new, own.tolist()))
+            if signed:
+                words = np.array([index[u[:-1]] for u in signed])
+                own = np.zeros(len(signed), np.int64)
+                own[words > 0] = self._joined(words[words > 0], np.array([signs[u[-1]] for u in signed])[words > 0])
+                index.update(zip(signed, own.tolist()))
+        return np.fromiter(map(index.__getitem__, wanted), np.int64, len(wanted))
+
+    def number_of_whole(self, text: str) -> int:
+        """A text's number without cutting it."""
+        ids = array("I", self.a.whole.encode(" " + text, add_special_tokens=False).ids).tobytes()
+        return int(self.aligned([b" " + text.encode()], [ids], [self.b.encode(text)])[0])
+
+    def spoken_units(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The groups of units as text, one after the other, and where each begins and the last one ends."""
+        said, at = pa.py_buffer(self.said.all), pa.py_buffer(self.said_at.all)
+        return _taken(pa.Array.from_buffers(pa.large_binary(), self.nums.n, [None, at, said]), numbers)
+
+    def _record(self, number: int) -> tuple | None:
+        said, _ = self.spoken_units(np.array([number]))
+        return (said.tobytes()[:-1].decode(), *self.nums.all[number].tolist()) if number else None
 
     def records(self, wanted: Iterable[str]) -> dict[str, tuple | None]:
-        """Records of units; those that aren't remembered are aligned together."""
-        seen, old, signs = self.seen, self.old, self.signs
-        found = {u: seen.get(u) or old.get(u) for u in wanted}
-        new = [u for u, r in found.items() if r is None]
-        signed = [u for u in new if u[-1] in signs and u[:-1].isalpha()]
-        if signed:
-            words = dict.fromkeys([u[:-1] for u in signed])
-            found.update((w, seen.get(w) or old.get(w)) for w in words if w not in found)
-            new = [u for u, r in found.items() if r is None and not (u[-1] in signs and u[:-1].isalpha())]
-        if new:
-            # B sets a space before what it gets: of a unit that begins with a line end it comes off again
-            ids_b = self.b.encode([u[1:] if u[0] == " " else u for u in new], num_threads=1)
-            ids_b = [i if u[0] != "\n" else i[1:] if i and self.bytes_b[i[0]] == b" " else [] for u, i in zip(new, ids_b)]
-            found.update(zip(new, self.aligned([spelled(u).encode() for u in new], list(map(self._ids_a, new)), ids_b)))
-        found.update([(u, self._with_sign(u, found[u[:-1]])) for u in signed])
-        seen.update([(u, r) for u, r in found.items() if u not in seen and len(u) <= LONGEST])
-        if len(seen) > REMEMBERED // 2:
-            self.old, self.seen = seen, {}
-        if len(self.a.seen) > REMEMBERED // 4:
-            self.a.seen, self.a.old = {"": b""}, {}
-        return found
+        """``(groups as text, n_a, n_b, n_groups, n_links)`` of units, None for those whose tokens' bytes aren't theirs."""
+        wanted = list(dict.fromkeys(wanted))
+        return {u: self._record(i) for u, i in zip(wanted, self.numbers(wanted).tolist())}
 
     def whole(self, text: str) -> tuple | None:
         """A text's record without cutting it."""
-        ids = array("I", self.a.whole.encode(" " + text, add_special_tokens=False).ids).tobytes()
-        return self.aligned([b" " + text.encode()], [ids], [self.b.encode(text)])[0]
+        return self._record(self.number_of_whole(text))
+
+    def forget(self) -> None:
+        """If there are too many units or too much text of theirs, keeps half of them, those that most chunks used, the newest first."""
+        if self.nums.n <= REMEMBERED and self.said.n <= 64 * REMEMBERED:
+            return
+        names, own = list(self.index), np.fromiter(self.index.values(), np.int64, len(self.index))
+        named = np.zeros(self.nums.n, bool)
+        named[own] = [len(u) <= LONGEST for u in names]
+        named[: self.fixed] = False
+        kept = np.flatnonzero(named)
+        kept = kept[np.sort(np.argsort(self.uses.all[kept], kind="stable")[-min(self.nums.n, REMEMBERED) // 2 :])]
+        kept = np.concatenate([np.arange(self.fixed), kept])
+        renumbered = np.zeros(self.nums.n, np.int64)
+        renumbered[kept] = np.arange(len(kept))
+        numbers = renumbered[own]
+        self.index = dict(zip(compress(names, numbers > 0), numbers[numbers > 0].tolist()))
+        said, said_at = self.spoken_units(kept)
+        sizes = np.diff(self.codes_at.all)[kept]
+        places = _ranges(self.codes_at.all[kept], sizes)
+        self.said.set(said)
+        self.said_at.set(said_at)
+        self.codes.set(self.codes.all[places])
+        self.times.set(self.times.all[places])
+        self.codes_at.set(_starts(sizes))
+        self.nums.set(self.nums.all[kept])
+        self.uses.set(self.uses.all[kept] // 2)
+        self.a.seen, self.a.old = {"": b""}, {}
+
+
+@lru_cache(maxsize=1)
+def aligner(path_a: str, path_b: str) -> Aligner:
+    """A worker's own, which its next tasks find with what it remembers."""
+    return Aligner(path_a, path_b)
+
+
+def _taken(table: pa.LargeBinaryArray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a table one after the other, and where each begins and the last one ends."""
+    if not len(places):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, at, data = table.take(pa.array(places)).buffers()
+    at = np.frombuffer(at, np.int64)[: len(places) + 1]
+    return np.frombuffer(data or b"", np.uint8)[: at[-1]], at
+
+
+def parted(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Units of texts, see units(): the different ones, and all of them as places among these, and how many each text has."""
+    odd = pc.fill_null(pc.match_substring_regex(texts, ODD), False)
+    plain = pc.fill_null(pc.and_(pc.invert(odd), pc.not_equal(texts, "")), False)
+    lists = pc.split_pattern(pc.replace_substring(texts.filter(plain), "\n", " \n"), " ")
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[plain.to_numpy(zero_copy_only=False)] = pc.list_value_length(lists).to_numpy()
+    flat = lists.flatten()
+    if pc.any(odd).as_py():
+        at, pieces, done = _starts(sizes), [], 0
+        for i in pc.indices_nonzero(odd).to_pylist():
+            own = units(texts[i].as_py())
+            pieces += [flat[done : at[i]], pa.array(own, flat.type)]
+            done, sizes[i] = at[i], len(own)
+        flat = pa.concat_arrays([*pieces, flat[done:]])
+    flat = flat.dictionary_encode()
+    return flat.dictionary, flat.indices.to_numpy(), sizes
 
 
 class _Chunk:
     """Documents whose units are counted together."""
 
-    def __init__(self, number: int, with_groups: bool) -> None:
-        self.number, self.with_groups, self.occurrences = number, with_groups, 0
-        self.index = defaultdict(count().__next__)
-        self.records: list[tuple] = []
-        self.ids, self.docs = [], []
-
-    def add(self, own_id, keys: list[str], found: dict[str, tuple]) -> None:
-        """One document: its id, its units and their records."""
-        at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
-        new = [*islice(reversed(self.index), len(self.index) - len(self.records))]  # a dictionary keeps its order
-        self.records.extend(found[k] for k in reversed(new))
-        said = ";".join([found[k][0] for k in keys])
-        unit, times = np.unique(at, return_counts=True)
-        self.ids.append(own_id)
-        self.docs.append((unit, times, hashlib.sha256(said.encode()).hexdigest() if keys else "", said if self.with_groups else None))
-        self.occurrences += len(keys)
-
-    def full(self) -> bool:
-        return len(self.docs) >= CHUNK_DOCS or self.occurrences >= CHUNK_UNITS
-
-    def batches(self, id_type: pa.DataType, id_col: str) -> Iterator[pa.RecordBatch]:
+    def __init__(self, number: int, model: Aligner, with_groups: bool) -> None:
+        self.number, self.model, self.with_groups, self.n = number, model, with_groups, 0
+        self.ids, self.units, self.sizes, self.hashes, self.groups = [], [], [], [], []
+
+    def add(self, ids: pa.Array, units: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents: their ids, the numbers of their units, how many each has."""
+        said, at = self.model.spoken_units(units)
+        said, cut = memoryview(said), at[_starts(sizes)].tolist()
+        said = [said[i : max(i, j - 1)] for i, j in zip(cut, cut[1:])]
+        self.hashes += [hashlib.sha256(own).hexdigest() if len(own) else "" for own in said]
+        self.groups += [bytes(own).decode() if self.with_groups else None for own in said]
+        self.ids.append(ids)
+        self.units.append(units)
+        self.sizes.append(sizes)
+        self.n += len(units)
+
+    def batches(self, id_col: str) -> Iterator[pa.RecordBatch]:
         """The documents (their units in x, how often in y), one row of the units' pairs (offsets in x, places among the chunk's
         sorted codes in y, times in z) and the codes with the chunk's number of documents that link them."""
-        nums = np.array([r[1:5] for r in self.records], np.int64).reshape(-1, 4)
-        codes = np.frombuffer(b"".join(r[5] for r in self.records), np.int64)
-        sizes = np.array([len(r[5]) // 8 for r in self.records], np.int64)
-        offsets = _starts(sizes)
-        times = np.ones(len(codes), np.int64)
-        for i, r in enumerate(self.records):
-            if r[6]:
-                times[offsets[i] : offsets[i + 1]] = np.frombuffer(r[6], np.int64)
+        model, sizes = self.model, np.concatenate(self.sizes)
+        unit = np.concatenate(self.units)
+        used = np.zeros(model.nums.n, bool)
+        used[unit] = True
+        numbers = np.flatnonzero(used)  # a number for each of the chunk's units
+        model.uses.all[numbers] += 1
+        keys = np.sort(np.repeat(np.arange(len(sizes)), sizes) * len(numbers) + (np.cumsum(used) - 1)[unit])
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
+        often, keys = np.diff(np.append(first, len(keys))), keys[first]
+        doc, unit = np.divmod(keys, max(len(numbers), 1))
+        ends = _starts(np.bincount(doc, minlength=len(sizes)))
+        nums, starts, sizes = model.nums.all[numbers], model.codes_at.all[numbers], np.diff(model.codes_at.all)[numbers]
+        places = _ranges(starts, sizes)
+        offsets, codes, times = _starts(sizes), model.codes.all[places], model.times.all[places]
         own, place = np.unique(codes, return_inverse=True)
         held, mark = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-        ends = _starts(np.array([len(d[0]) for d in self.docs], np.int64))
-        unit, often = (np.concatenate([d[k] for d in self.docs]) for k in (0, 1))
         sums = np.diff(np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(nums[unit] * often[:, None], axis=0)])[ends], axis=0)
-        at = place[_ranges(offsets[unit], sizes[unit])]
-        cut = _starts(sizes[unit])[ends].tolist()
-        for i, j in zip(cut, cut[1:]):  # a document counts once for a pair
-            pairs, numbers = at[i:j], np.arange(j - i)
-            mark[pairs] = numbers
-            held[pairs[mark[pairs] == numbers]] += 1
+        for i in range(0, len(self.hashes), 256):
+            to = ends[i : i + 257]
+            part = unit[to[0] : to[-1]]
+            at = place[_ranges(offsets[part], sizes[part])]
+            cut = _starts(sizes[part])[to - to[0]].tolist()
+            for x, y in zip(cut, cut[1:]):  # a document counts once for a pair
+                pairs, ranks = at[x:y], np.arange(y - x)
+                mark[pairs] = ranks
+                held[pairs[mark[pairs] == ranks]] += 1
+        ids = pa.concat_arrays(self.ids)
         names = [id_col, *(f.split()[0] for f in ROWS.split(", "))]
-        kinds = [id_type, *[pa.int64()] * 5, pa.string(), pa.string(), *[pa.list_(pa.int32())] * 3, pa.int64(), pa.int64()]
+        kinds = [ids.type, *[pa.int64()] * 5, pa.string(), pa.string(), *[pa.list_(pa.int32())] * 3, pa.int64(), pa.int64()]
 
         def rows(n: int, **cols) -> pa.RecordBatch:
             chunk = pa.array(np.full(n, self.number, np.int64))
             return pa.RecordBatch.from_arrays([chunk if c == "chunk" else cols[c].cast(k) if c in cols else pa.nulls(n, k) for c, k in zip(names, kinds)], names)
 
-        for i in range(0, len(self.docs), 256):
-            part = self.docs[i : i + 256]
-            columns = {c: pa.array(sums[i : i + 256, j]) for j, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
-            yield rows(len(part), **{id_col: pa.array(self.ids[i : i + 256], id_type)}, **columns, groups_sha256=pa.array([d[2] for d in part]), groups=pa.array([d[3] for d in part], pa.string()), x=_lists([d[0] for d in part]), y=_lists([d[1] for d in part]))
+        for i in range(0, len(ids), 256):
+            j = min(i + 256, len(ids))
+            columns = {c: pa.array(sums[i:j, k]) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
+            yield rows(j - i, **{id_col: ids[i:j]}, **columns, groups_sha256=pa.array(self.hashes[i:j]), groups=pa.array(self.groups[i:j], pa.string()), x=_lists(unit, ends[i : j + 1]), y=_lists(often, ends[i : j + 1]))
         if len(own):
-            yield rows(1, x=_lists([offsets]), y=_lists([place]), z=_lists([times]))
+            yield rows(1, x=_lists(offsets), y=_lists(place), z=_lists(times))
         for i in range(0, len(own), 1 << 16):
             yield rows(len(own[i : i + (1 << 16)]), code=pa.array(own[i : i + (1 << 16)]), docs=pa.array(held[i : i + (1 << 16)]))
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    flat = np.concatenate(arrays).astype(np.int32) if arrays else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+def _lists(flat: np.ndarray, ends: np.ndarray | None = None) -> pa.Array:
+    """Lists that end at places of a flat array, without ends all of it as one list."""
+    ends = np.array([0, len(flat)]) if ends is None else ends
+    return pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(flat[ends[0] : ends[-1]].astype(np.int32)))
 
 
 def aligned_rows(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str, with_groups: bool) -> DataFrame:
@@ -249,25 +371,36 @@ def aligned_rows(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_co
     kind = docs.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, numbers, chunk, id_type = Aligner(path_a, path_b), count(TaskContext.get().partitionId() << 32), None, None
+        model, numbers, chunk = aligner(path_a, path_b), count(TaskContext.get().partitionId() << 32), None
         for b in batches:
-            id_type = b.schema.field("__id").type
-            texts = b.column("__text").to_pylist()
-            keys = [units(t) if t else [] for t in texts]
-            found = model.records(dict.fromkeys(k for own in keys for k in own))
-            for own_id, text, own in zip(b.column("__id").to_pylist(), texts, keys):
-                if own and None in map(found.__getitem__, own):  # the whole text decides
-                    whole, own = model.whole(text), []
-                    if whole:
-                        own = ["\x00" + text]
-                        found[own[0]] = whole
-                chunk = chunk or _Chunk(next(numbers), with_groups)
-                chunk.add(own_id, own, found)
-                if chunk.full():
-                    yield from chunk.batches(id_type, id_col)
+            while b.num_rows:
+                part = b[: CHUNK_DOCS - len(chunk.hashes) if chunk else CHUNK_DOCS]
+                b = b[part.num_rows :]
+                texts = part.column("__text")
+                names, places, sizes = parted(texts)
+                if chunk and chunk.n + len(places) > CHUNK_UNITS:
+                    yield from chunk.batches(id_col)
+                    chunk = None
+                    model.forget()
+                own = model.numbers(names.to_pylist())[places]
+                if not own.all():  # where a unit's bytes differ, the whole text decides
+                    cut, parts = _starts(sizes), []
+                    for i, text in enumerate(texts):
+                        at = own[cut[i] : cut[i + 1]]
+                        if not at.all():
+                            at = np.array([n for n in [model.number_of_whole(text.as_py())] if n], np.int64)
+                            sizes[i] = len(at)
+                        parts.append(at)
+                    own = np.concatenate(parts)
+                chunk = chunk or _Chunk(next(numbers), model, with_groups)
+                chunk.add(part.column("__id"), own, sizes)
+                if len(chunk.hashes) >= CHUNK_DOCS:
+                    yield from chunk.batches(id_col)
                     chunk = None
+                    model.forget()
         if chunk:
-            yield from chunk.batches(id_type, id_col)
+            yield from chunk.batches(id_col)
+            model.forget()
 
     return arrow_map(docs, run, f"`{id_col}` {kind}, {ROWS}")
 
@@ -307,7 +440,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
     Null and empty texts, and texts whose tokens spell other bytes, have no tokens: zeros and an empty string. Repeated rows
     count as often as they stand, ids may be null, an empty table gives empty ones; other columns are ignored. Texts may be of any
-    length: a long one closes its chunk.
+    length: a long one has its own chunk or shares it with its batch.
 
     Every different piece of text between places where both tokenizers split is aligned once a worker. Documents stay in their
     chunk, whose distinct pairs go out to be counted and come back with their counts; what is shuffled are a chunk's
