@@ -72,3 +72,32 @@ def test_the_simhash_grid_alone_links_close_copies(spark, monkeypatch):
     for cell in (simhash.CELL, 4):
         monkeypatch.setattr(simhash, "CELL", cell)
         assert {r.doc_id for r in simhash.keep_one(x, groups=jaccard.near_duplicates).collect()} == kept(rows) == {0, *range(20, 40)}
+
+
+def test_similar_sets_with_distant_fingerprints_are_joined(spark):
+    """Eight words and the same with a ninth share four of five shingles; of some such pairs the fingerprints differ in more than RADIUS bits."""
+    import numpy as np
+    from tidewater.llm import jaccard, simhash
+
+    rng, rows = np.random.default_rng(3), []
+    while len(rows) < 6:
+        words = [f"w{k}" for k in rng.integers(0, 10**6, 9)]
+        a, b = (jaccard.fingerprint(jaccard.shingles(" ".join(w).encode())) for w in (words[:8], words))
+        if sum((x ^ y).bit_count() for x, y in zip(a, b)) > jaccard.RADIUS:
+            rows += [(len(rows), " ".join(words[:8])), (len(rows) + 1, " ".join(words))]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(x, groups=jaccard.near_duplicates).collect()} == kept(rows) == {0, 2, 4}
+
+
+def test_wide_maps_drop_no_similar_pair_of_large_sets(spark):
+    import numpy as np
+    from tidewater.llm import jaccard
+
+    rng = np.random.default_rng(4)
+    for n in (600, 1500, 5000):
+        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        other = np.unique(np.concatenate([s[: -(n // 9)], rng.integers(0, 2**63, n // 9 - 2).astype(np.uint64)]))
+        far = jaccard.differing(jaccard.parity(s), jaccard.parity(other))
+        assert far <= len(np.setxor1d(s, other)) and 9 * far <= len(s) + len(other) + 9 * 4
+        unlike = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        assert 9 * jaccard.differing(jaccard.parity(s), jaccard.parity(unlike)) > 2 * n
